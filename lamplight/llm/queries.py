@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm import bpe_count, html_text, langid, line_dedup, mixing, packing, simhash, sketch
+from lamplight.llm import bpe_count, chunk_store, html_text, langid, line_dedup, media, mixing, packing, simhash, sketch
 from lamplight.llm.common import table
 
 
@@ -42,10 +42,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.stored_media(table(spark, sf_dir, "documents"))
+    return media.media_facts(files).drop("clips")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = chunk_store.write_store(table(spark, sf_dir, "documents"))
+    return chunk_store.read_store(spark, store).withColumnRenamed("doc", "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_count_tokens, op4_extract_html, op5_fingerprints, op6_language_id, op7_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_count_tokens, op4_extract_html, op5_fingerprints, op6_language_id, op7_simhash, op8_media, op9_token_store, op10_line_dedup)}
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
