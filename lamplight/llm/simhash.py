@@ -92,6 +92,17 @@ class BKTree:
             todo.extend(children[e] for e in range(d - radius, d + radius + 1) if e in children)
         return found
 
+    def first(self, value: int, radius: int) -> int | None:
+        """The place of some value within the radius, if there is one."""
+        todo = [self.root] if self.root else []
+        while todo:
+            node, place, children = todo.pop()
+            d = (node ^ value).bit_count()
+            if d <= radius:
+                return place
+            todo.extend(x for e, x in children.items() if d - radius <= e <= d + radius)
+        return None
+
     def add(self, value: int, place: int) -> None:
         if not self.root:
             self.root = (value, place, {})
