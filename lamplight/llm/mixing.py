@@ -31,6 +31,7 @@ from lamplight.llm.common import written
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 16
+STEP = 1 << 8
 #: The per-source table (a few numbers a row) is broadcast up to this many sources, else joined by shuffle.
 BROADCAST_SOURCES = 100_000
 RESULTS = ("size", "source_size", "target", "taken", "copies")
@@ -121,13 +122,10 @@ def mix(
         return df.withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
 
     keyed = ranked(with_source(slim, targets, "_source")).where("_want > 0 and size > 0")
-    per_bin = keyed.groupBy("_source", "_bin").agg(F.sum("size").alias("_in"), F.first("_want").alias("_w"))
-    up_to = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    crossed = (
-        per_bin.withColumn("_before", F.coalesce(F.sum("_in").over(up_to), F.lit(0)))
-        .where("_before <= _w and _before + _in > _w")
-        .select(F.col("_source").alias("source"), F.col("_bin").alias("_cross"), "_before")
-    )
+    # Two levels of bins, so that no window has more than STEP rows of a source.
+    coarse = crossing(keyed.withColumn("_step", F.floor(F.col("_bin") / STEP)), "_step", F.lit(0).cast("long"))
+    inside = with_source(keyed, coarse.withColumnRenamed("_sum_before", "_sum_from"), "_source").where(F.floor(F.col("_bin") / STEP) == F.col("_at"))
+    crossed = crossing(inside, "_bin", F.col("_sum_from")).withColumnsRenamed({"_at": "_cross", "_sum_before": "_before"})
     edge = with_source(keyed, crossed, "_source").where("_bin = _cross")
     run = Window.partitionBy("_source").orderBy("_rank", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Taken while at least half of the row lies below the wanted words.
@@ -141,6 +139,15 @@ def mix(
     return out.withColumn("copies", copies).select(*kept.columns, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def crossing(rows: DataFrame, bin_col: str, start: Column) -> DataFrame:
+    """(source, _at, _sum_before): the bin in which a source's words reach the wanted ones, and the words before it."""
+    per_bin = rows.groupBy("_source", bin_col).agg(F.sum("size").alias("_in"), F.first("_want").alias("_w"), F.first(start).alias("_start"))
+    up_to = Window.partitionBy("_source").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
+    summed = per_bin.withColumn("_sum_before", F.col("_start") + F.coalesce(F.sum("_in").over(up_to), F.lit(0)))
+    found = summed.where("_sum_before <= _w and _sum_before + _in > _w")
+    return found.select(F.col("_source").alias("source"), F.col(bin_col).alias("_at"), "_sum_before")
+
+
 def replicated(mixed: DataFrame) -> DataFrame:
     """The rows of mix() as many times as they are taken."""
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
