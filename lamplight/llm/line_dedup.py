@@ -142,6 +142,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = written(kept.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(suspect, suspect_schema), "line-suspects")
     # Minimum and maximum combine on the map side, so a line in a third of all documents is one row per task.
     repeats = suspects.groupBy("_key").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where(F.col("_first") < F.col("_last"))
+    # Written, so that the join below deals both sides anew and Spark can split a line that many documents share.
+    repeats = written(repeats, "line-repeats")
     dropped = suspects.join(repeats.select("_key", "_first"), "_key").where(F.col(id_col) > F.col("_first"))
     drops = dropped.groupBy(id_col).agg(F.collect_set("_key").alias("_drop"))
     names = kept.columns
