@@ -82,24 +82,22 @@ def merge_groups(sketches: DataFrame, key: str, sketch_col: str, k: int = K, sal
 
 
 def next_links(docs: DataFrame, id_col: str) -> DataFrame:
-    """For each document (id, _h: hash of its text) the next one in descending order of id, the last one's being the first.
+    """For each document (_i, _h: hashes of id and text) the one before it in descending order of id, and its length.
 
-    Only ids and hashes are ordered: by range over the partitions, within each by a
-    window, and between them by one row per partition.
+    The last document's next is the first.  Only ids and hashes are ordered: by range over
+    the partitions, within each by a window, and between them by one row per partition.
     """
     order = [F.col(id_col).desc_nulls_last(), F.col("_h")]
-    ids = docs.select(id_col, "_h", "_n").distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ids = docs.select(id_col, "_i", "_h", "_n").distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     ids = written(ids, "sketch-order")
-    this, window = F.struct(F.col(id_col).alias("id"), F.col("_h").alias("h")), Window.partitionBy("_part").orderBy(*order)
-    placed = ids.withColumn("_next", F.lead(this).over(window)).withColumn("_row", F.row_number().over(window))
-    heads = placed.where("_row = 1").select("_part", this.alias("_head"))
+    this, window = F.struct("_i", "_h", "_n"), Window.partitionBy("_part").orderBy(*order)
+    placed = ids.withColumn("_before", F.lag(this).over(window)).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(id_col).asc_nulls_first(), F.col("_h").desc())))
+    tails = placed.where("_row = 1").select("_part", this.alias("_tail"))
     across = Window.orderBy("_part")
-    heads = heads.select(
-        "_part",
-        F.coalesce(F.lead("_head").over(across), F.first("_head").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_then"),
-    )
-    linked = placed.join(heads, "_part").withColumn("_next", F.coalesce("_next", "_then"))
-    return written(linked.select(F.col(id_col), "_h", "_n", F.col("_next.id").alias("_next_id"), F.col("_next.h").alias("_next_h")), "sketch-links")
+    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tails = tails.select("_part", F.coalesce(F.lag("_tail").over(across), F.last("_tail").over(every)).alias("_then"))
+    linked = placed.join(tails, "_part").withColumn("_before", F.coalesce("_before", "_then"))
+    return written(linked.select("_i", "_h", F.col("_before._i").alias("_for_i"), F.col("_before._h").alias("_for_h"), F.floor(F.col("_before._n") / 3).cast("int").alias("_take")), "sketch-links")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -108,18 +106,20 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has the last third replaced by the start of the next document.  A
     document sends its start and its sketch to the one before it; ids that occur in
     several rows are told apart by their texts, and equal rows have equal results.
+
+    Both uses of the texts read the same columns by the same keys, so Spark shuffles them
+    once and reuses the exchange.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumns({"_h": F.xxhash64("_text"), "_n": F.length("_text").cast("long")})
-    links = next_links(rows, id_col)
-    before = links.select(F.col("_next_id").alias("_id"), F.col("_next_h").alias("_th"), F.col(id_col).alias("_for_id"), F.col("_h").alias("_for_h"), F.floor(F.col("_n") / 3).cast("int").alias("_take"))
-    starts = rows.join(before, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    starts = with_sketch(starts.select("_for_id", "_for_h", "_take", "_text"), F.col("_text"), "_next_sketch", k)
-    starts = starts.select("_for_id", "_for_h", F.substring(F.col("_text"), F.lit(1), F.col("_take")).alias("_start"), "_next_sketch")
-    starts = starts.groupBy("_for_id", "_for_h").agg(F.first("_start").alias("_start"), F.first("_next_sketch").alias("_next_sketch"))
-    own = rows.join(starts, F.col(id_col).eqNullSafe(F.col("_for_id")) & (F.col("_h") == F.col("_for_h")))
+    rows = rows.withColumns({"_i": F.xxhash64(id_col), "_h": F.xxhash64("_text"), "_n": F.length("_text").cast("long")})
+    texts = rows.select(id_col, "_i", "_h", "_n", "_text")
+    starts = texts.join(next_links(rows, id_col), ["_i", "_h"])
+    starts = with_sketch(starts.select(id_col, "_for_i", "_for_h", F.least("_take", "_n").cast("int").alias("_take"), "_text"), F.col("_text"), "_next_sketch", k)
+    starts = starts.select(F.col("_for_i").alias("_i"), F.col("_for_h").alias("_h"), F.col(id_col).alias("_next_id"), F.substring(F.col("_text"), F.lit(1), F.col("_take")).alias("_start"), "_next_sketch")
+    starts = starts.groupBy("_i", "_h").agg(F.first("_start").alias("_start"), F.first("_next_sketch").alias("_next_sketch"), F.first("_next_id").alias("next_id"))
+    own = texts.join(starts, ["_i", "_h"])
     kept = F.substring(F.col("_text"), F.lit(1), (F.col("_n") - F.floor(F.col("_n") / 3)).cast("int"))
-    own = own.select(id_col, F.col("_n").alias("n_chars"), "_text", F.concat(kept, F.col("_start")).alias("_edited"), "_next_sketch")
+    own = own.select(id_col, F.col("_n").alias("n_chars"), "_text", F.concat(kept, F.col("_start")).alias("_edited"), "_next_sketch", "next_id")
     own = with_sketch(with_sketch(own, F.col("_text"), "_sketch", k), F.col("_edited"), "_edited_sketch", k)
     return own.select(
         id_col,
@@ -129,4 +129,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         hex_form(F.col("_edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("_sketch"), F.col("_edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("_sketch"), F.col("_next_sketch"), k).alias("near_next"),
+        "next_id",
     )
