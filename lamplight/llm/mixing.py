@@ -69,8 +69,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     after = filling.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    # The level of the first source that isn't full holds for all after it.
-    final = F.min(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
+    # The level of the first source that isn't full holds for all after it; from there on levels only fall.
+    final = F.max(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
     return listed.withColumn("level", level).select(
         "source", "source_size", F.least(F.col("most"), F.coalesce(final * F.col("weight"), F.col("most"))).alias("target")
     )
@@ -163,7 +163,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 l AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0 AS most FROM s),
 v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
              / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
-t AS (SELECT source, source_size, least(most, coalesce(min(CASE WHEN most >= level * weight THEN level END) OVER () * weight, most)) AS target FROM v),
+t AS (SELECT source, source_size, least(most, coalesce(max(CASE WHEN most >= level * weight THEN level END) OVER () * weight, most)) AS target FROM v),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
 w AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS want FROM r),
 k AS (SELECT d.doc_id, d.source, d.size, w.source_size, w.target, w.whole, w.want,
