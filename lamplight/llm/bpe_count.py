@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamplight.llm.token_units import BYTE_UNIT, MAX_UNIT, vocabulary
+from lamplight.llm.token_units import BYTE_UNIT, Recent, vocabulary
 
 #: Fixed value: the pattern that cuts text into words before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,27 +76,21 @@ class PairMerges:
         return n - merged
 
 
-class UnitCounts(dict):
-    """unit -> token count, bounded like a cache that starts anew when full."""
+class UnitCounts(Recent):
+    """unit -> token count."""
 
-    def __init__(self, path: str, max_units: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import regex
 
-        super().__init__()
-        self.pairs, self.max_units = PairMerges(path), max_units
-        self.words = regex.compile(PATTERN)
+        super().__init__(most)
+        self.pairs, self.words = PairMerges(path), regex.compile(PATTERN)
         # These four are no white space to the vocabulary's pattern.
         self.odd = re.compile("[\x1c-\x1f]")
         self.odd_words = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])").replace(r"\S", r"[\S\x1c-\x1f]").replace(r"\s+", r"[^\S\x1c-\x1f]+"))
         self.special = re.compile("|".join(map(re.escape, self.pairs.specials))) if self.pairs.specials else None
 
-    def __missing__(self, unit: str) -> int:
-        n = sum(self.pairs.count(w.encode("utf-8", "replace")) for w in self.words.findall(unit))
-        if len(unit) <= MAX_UNIT:
-            if len(self) >= self.max_units:
-                self.clear()
-            self[unit] = n
-        return n
+    def compute(self, unit: str) -> int:
+        return sum(self.pairs.count(w.encode("utf-8", "replace")) for w in self.words.findall(unit))
 
     def of(self, text: str) -> int:
         """Tokens of a whole text; a special string inside it is one token, as the library has it."""

@@ -15,8 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Byte-level units: one space and what follows it, or a run of white space but for the last character.
-BYTE_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A run of Latin letters (without İ, whose small form ends in a mark) before white space or an ASCII sign other than the apostrophe; no token spans its end.
+LETTERS = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
+#: Byte-level units: such a run or anything without white space, either with one space before it, or white space but for its last character.
+BYTE_UNIT = re.compile(rf" ?{LETTERS}| ?\S+|\s+(?!\S)|\s+")
+WORD_UNIT = re.compile(rf"{LETTERS}|\S+")
 ODD = re.compile("[\x1c-\x1f]|<\\|")
 MAX_UNIT = 64
 
@@ -30,39 +33,54 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-class UnitIds(dict):
-    """unit -> its ids as little-endian bytes.  Bounded: forgets all when it holds max_units."""
+class Recent(dict):
+    """A bounded table of computed values: when it is full it becomes the old half, from which values are taken over as they are used."""
 
-    def __init__(self, path: str, dtype: str = "<u4", max_units: int = 400_000):
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def compute(self, unit: str):
+        raise NotImplementedError
+
+    def __missing__(self, unit: str):
+        value = self.old.get(unit)
+        if value is None:
+            value = self.compute(unit)
+            if len(unit) > MAX_UNIT:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = value
+        return value
+
+
+class UnitIds(Recent):
+    """unit -> its ids as little-endian bytes."""
+
+    def __init__(self, path: str, dtype: str = "<u4", most: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.library, self.dtype, self.max_units = Tokenizer.from_file(path), dtype, max_units
+        super().__init__(most)
+        self.library, self.dtype = Tokenizer.from_file(path), dtype
 
-    def whole(self, text: str) -> bytes:
+    def compute(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.whole(unit)
-        if len(unit) <= MAX_UNIT:
-            if len(self) >= self.max_units:
-                self.clear()
-            self[unit] = ids
-        return ids
-
 
 def byte_level_ids(memo: UnitIds, text: str) -> bytes:
     """Ids of a text by the byte-level vocabulary."""
     if ODD.search(text):
-        return memo.whole(text)
+        return memo.compute(text)
     return b"".join(map(memo.__getitem__, BYTE_UNIT.findall(text)))
 
 
 def word_level_ids(memo: UnitIds, text: str) -> bytes:
     """Ids of a text by the vocabulary with word ends, which drops white space."""
     if ODD.search(text):
-        return memo.whole(text)
-    return b"".join(map(memo.__getitem__, text.split()))
+        return memo.compute(text)
+    return b"".join(map(memo.__getitem__, WORD_UNIT.findall(text)))
 
 
 @lru_cache(maxsize=2)
