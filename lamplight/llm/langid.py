@@ -121,7 +121,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; {MAX_LANGUAGES} at most")
     counts = np.zeros((len(languages), SLOTS))
-    counts[[languages.index(x) for x in got["lang"]], got["slot"].to_numpy()] = got["n"].to_numpy()
+    if languages:
+        counts[[languages.index(x) for x in got["lang"]], got["slot"].to_numpy()] = got["n"].to_numpy()
     code = codewords(len(languages))
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if len(languages) else counts
     weights = np.zeros((SLOTS, code.shape[1]))
