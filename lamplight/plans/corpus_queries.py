@@ -105,12 +105,29 @@ def search_fused(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("query_id", "document_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+STEM = "CASE WHEN w LIKE '%ing' AND length(w) > 4 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) > 3 THEN left(w, length(w) - 2) WHEN w LIKE '%ly' AND length(w) > 3 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND length(w) > 2 THEN left(w, length(w) - 1) ELSE w END"
+ORDERED = "(SELECT id, t, min(n) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t, generate_subscripts(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'), 1) AS n FROM {0}) WHERE length(t) > 1 GROUP BY 1, 2)"
+HYBRID = f"""WITH dw AS MATERIALIZED {ORDERED.format('(SELECT doc_id AS id, text FROM documents)')}, qw AS MATERIALIZED {ORDERED.format('(SELECT item_id AS id, text FROM benchmark)')},
+qi AS (SELECT DISTINCT id, s AS t FROM (SELECT id, {STEM.replace('w LIKE', 't LIKE').replace('(w)', '(t)').replace('left(w,', 'left(t,').replace('ELSE w', 'ELSE t')} AS s FROM qw) WHERE length(s) > 1 AND s NOT IN ('the','of','and','to','in','is','by','on','at','an')),
+len AS (SELECT id, count(*) AS n FROM dw GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS c, (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS mean), df AS (SELECT t, count(*) AS df FROM dw GROUP BY t),
+sc AS (SELECT qi.id AS q, dw.id AS d, sum(ln(1.0 + (st.c - df + 0.5) / (df + 0.5)) * (2.5 / (1 + 1.5 * (0.25 + 0.75 * len.n / st.mean)))) AS score FROM qi JOIN dw USING (t) JOIN df USING (t) JOIN len ON len.id = dw.id CROSS JOIN st GROUP BY 1, 2),
+sp AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS rank FROM sc QUALIFY rank <= 12),
+tk AS (SELECT 'd' || id AS id, list(t ORDER BY n) AS toks FROM dw GROUP BY id UNION ALL SELECT 'q' || id, list(t ORDER BY n) FROM qw GROUP BY id), {GRAMS},
+ds AS (SELECT substr(a.id, 2)::BIGINT AS q, substr(b.id, 2)::BIGINT AS d, sum(a.weight * b.weight) AS score FROM v a JOIN v b USING (slot) WHERE a.id LIKE 'q%' AND b.id LIKE 'd%' GROUP BY 1, 2),
+dn AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS rank FROM ds QUALIFY rank <= 12),
+fu AS (SELECT q, d, sum(1.0 / (10 + rank)) / (2.0 / 11) AS score, max(dense) AS dense, max(sparse) AS sparse FROM (SELECT q, d, rank, score AS dense, 0.0 AS sparse FROM dn UNION ALL SELECT q, d, rank, 0.0, score FROM sp) GROUP BY 1, 2),
+ok AS (SELECT fu.* FROM fu WHERE score >= 0.2 AND (dense >= 0.72 OR EXISTS (SELECT 1 FROM qi JOIN dw USING (t) WHERE qi.id = fu.q AND dw.id = fu.d)))
+SELECT q AS query_id, d AS chunk_id, round(score, 9) AS score, round(dense, 6) AS dense_score, round(sparse, 6) AS sparse_score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS rank FROM ok QUALIFY rank <= 5"""
+
+
+@query(HYBRID)
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship search: BM25 and hashed vectors over all documents for all benchmark passages."""
     chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("title"), "text")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.hybrid_search(chunks, asked, X.SAMPLE).select("query_id", "chunk_id", "score", "methods", "dense_score", "sparse_score", "rank")
+    return search.hybrid_search(chunks, asked, X.SAMPLE).select(
+        "query_id", "chunk_id", F.round("score", 9).alias("score"), F.round("dense_score", 6).alias("dense_score"), F.round("sparse_score", 6).alias("sparse_score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def joined(name: str, col: Column) -> Column:
@@ -208,7 +225,12 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored(spark, folder).select("doc_id", "authority_score", "provenance_score", "historical_relevance_score", "place_relevance_score", "content_quality_score", "objectivity_score", "rights_score", "total_score", joined("rejections", F.col("rejection_reasons")), "status")
 
 
-@query()
+@query(
+    f"""WITH {CANDIDATES}, w AS (SELECT *, {C} AS c, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: p <> '') AS paras, regexp_extract_all(title, '[가-힣A-Za-z0-9]{{2,}}') AS tw FROM candidates)
+    SELECT doc_id, {sql_reasons(("c = ''", "'empty_body'"), ("length(c) BETWEEN 1 AND 119", "'short_body'"), ("contains(c, '�') OR length(c) - length(replace(c, '?', '')) > greatest(10, length(c) // 20)", "'encoding_or_ocr_review_required'"),
+    (" OR ".join(f"contains(c, repeat('{x}', 8))" for x in "abcdefghijklmnopqrstuvwxyz0123456789.-_#*&%=+"), "'repeated_characters_review_required'"), ("len(paras) <> len(list_distinct(paras))", "'repeated_paragraph_review_required'"),
+    ("regexp_matches(text, '(?i)<(script|style|nav|footer|header)\\b|javascript:')", "'html_or_script_residue'"), ("c <> '' AND len(tw) > 0 AND len(list_filter(tw, lambda x: contains(c, x))) = 0", "'title_body_mismatch_review_required'"), ("source_url = ''", "'missing_source_url'"))} AS warnings FROM w"""
+)
 def quality_warnings(spark: SparkSession, folder: str) -> DataFrame:
     """What a reviewer should look at."""
     rows = candidates(spark, folder).withColumns({"institution": F.col("publisher"), "license_status": F.col("rights_status")})
@@ -272,7 +294,16 @@ def report_zero_filled(spark: SparkSession, folder: str) -> DataFrame:
     return aggregates.zero_filled(candidates(spark, folder), F.col("rights_status"), ["public_domain", "missing", "pending_review"])
 
 
-@query()
+TOPIC_HITS = ", ".join(f"{{'topic': '{t}', 'hit': {' OR '.join(f'contains(lower(text), $${w.lower()}$$)' for w in ws)}, 'meta': {' OR '.join(f'contains(lower(title), $${w.lower()}$$)' for w in ws)}}}" for t, ws in X.SAMPLE.topics.items())
+
+
+@query(
+    f"""WITH {CANDIDATES}, h AS (SELECT publisher, rights_status, unnest([{TOPIC_HITS}]) AS x FROM candidates), m AS (SELECT x.topic AS topic, publisher, rights_status <> 'unknown' AS ok, x.meta AND x.hit AS high FROM h WHERE x.hit OR x.meta),
+    p AS (SELECT topic, publisher, count(*) AS n, count(*) FILTER (ok) AS ok, count(*) FILTER (high) AS high FROM m GROUP BY ALL),
+    f AS (SELECT t.topic, coalesce(sum(n), 0)::BIGINT AS documents, count(publisher) AS institutions, coalesce(max(n), 0) AS dominant, coalesce(sum(ok), 0)::BIGINT AS cleared, coalesce(sum(high), 0)::BIGINT AS high_confidence FROM (SELECT unnest([{", ".join(f"'{t}'" for t in X.SAMPLE.topics)}]) AS topic) t LEFT JOIN p USING (topic) GROUP BY t.topic),
+    a AS (SELECT *, greatest(0, CASE WHEN documents < 5 THEN 5 ELSE 10 END - documents) AS base FROM f), b AS (SELECT *, CASE WHEN institutions < 2 THEN greatest(5, base) ELSE base END AS b1 FROM a), c AS (SELECT *, CASE WHEN documents > 0 AND cleared = 0 THEN greatest(3, b1) ELSE b1 END AS b2 FROM b)
+    SELECT topic, documents, institutions, dominant, cleared, high_confidence, (CASE WHEN documents > 0 AND dominant / documents > 0.75 THEN greatest(3, b2) ELSE b2 END)::BIGINT AS recommended FROM c"""
+)
 def report_topic_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and institutions per topic and how many more are wanted."""
     rows = candidates(spark, folder).withColumns({"institution": F.col("publisher"), "cleared": ~F.col("rights_status").isin("unknown")})
@@ -465,7 +496,7 @@ def session_budget(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", kept.alias("k")).select("conv_id", F.size("k.evidence").alias("n_evidence"), F.size("k.conversation").alias("n_turns"), F.col("k.used").alias("used"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\\bwhen|cuando|quand') THEN 'time' WHEN regexp_matches(coalesce(text, ''), '(?i)\\bwhere|\\bat\\b') THEN 'place' WHEN regexp_matches(coalesce(text, ''), '(?i)\\bwho\\b') THEN 'people' WHEN regexp_matches(coalesce(text, ''), '(?i)\\bwhy\\b|\\bfor\\b') THEN 'cause' ELSE 'overview' END AS intent FROM conversations WHERE role = 'user'")
 def session_intents(spark: SparkSession, folder: str) -> DataFrame:
     """Intent of user turns by ordered patterns."""
     patterns = (("time", r"(?i)\bwhen|cuando|quand"), ("place", r"(?i)\bwhere|\bat\b"), ("people", r"(?i)\bwho\b"), ("cause", r"(?i)\bwhy\b|\bfor\b"))

@@ -380,3 +380,57 @@ def test_conversation_stream(spark, folder, tmp_path):
     pairs = session.exchanges(batch).where("assistant <> ''")
     want = {r.conv_id: r.summary for r in session.rolling_summary(pairs, history=1).collect()}
     assert {r.conv_id: r.summary for r in got.collect()} == {k: v for k, v in want.items()}
+
+
+@pytest.mark.parametrize(
+    ("message", "context", "kind", "sources"),
+    [
+        ("왜?", False, "MISSING_SUBJECT", False),
+        ("hello", False, "UNINTELLIGIBLE_INPUT", False),
+        ("오늘 날씨 어때?", False, "OUT_OF_HISTORY_SCOPE", False),
+        ("휠체어로 갈 수 있나요?", False, "SAFETY_CAPABILITY_OVERRIDE", False),
+        ("출처 알려줘", False, "SOURCE_REQUEST", True),
+        ("그거 말이야", False, "AMBIGUOUS_NO_CONTEXT", False),
+        ("쉽게 말해줘", True, "EXPLICIT_STYLE_REQUEST", True),
+        ("쉽게 말해줘", False, "EXPLICIT_STYLE_REQUEST", False),
+        ("이 건물 구조가 궁금해", False, "ARCHITECTURE_TOPIC", False),
+        ("안녕", False, "GREETING", False),
+        ("목포역", False, "ENTITY_ONLY_HISTORY_QUERY", True),
+        ("1897년에는 무슨 일이 있었지?", False, "FACT_QUESTION", True),
+    ],
+)
+def test_situations(spark, message, context, kind, sources):
+    from lamplight.operators import dialogue
+
+    df = spark.createDataFrame([(message, context)], "m string, c boolean").withColumn("s", dialogue.situation(F.col("m"), F.col("c")))
+    got = df.select("s.reason", dialogue.needs_retrieval(F.col("s"), F.col("m"), F.col("c")).alias("needs")).first()
+    assert (got.reason, got.needs) == (kind, sources)
+
+
+def test_answer_guards(spark):
+    from lamplight.operators import dialogue
+
+    text = "목포항은 1897년 10월에 개항한 항구이다. 목포항은 1897년 10월에 개항한 항구이다. 목포항은 1897년 10월에 개항한 항구였다. 목포항은 1899년 10월에 개항한 항구였다."
+    assert one(spark, dialogue.without_repeats("t"), t=text) == "목포항은 1897년 10월에 개항한 항구이다. 목포항은 1899년 10월에 개항한 항구였다."
+    assert one(spark, dialogue.echoes_question("a", "q"), a="목포항은 언제 개항했나요.", q="목포항은 언제 개항했나요?") and not one(spark, dialogue.echoes_question("a", "q"), a="1897년이다.", q="왜?")
+    assert one(spark, dialogue.complete_part(F.col("t")), t="First. Second! third (open") == "First. Second!"
+    assert one(spark, dialogue.style_violations(F.col("t"), F.array(F.lit("a")), {"praise": "완벽해"}), t="완벽해 [출처: b]") == ["praise", "invented_citation"]
+
+
+def test_page_text(spark):
+    from lamplight.operators import candidates
+
+    page = "<title>T</title><nav>no</nav><p>a</p><p>b</p><p>a</p><main><p>x  y</p><script>z</script><a href='/l' title='t'>link</a></main>"
+    got = one(spark, candidates.visible_page("h"), h=page)
+    assert got.title == "T" and got.text == "x y\nlink" and got.links[0].href == "/l"
+    assert candidates.lines_without_near_repeats("a\nb\na\nc\nd\na") == "a\nb\nc\nd\na"
+
+
+def test_selection_counts(spark):
+    from lamplight.operators import candidates
+
+    rows = [("https://a.kr/1", True, "s1", None, "unknown", "not_assessed"), ("https://b.kr/1", True, "s2", None, "unknown", "not_assessed"), ("https://a.kr/2", True, "s3", "s1", "unknown", "not_assessed")]
+    df = spark.createDataFrame(rows, "source_url string, body_exists boolean, source_id string, duplicate_of string, kogl_type string, rights_grade string")
+    assert [r.source_id for r in candidates.provisional_selection(df, ("a.kr",), 1, 2).where("selected").collect()] == ["s1"]
+    with pytest.raises(ValueError):
+        candidates.provisional_selection(df, ("a.kr",), 2)
