@@ -33,6 +33,8 @@ from lamplight.llm.common import written
 from lamplight.llm.token_units import byte_level_ids, unit_ids, vocabulary
 
 Pattern = tuple[tuple[int, ...], int]
+#: Texts that a task encodes at a time.
+ROWS = 1024
 
 
 class ComplementIndex:
@@ -176,21 +178,29 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, task, seen = unit_ids(vocabulary(vocab, vocab_dir), "<u4"), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out: list[list] = [[] for _ in schema.fields]
-            for key, text in zip(batch.column(id_col), batch.column(text_col), strict=True):
-                data, start = byte_level_ids(memo, text.as_py() or "") + end, 0
-                for i, n in enumerate(cut_lengths(len(data) // 4, capacity)):
-                    part = data[4 * start : 4 * (start + n)]
-                    row = [key.as_py(), i, start, n, zlib.crc32(part), task, int(seen[n])]
-                    if keep_ids:
-                        row.append(np.frombuffer(part, dtype="<i4").tolist())
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                    seen[n] += 1
-                    start += n
-            types = [f.type for f in batch.schema if f.name == id_col] + [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=schema.fieldNames())
+        columns = ("piece", "start", "length", "ids_crc32", "_task", "_nth")
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                keys, rows, parts = [], [], []
+                for key, text in zip(batch.column(id_col), batch.column(text_col), strict=True):
+                    data, start = byte_level_ids(memo, text.as_py() or "") + end, 0
+                    for i, n in enumerate(cut_lengths(len(data) // 4, capacity)):
+                        part = data[4 * start : 4 * (start + n)]
+                        keys.append(key)
+                        rows.append((i, start, n, zlib.crc32(part), task, int(seen[n])))
+                        if keep_ids:
+                            parts.append(part)
+                        seen[n] += 1
+                        start += n
+                made = [pa.array([k.as_py() for k in keys], batch.schema.field(id_col).type)]
+                made += [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                if keep_ids:
+                    # ids stay in one buffer; as Python lists they would take ten times the memory
+                    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(made, names=[id_col, *columns, *(["ids"] if keep_ids else [])])
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
