@@ -22,19 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamplight.llm.token_units import BYTE_UNIT, Recent, vocabulary
+from lamplight.llm.token_units import BYTE_UNIT, Recent, byte_symbols, vocabulary
 
 #: Fixed value: the pattern that cuts text into words before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable character that stands for each byte in the vocabulary file."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (b for b in range(256) if b not in set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PairMerges:
     """Merge ranks of a byte-level vocabulary file; symbols are small numbers."""
 
@@ -79,7 +72,7 @@ class PairMerges:
 class UnitCounts(Recent):
     """unit -> token count."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
 
         super().__init__(most)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,14 @@ def test_units_give_the_library_s_ids(text):
     assert COUNTS.of(text) == len(ids(BYTES, text))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(SIGNS, max_size=30)), max_size=6))
+def test_batches_give_the_library_s_ids(texts):
+    for path in (BYTES, WORDS):
+        got = token_units.batch_ids(MEMO[path], pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(path, t) for t in texts]
+
+
 def test_counts(docs, odd):
     for df in (docs, odd.withColumn("n_tokens", F.lit("clash"))):
         out = bpe_count.token_counts(df).toPandas()
@@ -108,6 +117,14 @@ def test_store(spark, docs, odd):
         assert len(chunk_store.manifest_root(spark, store)) == 16
 
 
+def test_hot_chunks_are_spread(spark, odd, monkeypatch):
+    monkeypatch.setattr(chunk_store, "HOT_USES", 1)
+    store, out = store_rows(spark, odd)
+    plain = chunk_store.read_store(spark, store._replace(), keep_ids=True)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert out.count() == odd.count()
+
+
 def test_changed_chunk_is_noticed(spark, odd):
     store, _ = store_rows(spark, odd)
     broken = spark.table(store.chunks).withColumn("data", F.when(F.col("data").isNotNull(), F.concat("data", F.lit(b"\x01\x00"))))
