@@ -7,8 +7,10 @@ the roots of the manifest prove that what is read back is what was written.
 
 Files, all Parquet in one folder, written by Spark's own commit protocol:
 
-    chunks/    digest, n, and for one row of each digest its ids as little-endian bytes;
-               a row per use of a chunk (row, doc, seq), bucketed by digest
+    chunks/    a row per use of a chunk (row, doc, seq, n, digest); for one row of each
+               digest the ids as little-endian bytes.  Bucketed by key, which is the digest
+               where there are bytes and else the document's row, so that the uses of a
+               chunk that very many documents share don't meet in one task
     recipes/   documents in ascending order of id: digests, Merkle root, number of ids,
                and the ids before the document within its part
     manifest/  per part of recipes: first and last id, documents, ids, root over their roots
@@ -30,19 +32,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamplight.llm.common import fresh_path
+from lamplight.llm.common import fresh_path, written
 from lamplight.llm.token_units import unit_ids, vocabulary, word_level_ids
 
+#: Distinct words that a worker keeps.
+UNITS = 1_000_000
 WINDOW = 16
 #: Ids per chunk: mean (a power of two) and bounds.
 MEAN, LEAST, MOST = 512, 64, 4096
 #: Digests that a task remembers in order to leave out chunk bytes it has already sent.
 REMEMBERED = 200_000
+#: Uses beyond which a chunk's bytes are read back in several tasks, and in how many.
+HOT_USES = 1000
+SALTS = 64
+#: Digests of such chunks (16 bytes each) are broadcast up to this many, else joined by shuffle.
+BROADCAST_DIGESTS = 200_000
 
 
 def digest(data: bytes) -> bytes:
@@ -119,45 +129,47 @@ def chunk_uses(docs: DataFrame, id_col: str, text_col: str, end_id: int, vocab:
             T.StructField("n", T.IntegerType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("data", T.BinaryType()),
+            T.StructField("key", T.BinaryType()),
         ]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, task, k = unit_ids(vocabulary(vocab, vocab_dir), dtype), TaskContext.get().partitionId(), 0
+        memo, task, k = unit_ids(vocabulary(vocab, vocab_dir), dtype, UNITS), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
         sent: set[bytes] = set()
         for batch in batches:
-            rows, keys, seqs, ns, digests, datas = [], [], [], [], [], []
+            rows, keys, seqs, ns, digests, datas, places = [], [], [], [], [], [], []
             for key, text in zip(batch.column(id_col), batch.column(text_col), strict=True):
-                data, last = word_level_ids(memo, text.as_py() or "") + end, 0
+                data, last, key = word_level_ids(memo, text.as_py() or "") + end, 0, key.as_py()
                 for seq, e in enumerate(cut_points(np.frombuffer(data, dtype=dtype))):
                     part = data[width * last : width * e]
                     d = digest(part)
                     rows.append(task << 40 | k)
-                    keys.append(key.as_py())
+                    keys.append(key)
                     seqs.append(seq)
                     ns.append(e - last)
                     digests.append(d)
                     datas.append(None if d in sent else part)
+                    places.append((task << 40 | k).to_bytes(8, "big") if d in sent else d)
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(d)
                     last = e
                 k += 1
-            types = [pa.int64(), batch.schema.field(id_col).type, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, keys, seqs, ns, digests, datas), types, strict=True)], names=schema.fieldNames())
+            types = [pa.int64(), batch.schema.field(id_col).type, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, keys, seqs, ns, digests, datas, places), types, strict=True)], names=schema.fieldNames())
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
 def kept_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by digest, bytes first: all, but bytes for the first row of each digest only."""
+    """Of rows ordered by key: all, but bytes for the first row of each digest only."""
     last = None
     for batch in batches:
         datas = []
-        for d, data in zip(batch.column("digest").to_pylist(), batch.column("data"), strict=True):
-            datas.append(None if d == last else data.as_py())
-            last = d
+        for k, data in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
+            datas.append(None if k == last else data.as_py())
+            last = k
         columns = [pa.array(datas, pa.binary()) if name == "data" else batch.column(name) for name in batch.schema.names]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -166,17 +178,18 @@ def with_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recipes in order, with roots and the ids before each within the part."""
     before = 0
     for batch in batches:
-        roots, starts, ns = [], [], []
-        for parts in batch.column("parts").to_pylist():
-            roots.append(merkle_root([p["digest"] for p in parts]))
-            starts.append(before)
-            ns.append(sum(p["n"] for p in parts))
-            before += ns[-1]
-        digests = [[p["digest"] for p in parts] for parts in batch.column("parts").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("part"), batch.column("doc"), batch.column("row"), pa.array(digests, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(starts, pa.int64())],
-            names=["part", "doc", "row", "digests", "root", "n_tokens", "before"],
-        )
+        parts = batch.column("parts")
+        flat = parts.flatten()
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        leaves, sizes = flat.field("digest").to_pylist(), np.concatenate([[0], np.cumsum(flat.field("n").to_numpy())])
+        bounds = [0, *ends.tolist()]
+        roots = [merkle_root(leaves[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        ns = sizes[ends] - sizes[np.array(bounds[:-1], dtype=np.int64)]
+        starts = before + np.cumsum(ns) - ns
+        before += int(ns.sum())
+        digests = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.field("digest"))
+        columns = [batch.column("part"), batch.column("doc"), batch.column("row"), digests, pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(starts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "doc", "row", "digests", "root", "n_tokens", "before"])
 
 
 def write_store(
@@ -186,10 +199,10 @@ def write_store(
     spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "store")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     uses = chunk_uses(docs, id_col, text_col, end_id, vocab, vocab_dir, dtype)
-    ordered = uses.repartition(buckets, "digest").sortWithinPartitions("digest", F.col("data").isNull())
+    ordered = uses.repartition(buckets, "key").sortWithinPartitions("key")
     name = f"chunks_{uuid.uuid4().hex}"
     once = ordered.mapInArrow(kept_once, uses.schema)
-    once.write.bucketBy(buckets, "digest").option("path", f"{folder}/chunks").saveAsTable(name)
+    once.write.bucketBy(buckets, "key").option("path", f"{folder}/chunks").saveAsTable(name)
     chunks = spark.table(name)
 
     uses = chunks.select("doc", "row", F.struct("seq", "digest", "n").alias("part")).groupBy("doc", "row").agg(F.sort_array(F.collect_list("part")).alias("parts"))
@@ -250,8 +263,20 @@ def read_store(spark: SparkSession, store: Store, keep_ids: bool = False) -> Dat
     offsets = parts.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("offset"))
     wanted = recipes.select("part", "doc", "row", "root", "before", F.posexplode("digests").alias("seq", "digest"))
     wanted = wanted.join(offsets, "part").select("doc", "row", "seq", "digest", F.when(F.col("seq") == 0, F.col("root")).alias("root"), (F.col("before") + F.col("offset")).alias("start"))
-    stored = spark.table(store.chunks).where("data is not null").select("digest", "data")
-    pieces = wanted.join(stored.hint("merge"), "digest").repartition("row").sortWithinPartitions("row", "seq")
+    wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    stored = spark.table(store.chunks).where("data is not null").select(F.col("key").alias("digest"), "data")
+    # Chunks with very many uses are few; their bytes go to every salt, and each use to one.
+    uses = spark.table(store.chunks).groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_USES).select("digest")
+    hot = written(uses, "store-hot")
+    many = hot.count()
+    if many:
+        side = F.broadcast(hot) if many <= BROADCAST_DIGESTS else hot
+        spread = stored.join(side, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        shared = wanted.join(side, "digest", "left_semi").join(spread, ["digest", "salt"])
+        pieces = wanted.join(side, "digest", "left_anti").join(stored.hint("merge"), "digest").unionByName(shared)
+    else:
+        pieces = wanted.join(stored.hint("merge"), "digest")
+    pieces = pieces.repartition("row").sortWithinPartitions("row", "seq")
     fields = [wanted.schema["doc"], T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)
     dtype = store.dtype
@@ -277,11 +302,10 @@ def read_store(spark: SparkSession, store: Store, keep_ids: bool = False) -> Dat
 
         for batch in batches:
             kind = batch.schema.field("doc").type
-            for row, d, s, r, address, data in zip(*(batch.column(c) for c in ("row", "doc", "start", "root", "digest", "data")), strict=True):
-                if row.as_py() != at:
+            for row, d, s, r, address, data in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "start", "root", "digest", "data")), strict=True):
+                if row != at:
                     close()
-                    at, doc, start, root, n, crc, tree, ids = row.as_py(), d.as_py(), s.as_py(), r.as_py(), 0, 0, Merkle(), []
-                data, address = data.as_py(), address.as_py()
+                    at, doc, start, root, n, crc, tree, ids = row, d, s, r, 0, 0, Merkle(), []
                 if digest(data) != address:
                     raise ValueError(f"chunk {address.hex()}: its bytes have changed")
                 part = np.frombuffer(data, dtype=dtype).astype("<u4")

@@ -14,8 +14,6 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 #: A run of Latin letters (without İ, whose small form ends in a mark) before white space or an ASCII sign other than the apostrophe; no token spans its end.
 LETTERS = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
@@ -25,7 +23,6 @@ LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: Characters outside those whose small form is one letter, whatever stands beside them.
 CASE_DEPENDS = re.compile("[^\x00-įı-ɏ]")
 WORD_UNIT = re.compile(rf"{LETTERS}|\S+")
-ODD = re.compile("[\x1c-\x1f]|<\\|")
 MAX_UNIT = 64
 
 
@@ -38,6 +35,22 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text has a special string or one of the characters on which libraries disagree."""
+    return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
+def has_plain_case(text: str) -> bool:
+    """Whether every character's small form is one letter, whatever stands beside it."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")  # a quick way to say so of most texts
+        return True
+    except UnicodeEncodeError:
+        return not CASE_DEPENDS.search(text)
+
+
 class Recent(dict):
     """A bounded table of computed values: when it is full it becomes the old half, from which values are taken over as they are used."""
 
@@ -100,62 +113,20 @@ def byte_symbols() -> dict[str, int]:
 
 def byte_level_ids(memo: UnitIds, text: str) -> bytes:
     """Ids of a text by the byte-level vocabulary."""
-    if ODD.search(text):
+    if is_odd(text):
         return memo.whole(text)
     return b"".join(map(memo.__getitem__, BYTE_UNIT.findall(text)))
 
 
 def word_level_ids(memo: UnitIds, text: str) -> bytes:
     """Ids of a text by the vocabulary with word ends, which drops white space and case."""
-    if ODD.search(text):
+    if is_odd(text):
         return memo.whole(text)
-    if not CASE_DEPENDS.search(text):
+    if has_plain_case(text):
         text = text.lower()  # fewer distinct units
     return b"".join(map(memo.__getitem__, WORD_UNIT.findall(text)))
 
 
-#: Texts of a batch in which a single space stands beside other white space or at an end, or which are odd: they are encoded one by one.
-_WIDE = "\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-SLOW_BYTES = f"[\x1c-\x1f]|<\\||[\\s\x0b{_WIDE}] | [\\s\x0b{_WIDE}]|^ | $"
-SLOW_WORDS = "[\x1c-\x1f]|<\\|"
-
-
-def batch_ids(memo: UnitIds, texts: pa.Array) -> list[bytes]:
-    """Ids of each text of a batch, as byte_level_ids or word_level_ids give them; null is empty.
-
-    Texts are split at spaces (words: at ASCII white space), the pieces of all texts are
-    numbered by Arrow, each distinct piece is encoded once, and ids are gathered by number.
-    """
-    encode = word_level_ids if memo.word_level else byte_level_ids
-    texts = pc.fill_null(texts, "")
-    slow = pc.match_substring_regex(texts, SLOW_WORDS if memo.word_level else SLOW_BYTES).to_numpy(zero_copy_only=False)
-    fast = pc.if_else(pa.array(~slow), texts, "")
-    split = pc.ascii_split_whitespace(fast) if memo.word_level else pc.split_pattern(fast, " ")
-    counts = pc.list_value_length(split).to_numpy()
-    coded = split.flatten().dictionary_encode()
-    pieces, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    first = np.cumsum(counts) - counts  # the place of each text's first piece
-    if not memo.word_level:
-        # all pieces but a text's first begin with the space at which they were split
-        n, number = len(pieces), number.astype(np.int64) + len(pieces)
-        number[first[counts > 0]] -= n
-        pieces = [*pieces, *(f" {p}" for p in pieces)]
-        used = np.unique(number)
-        number, pieces = np.searchsorted(used, number), [pieces[i] for i in used.tolist()]
-    ids = list(map(memo.__getitem__, pieces))
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // memo.width
-    values = np.frombuffer(b"".join(ids), dtype=memo.dtype)
-    starts = np.cumsum(sizes) - sizes
-    taken = sizes[number] if len(number) else np.zeros(0, dtype=np.int64)
-    ends = np.cumsum(taken)
-    gathered = values[np.repeat(starts[number] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)] if len(number) else values
-    totals = np.concatenate([[0], ends])
-    out = []
-    for i, (a, b) in enumerate(zip(first.tolist(), (first + counts).tolist(), strict=True)):
-        out.append(encode(memo, texts[i].as_py()) if slow[i] else gathered[totals[a] : totals[b]].tobytes())
-    return out
-
-
 @lru_cache(maxsize=2)
 def unit_ids(path: str, dtype: str, most: int = 400_000) -> UnitIds:
     """One table of units for each worker process, which serves many tasks; a million units take about 200 MB."""

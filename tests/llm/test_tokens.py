@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,14 +32,6 @@ def test_units_give_the_library_s_ids(text):
     assert COUNTS.of(text) == len(ids(BYTES, text))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(SIGNS, max_size=30)), max_size=6))
-def test_batches_give_the_library_s_ids(texts):
-    for path in (BYTES, WORDS):
-        got = token_units.batch_ids(MEMO[path], pa.array(texts, pa.string()))
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(path, t) for t in texts]
-
-
 def test_counts(docs, odd):
     for df in (docs, odd.withColumn("n_tokens", F.lit("clash"))):
         out = bpe_count.token_counts(df).toPandas()
