@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ def scratch_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='lamplight-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return own_folder(sc.applicationId)
+
+
+@lru_cache
+def own_folder(application: str) -> str:
+    """One temporary folder for each local application."""
+    return f"file://{tempfile.mkdtemp(prefix=f'lamplight-{application}-')}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
