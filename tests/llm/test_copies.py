@@ -2,7 +2,6 @@
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from lamplight.llm import simhash, simhash_wide
 
@@ -92,19 +91,3 @@ def test_similar_documents(spark, nothing):
     assert all(got[10 * g + 2] == 10 * g + 2 for g in range(40))
     assert got[1002] == 1001 and got[1004] == 1003
     assert simhash_wide.similar_documents(nothing).count() == 0
-
-
-def test_pipeline(spark, folder):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    at, columns = docs, None
-    for name, stage in p.STAGES[:-1]:
-        at = p.written(stage(spark, at, folder), "test-stage")
-        assert at.columns == docs.columns, name
-        columns = at
-    out = p.STAGES[-1][1](spark, columns, folder).toPandas()
-    assert len(p.STAGES) == 5 and out.groupby("sequence_id").length.sum().max() <= 1024
-    assert set(out.doc_id) <= {r.doc_id for r in columns.select("doc_id").distinct().collect()}
-    assert columns.select("doc_id").distinct().count() <= docs.count()
-    assert at.where(F.col("text").isNull()).count() == 0
