@@ -154,6 +154,17 @@ def test_vectors(spark):
     assert {r.chunk_id for r in rows} == {1} and sum(r.weight**2 for r in rows) == pytest.approx(1)
 
 
+def test_matrix_and_join_find_the_same(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    a, b = search.hashed_vectors(docs).cache(), search.hashed_vectors(asked, id_col="query_id").cache()
+    take = lambda: {(r.query_id, r.rank): (r.chunk_id, round(r.score, 9)) for r in search.hashed_search(a, b, 7).collect()}
+    by_matrix = take()
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 10)
+    assert by_matrix == take() and len(by_matrix) == 7 * asked.count()
+    assert search.hashed_search(a, b.where("query_id < 0"), 3).count() == 0
+
+
 def test_greedy_retention(spark):
     rows = [(1, "u1", "b1"), (2, "u1", "b2"), (3, "u3", "b2"), (4, "u3", "b9"), (5, "", ""), (6, "", "")]
     df = spark.createDataFrame(rows, "id long, url string, body string")
