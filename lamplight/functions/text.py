@@ -171,7 +171,7 @@ REDACTIONS = (
     (r"(?<!\d)(?:10(?:\.\d{1,3}){3}|127(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})(?!\d)", "[내부 주소 제거]"),
     (r"(?i)(?<![\w:])(?:::1|f[cd][0-9a-f]{2}(?::[0-9a-f]{0,4}){2,}|fe[89ab][0-9a-f](?::[0-9a-f]{0,4}){2,})(?![\w:])", "[내부 주소 제거]"),
     (r"(?i)(?<![0-9a-f])[0-9a-f]{32}(?![0-9a-f])", "[세션 식별자 제거]"),
-    (r"(?i)(?<![\w-])(?:mokpo_hist_\d+|[\w-]+::\d+|(?:document|chunk|source)[_-]id\s*[:=]\s*[^\s]+)", "[내부 식별자 제거]"),
+    (r"(?i)(?<![\w-])(?:[a-z]+_hist_\d+|[\w-]+::\d+|(?:document|chunk|source)[_-]id\s*[:=]\s*[^\s]+)", "[내부 식별자 제거]"),
     (r"(?i)\b(?:api[_-]?key|access[_-]?token|secret|password|ssh[_-]?key|vpn[_-]?key)\s*[:=]\s*[^\s,;]+", "[비밀정보 제거]"),
 )
 

@@ -70,7 +70,7 @@ CASES = (
     Case("INTEREST_PEOPLE", "PEOPLE_TOPIC", 0.92, ("사람", "인물", "누구"), tags=("interest_people",)),
     Case("INTEREST_DAILY_CITY", "DAILY_CITY_TOPIC", 0.90, ("생활", "교통", "상업", "주변", "거리", "도시", "기차", "역"), fact=True, tags=("interest_daily_life",)),
     Case("COMPARISON_CONTEXT", "COMPARISON_TOPIC", 0.86, ("달라", "남아 있는", "비교", "연결되는")),
-    Case("FREE_CHAT_GREETING", "GREETING", 0.98, pattern=r"^\s*(?:안녕|안녕하세요|반가워|안녕\s*기록새)[.!?]*\s*$"),
+    Case("FREE_CHAT_GREETING", "GREETING", 0.98, pattern=r"^\s*(?:안녕|안녕하세요|반가워)[.!?]*\s*$"),
     Case("PERSONAL_AND_LIGHT_CHAT", "ACKNOWLEDGEMENT", 0.98, pattern=r"^\s*(?:고마워|감사해|감사합니다|알겠어|알겠습니다|그렇구나|응|좋아|오케이)[.!?]*\s*$"),
     Case("HISTORY_FACT_QUESTION", "ENTITY_ONLY_HISTORY_QUERY", 0.78, pattern=r"^\s*[가-힣·]{1,30}(?:\s+[가-힣·]{2,30}){0,3}[?.!]*\s*$"),
     Case("HISTORY_FACT_QUESTION", "FACT_QUESTION", 0.82, fact=True),
