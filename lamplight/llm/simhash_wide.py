@@ -5,17 +5,21 @@ than the few bits that bands can guarantee.  Here fingerprints have 256 bits and
 are keyed by bits drawn at random, so that a similar pair falls into one shard in at
 least one of several tables with the wanted probability (0.95 at the similarity itself,
 rising quickly above).  The number of key bits follows the logarithm of the number of
-fingerprints, which keeps shards small at any size.  In each shard a BK-tree finds a
-neighbour within the radius; the pair is a candidate, and an exact comparison of the
-shingle sets decides.  A fingerprint gives one candidate per table, not one per neighbour,
-so candidates grow with the fingerprints and not with the square of a group.
+fingerprints.  In each shard a BK-tree finds a neighbour within the radius; the pair is a
+candidate, and an exact comparison of the shingle sets decides.  A second round takes
+every pair within the radius that the first left in different classes: copies inside a
+family of documents that share a template are found among neighbours that are none.
+Candidates of the first round grow with the fingerprints; those of the second with the
+square of such a family, but not of a group of copies, which the first round has joined.
 
 Cases: as in simhash: null and empty texts are one group, fewer words than a shingle form
-one shingle, equal rows share a component, an empty table gives an empty result.
+one shingle, equal rows share a component, documents without an id are told apart by their
+texts, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -45,9 +49,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], dtype="<u8")
 
 
-def simhash256(text: str | None, width: int) -> bytes:
-    """Majority bits of four mixes of each shingle's hash."""
-    hashes = shingle_hashes(text, width)
+def simhash256(hashes: np.ndarray) -> bytes:
+    """Majority bits of four mixes of the hashes of a shingle set."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 16384):
         part = hashes[at : at + 16384, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -68,15 +71,19 @@ def table_count(similarity: float, key_bits: int, recall: float = RECALL) -> int
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** key_bits))
 
 
-def candidate_pairs(fps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints fps (fp) that a tree found within the radius."""
-    n = fps.count()
+def candidate_pairs(items: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+    """(a, b): pairs of items (n, fp, root) in a common shard within the radius.
+
+    One neighbour per item and shard, found by a tree; or, if `every` is set, all pairs of different roots.
+    """
+    n = items.count()
     key_bits = max(16, math.ceil(math.log2(max(n, 1))))
     tables = table_count(similarity, key_bits)
     share = differing_share(similarity)
     radius = math.floor(BITS * share + 2 * math.sqrt(BITS * share * (1 - share)))
-    keyed_schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType())])
-    pair_schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    carried_columns = ["n", "fp", "root"] if every else ["n", "fp"]
+    keyed_schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("key", T.LongType()), *(items.schema[c] for c in carried_columns)])
+    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = [np.random.default_rng(t).choice(BITS, key_bits, replace=False) for t in range(tables)]
@@ -84,65 +91,111 @@ def candidate_pairs(fps: DataFrame, similarity: float) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                fp = batch.column("fp")
-                bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                fp, size = batch.column("fp"), batch.num_rows
+                bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(size, -1), axis=1, bitorder="little")
                 for t, places in enumerate(drawn):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, dtype=np.int32)), pa.array(bits[:, places] @ powers), fp], names=keyed_schema.fieldNames())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, dtype=np.int32)), pa.array(bits[:, places] @ powers), *(batch.column(c) for c in carried_columns)], names=keyed_schema.fieldNames())
+
+    def first_pairs(members: list[tuple]) -> Iterator[list[tuple[int, int]]]:
+        found, tree = [], BKTree()
+        values = [int.from_bytes(m[1], "little") for m in members]
+        for i, v in enumerate(values):
+            if (j := tree.first(v, radius)) is not None:
+                found.append((members[i][0], members[j][0]))
+            tree.add(v, i)
+        yield found
+
+    def all_pairs(members: list[tuple]) -> Iterator[list[tuple[int, int]]]:
+        if len({m[2] for m in members}) == 1:
+            return
+        if len(members) <= 12:
+            values = [(m[0], int.from_bytes(m[1], "little"), m[2]) for m in members]
+            yield [(x, y) for i, (x, v, r) in enumerate(values) for y, w, s in values[:i] if r != s and (v ^ w).bit_count() <= radius]
+            return
+        names, roots = (np.array([m[k] for m in members], dtype=np.int64) for k in (0, 2))
+        words = np.frombuffer(b"".join(m[1] for m in members), dtype="<u8").reshape(len(members), -1)
+        for at in range(1, len(members), 128):  # bounded memory for large shards
+            rows = np.arange(at, min(at + 128, len(members)))
+            far = np.zeros((len(rows), rows[-1]), dtype=np.int64)
+            for k in range(words.shape[1]):
+                far += np.bitwise_count(words[rows, k, None] ^ words[None, : rows[-1], k])
+            hit = (far <= radius) & (roots[rows, None] != roots[None, : rows[-1]]) & (rows[:, None] > np.arange(rows[-1]))
+            i, j = np.nonzero(hit)
+            yield list(zip(names[rows[i]].tolist(), names[j].tolist(), strict=True))
+
+    pairs = all_pairs if every else first_pairs
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[bytes] = []
+        carried: list[tuple] = []
         open_key: tuple[int, int] | None = None
+        found: list[tuple[int, int]] = []
 
-        def pairs(members: list[bytes]) -> list[tuple[bytes, bytes]]:
-            found, tree = [], BKTree()
-            values = [int.from_bytes(m, "little") for m in members]
-            for i, v in enumerate(values):
-                if (j := tree.first(v, radius)) is not None:
-                    found.append((members[i], members[j]))
-                tree.add(v, i)
-            return found
+        def as_batch() -> pa.RecordBatch:
+            both = np.array(found, dtype=np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both.max(axis=1)), pa.array(both.min(axis=1))], names=["a", "b"])
 
-        def as_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.binary()), pa.array([min(x) for x in found], pa.binary())], names=["a", "b"])
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(carried) > 1:
+                for more in pairs(carried):
+                    found.extend(more)
+                    if len(found) > 65536:
+                        yield as_batch()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table, key = batch.column("table").to_numpy(), batch.column("key").to_numpy()
-            fp = batch.column("fp").to_pylist()
+            members = list(zip(*(batch.column(c).to_pylist() for c in carried_columns), strict=True))
             edges = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-            found: list[tuple[bytes, bytes]] = []
-            starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(fp)]
+            starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(members)]
             for a, b in zip(starts, ends, strict=True):
                 this = (int(table[a]), int(key[a]))
                 if this != open_key:
-                    if len(carried) > 1:
-                        found += pairs(carried)
-                    open_key, carried = this, fp[a:b]
+                    yield from close()
+                    open_key, carried = this, members[a:b]
                 else:
-                    carried += fp[a:b]
-            yield as_batch(found)
-        if len(carried) > 1:
-            yield as_batch(pairs(carried))
+                    carried += members[a:b]
+        yield from close()
+        if found:
+            yield as_batch()
 
-    keyed = fps.mapInArrow(keys, keyed_schema).repartition("table", "key").sortWithinPartitions("table", "key")
+    keyed = items.select(*carried_columns).mapInArrow(keys, keyed_schema).repartition("table", "key").sortWithinPartitions("table", "key")
     return keyed.mapInArrow(search, pair_schema).distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): components of documents whose shingle sets have the similarity; the smallest id names one."""
-    print_schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.BinaryType())])
-    set_schema = T.StructType([docs.schema[id_col], T.StructField("hashes", T.BinaryType())])
+def set_digest(hashes: np.ndarray) -> bytes:
+    """128 bits that name a shingle set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(*keep, class): a row per document; documents that similar shingle sets connect have the same class.
+
+    Documents are told apart by their texts alone, so ids may be null or repeated.  Candidates
+    come in two rounds: one neighbour per item and shard, whose exact comparison joins most of
+    a group of copies, and then every pair that is still in different classes, so that a
+    neighbour which is no copy hides none.
+    """
+    print_schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_of", T.StringType()), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.BinaryType())])
+    set_schema = T.StructType([T.StructField("_of", T.StringType()), T.StructField("hashes", T.BinaryType())])
+    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    text_hash = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash256(x.as_py(), width) for x in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps, pa.binary())], names=print_schema.fieldNames())
+            digests, sizes, fps = [], [], []
+            for x in batch.column(text_col):
+                hashes = np.unique(shingle_hashes(x.as_py(), width))
+                digests.append(set_digest(hashes))
+                sizes.append(len(hashes))
+                fps.append(simhash256(shingle_hashes(x.as_py(), width)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "_of"]), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=print_schema.fieldNames())
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), width)).tobytes() for x in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(sets, pa.binary())], names=set_schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column("_of"), pa.array(sets, pa.binary())], names=set_schema.fieldNames())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,17 +206,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 keep.append(common >= similarity * (len(p) + len(q) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    prints = written(docs.select(id_col, text_col).mapInArrow(fingerprint, print_schema), "similar-prints")
-    smallest = written(prints.groupBy("fp").agg(F.min(id_col).alias("_id")), "similar-distinct")
-    pairs = candidate_pairs(smallest.select("fp"), similarity)
-    ids = lambda c: smallest.select(F.col("fp").alias(c), F.col("_id").alias(f"{c}_id"))
-    named = written(pairs.join(ids("a"), "a").join(ids("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "similar-pairs")
-    members = named.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    # Only texts in a candidate pair are read again; one row for each id.
-    texts = docs.select(id_col, text_col).join(members, id_col, "left_semi").groupBy(id_col).agg(F.first(text_col).alias(text_col))
-    sets = written(texts.mapInArrow(shingles, set_schema), "similar-sets")
-    with_a = named.join(sets.select(F.col(id_col).alias("a"), F.col("hashes").alias("_a")), "a")
-    both = with_a.join(sets.select(F.col(id_col).alias("b"), F.col("hashes").alias("_b")), "b").select("a", "b", "_a", "_b")
-    roots = components(both.mapInArrow(compare, named.schema))
-    grouped = smallest.join(roots, smallest["_id"] == roots["node"], "left").select("fp", F.coalesce("root", "_id").alias("component_id"))
-    return prints.join(grouped, "fp").select(id_col, "component_id")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole shingle sets have the similarity."""
+        of = lambda c: items.select(F.col("n").alias(c), F.col("size").alias(f"{c}_size"))
+        # Sets of too different sizes can't have it.
+        fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
+        named = written(pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b"), "similar-pairs")
+        members = items.join(named.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "n", "left_semi")
+        # Only texts in a candidate pair are read again, each text once.
+        texts = keyed.select("_of", text_col).join(members.select("_of"), "_of", "left_semi").groupBy("_of").agg(F.first(text_col).alias(text_col))
+        sets = written(texts.mapInArrow(shingles, set_schema).join(members.select("_of", "n"), "_of").select("n", "hashes"), "similar-sets")
+        with_a = named.join(sets.select(F.col("n").alias("a"), F.col("hashes").alias("_a")), "a")
+        both = with_a.join(sets.select(F.col("n").alias("b"), F.col("hashes").alias("_b")), "b").select("a", "b", "_a", "_b")
+        return written(both.mapInArrow(compare, pair_schema), "similar-confirmed")
+
+    def with_roots(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return items.join(roots, items["n"] == roots["node"], "left").select("n", "set", "fp", F.coalesce("root", "n").alias("root"))
+
+    keyed = docs.select(*dict.fromkeys([*keep, text_col])).withColumn("_of", text_hash)
+    prints = written(keyed.mapInArrow(fingerprint, print_schema), "similar-prints")
+    distinct = prints.groupBy("fp").agg(F.min("_of").alias("_of"), F.min("size").alias("size"), F.min("set").alias("set"))
+    items = written(distinct.select(F.monotonically_increasing_id().alias("n"), "set", "_of", "size", "fp"), "similar-items")
+    first = confirmed(candidate_pairs(items, similarity))
+    rest = confirmed(candidate_pairs(written(with_roots(first), "similar-roots"), similarity, every=True))
+    return prints.select(*keep, "fp").join(with_roots(first.unionByName(rest)).select("fp", F.col("root").alias("class")), "fp").select(*keep, "class")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): components of documents whose shingle sets have the similarity; the smallest id names one."""
+    classes = written(similar_classes(docs, [id_col], text_col, width, similarity), "similar-classes")
+    return classes.join(classes.groupBy("class").agg(F.min(id_col).alias("component_id")), "class").select(id_col, "component_id")

@@ -91,3 +91,20 @@ def test_similar_documents(spark, nothing):
     assert all(got[10 * g + 2] == 10 * g + 2 for g in range(40))
     assert got[1002] == 1001 and got[1004] == 1003
     assert simhash_wide.similar_documents(nothing).count() == 0
+
+
+def test_copies_inside_a_family_of_similar_documents_are_found(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    template, rows = word(330), []
+    for g in range(300):
+        base = template + word(70)
+        rows.append((2 * g, " ".join(base)))
+        if g < 60:
+            edited = list(base)
+            edited[335:362] = word(27)
+            rows.append((2 * g + 1, " ".join(edited)))
+    got = {r.doc_id: r.component_id for r in simhash_wide.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * g + 1] == 2 * g for g in range(60))
+    assert found >= 57, found
+    assert all(got[2 * g] == 2 * g for g in range(300))
