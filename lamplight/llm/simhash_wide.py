@@ -12,6 +12,9 @@ family of documents that share a template are found among neighbours that are no
 Candidates of the first round grow with the fingerprints; those of the second with the
 square of such a family, but not of a group of copies, which the first round has joined.
 
+Fingerprints are of shingle sets, as the comparison is: repeats count once, and different
+sets with equal fingerprints are candidates like others.
+
 Cases: as in simhash: null and empty texts are one group, fewer words than a shingle form
 one shingle, equal rows share a component, documents without an id are told apart by their
 texts, an empty table gives an empty result.
@@ -189,7 +192,7 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
                 hashes = np.unique(shingle_hashes(x.as_py(), width))
                 digests.append(set_digest(hashes))
                 sizes.append(len(hashes))
-                fps.append(simhash256(shingle_hashes(x.as_py(), width)))
+                fps.append(simhash256(hashes))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "_of"]), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=print_schema.fieldNames())
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +229,11 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
 
     keyed = docs.select(*dict.fromkeys([*keep, text_col])).withColumn("_of", text_hash)
     prints = written(keyed.mapInArrow(fingerprint, print_schema), "similar-prints")
-    distinct = prints.groupBy("fp").agg(F.min("_of").alias("_of"), F.min("size").alias("size"), F.min("set").alias("set"))
+    distinct = prints.groupBy("set").agg(F.min("_of").alias("_of"), F.min("size").alias("size"), F.min("fp").alias("fp"))
     items = written(distinct.select(F.monotonically_increasing_id().alias("n"), "set", "_of", "size", "fp"), "similar-items")
     first = confirmed(candidate_pairs(items, similarity))
     rest = confirmed(candidate_pairs(written(with_roots(first), "similar-roots"), similarity, every=True))
-    return prints.select(*keep, "fp").join(with_roots(first.unionByName(rest)).select("fp", F.col("root").alias("class")), "fp").select(*keep, "class")
+    return prints.select(*keep, "set").join(with_roots(first.unionByName(rest)).select("set", F.col("root").alias("class")), "set").select(*keep, "class")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -108,3 +108,12 @@ def test_copies_inside_a_family_of_similar_documents_are_found(spark):
     found = sum(got[2 * g + 1] == 2 * g for g in range(60))
     assert found >= 57, found
     assert all(got[2 * g] == 2 * g for g in range(300))
+
+
+def test_sets_decide_and_not_repeats(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    filler, own = "0 " * 900, word(100)
+    rows = [(1, filler + " ".join(word(100))), (2, filler + " ".join(word(100))), (3, " ".join(own)), (4, " ".join(own + own[:60] * 5))]
+    got = {r.doc_id: r.component_id for r in simhash_wide.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
