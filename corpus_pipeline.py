@@ -28,9 +28,17 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose five-word shingles are similar by 0.8 or more."""
-    found = simhash_wide.similar_documents(docs, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group whose five-word shingles are similar by 0.8 or more.
+
+    It is that of the smallest id.  Documents without an id come after those with one, and
+    rows of one id are told apart by a hash of all their columns; equal rows are one.
+    """
+    from pyspark.sql import functions as F
+
+    rows = docs.select(*COLUMNS).withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)).cast("binary"), 256))
+    classes = simhash_wide.similar_classes(rows, ["doc_id", "_row"], width=5, similarity=0.8)
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

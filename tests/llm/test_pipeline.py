@@ -80,3 +80,10 @@ def test_pack(stages):
 
 def test_run(spark, folder, stages):
     assert p.run(spark, folder).count() == stages["pack"][1].count()
+
+
+def test_near_copies_without_ids_or_with_repeated_ones(spark, odd, folder):
+    other = [(None, "a text without an id that nothing else repeats here", "en", "a", 1), (None, "another text without an id and also of its own", "en", "a", 1), (9, "the second text of an id that is there twice", "en", "c", 1)]
+    after = p.one_of_each(spark, odd.unionByName(spark.createDataFrame(other, odd.schema)), folder).collect()
+    assert Counter(r.doc_id for r in after) == {1: 1, 2: 1, 3: 1, 6: 1, 8: 1, 9: 2, None: 2}
+    assert {r.text for r in after} >= {x[1] for x in other}
