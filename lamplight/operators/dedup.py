@@ -96,18 +96,19 @@ def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return out.withColumns({"dup_method": method, "dup_of": of}).drop(*[f"_first_{k}" for k in keys])
 
 
-def retained_in_order(rows: DataFrame, keys: list[str], order: str, rounds: int = 20) -> DataFrame:
+def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """rows with dup_method and dup_of, where a confirmed duplicate is no original for later rows.
 
     Row C that shares a key only with duplicate B of A is unique.  Rows whose duplicates
     are decided are fixed round by round: a row is a duplicate if an earlier retained row
     shares a key, and retained once no earlier undecided row does.  Each round is two
-    aggregations per key; chains of alternating keys decide how many there are.
+    aggregations per key; chains of alternating keys decide how many there are.  Each
+    decides at least the earliest open row, and the rounds end when none is open.
     """
     from lamplight.sources.tables import written
 
     state = rows.withColumn("_state", F.lit(0))  # 0 open, 1 retained, 2 duplicate
-    for _ in range(rounds):
+    while True:
         marked = state
         for k in keys:
             value = F.col(k)

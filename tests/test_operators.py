@@ -174,6 +174,12 @@ def test_greedy_retention(spark):
     assert first == {1: None, 2: 1, 3: 2, 4: 3, 5: None, 6: None}
 
 
+def test_greedy_retention_of_a_long_chain(spark):
+    rows = [(i, f"u{i // 2}", f"b{(i + 1) // 2}") for i in range(48)]
+    got = {r.id: r.dup_of for r in dedup.retained_in_order(spark.createDataFrame(rows, "id long, url string, body string"), ["url", "body"], "id").collect()}
+    assert got == {i: i - 1 if i % 2 else None for i in range(48)}
+
+
 def plain_simhash(words):
     import hashlib
 
