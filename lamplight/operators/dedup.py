@@ -137,22 +137,44 @@ def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     return out.withColumns({"dup_method": F.when(dup, method), "dup_of": F.when(dup, of)}).select(*rows.columns, "dup_method", "dup_of")
 
 
+def title_grams(titles: DataFrame) -> DataFrame:
+    """titles with m, the length, and grams: two-letter pieces, each with its number among equal ones; a single letter is its own."""
+    pieces = titles.withColumn("m", F.length("title")).withColumn("_p", F.when(F.length("title") < 2, F.array("title")).otherwise(F.transform(F.sequence(F.lit(1), F.length("title") - 1), lambda i: F.substring(F.col("title"), i, F.lit(2)))))
+    each = pieces.select("title", "m", F.explode("_p").alias("_g")).groupBy("title", "m", "_g").agg(F.count("*").alias("_n"))
+    numbered = each.select("title", "m", F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.concat_ws("\u0000", F.col("_g"), i.cast("string")))).alias("gram"))
+    return numbered.groupBy("title", "m").agg(F.collect_list("gram").alias("grams"))
+
+
 def similar_titles(rows: DataFrame, id_col: str, title_col: str, least: float = 0.88) -> DataFrame:
-    """(left_id, right_id, similarity) of titles alike by difflib's ratio.
+    """(left_id, right_id, similarity) of titles alike by difflib's ratio; none is missed.
 
-    A ratio of r needs lengths within a factor (2 - r) / r and r shared characters; titles
-    meet by length class and a rare word or by equal first characters, then are compared.
+    A ratio of r needs M >= r (m + n) / 2 matched characters of lengths m and n, so lengths
+    within a factor (2 - r) / r.  Each of the m + n - 2 M others breaks at most one pair of
+    neighbours, so 3 M - 1 - (m + n) two-letter pieces are common.  Titles meet by so many of
+    their rarest pieces that two with that much in common can't miss each other.  Distinct
+    titles are compared once in each order, as the ratio depends on it.
     """
-    low = rows.select(F.col(id_col).alias("id"), F.lower(X.collapse(F.col(title_col))).alias("title")).where("title <> ''")
-    words = low.select("id", "title", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    spread = words.groupBy("word").agg(F.count("*").alias("n"))
-    rare = words.join(spread, "word").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("n", "word"))).where("_r <= 3")
-    a = rare.select(F.col("id").alias("left_id"), F.col("title").alias("a"), "word")
-    b = rare.select(F.col("id").alias("right_id"), F.col("title").alias("b"), "word")
-    pairs = a.join(b, "word").where("left_id < right_id").drop("word").distinct()
-    near = F.length("a") * (2 - least) / least >= F.length("b")
-    back = F.length("b") * (2 - least) / least >= F.length("a")
-    return pairs.where(near & back).withColumn("similarity", similarity_ratio("a", "b")).where(F.col("similarity") >= least).select("left_id", "right_id", F.round("similarity", 3).alias("similarity"))
+    from lamplight.sources.tables import written
+
+    low = written(rows.select(F.col(id_col).alias("id"), F.lower(X.collapse(F.col(title_col))).alias("title")).where("title <> ''"), "titles")
+    shared = lambda m, n: F.ceil((1.5 * least - 1) * (m + n) - 1 - 1e-9)
+    sets = written(title_grams(low.select("title").distinct()), "title-grams")
+    each = sets.select("title", "m", F.size("grams").alias("k"), F.explode("grams").alias("g"))
+    spread = each.groupBy("g").agg(F.count("*").alias("n"))
+    ordered = each.join(spread, "g").withColumn("_r", F.row_number().over(Window.partitionBy("title").orderBy("n", "g")))
+    # The shortest partner needs the fewest common pieces.
+    fewest = F.greatest(shared(F.col("m"), F.col("m") * least / (2 - least)), F.lit(1))
+    prefix = ordered.where(F.col("_r") <= F.col("k") - fewest + 1)
+    near = (F.col("m") * (2 - least) / least + 1e-9 >= F.col("n")) & (F.col("n") * (2 - least) / least + 1e-9 >= F.col("m"))
+    a, b = prefix.select(F.col("title").alias("a"), "m", "g"), prefix.select(F.col("title").alias("b"), F.col("m").alias("n"), "g")
+    pairs = a.join(b, "g").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("title").alias("a"), "m", F.col("grams").alias("x")), "a").join(sets.select(F.col("title").alias("b"), F.col("m").alias("n"), F.col("grams").alias("y")), "b")
+    kept = both.where(F.size(F.array_intersect("x", "y")) >= shared(F.col("m"), F.col("n"))).select("a", "b")
+    alike = kept.withColumn("similarity", similarity_ratio("a", "b")).where(F.col("similarity") >= least)
+    same = low.select("title").distinct().select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(1.0).alias("similarity"))
+    left, right = low.select(F.col("id").alias("left_id"), F.col("title").alias("a")), low.select(F.col("id").alias("right_id"), F.col("title").alias("b"))
+    found = alike.unionByName(same).join(left, "a").join(right, "b").where("left_id < right_id")
+    return found.select("left_id", "right_id", F.round("similarity", 3).alias("similarity"))
 
 
 def token_jaccard(rows: DataFrame, id_col: str, tokens_col: str, least: float = 0.9) -> DataFrame:

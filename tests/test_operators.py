@@ -200,6 +200,24 @@ def test_simhash(spark):
     assert near == {2: (1, 8), 3: (2, 1), 5: (1, 0)}
 
 
+def test_similar_titles_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(6)
+    titles = ["a", "a", "b", "ab", "ba", "aaaaaaaaaa", "aaaaaaaaaab", "internationalisation", "internationalization", "목포항의옛모습과기록", "목포항의옛모습과기럭"]
+    for _ in range(40):
+        base = "".join(draw.choice("abcde ") for _ in range(draw.randint(3, 60))).strip()
+        edited = list(base)
+        for _ in range(max(1, len(base) // 12)):
+            edited[draw.randrange(len(edited))] = draw.choice("abcdexyz")
+        titles += [base, "".join(edited)]
+    titles = [" ".join(t.split()) for t in titles]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    want = {(i, j) for j, b in enumerate(titles) for i, a in enumerate(titles[:j]) if a and b and SequenceMatcher(None, a, b).ratio() >= 0.88}
+    got = [(r.left_id, r.right_id) for r in dedup.similar_titles(df, "id", "title").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_similar_titles_and_tokens(spark):
     df = spark.createDataFrame([(1, "the old harbour of the town"), (2, "The old harbour of the towns"), (3, "something else")], "id long, title string")
     assert [(r.left_id, r.right_id) for r in dedup.similar_titles(df, "id", "title").collect()] == [(1, 2)]
