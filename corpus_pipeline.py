@@ -14,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters or without words of any are rejected."""
+    """Documents in one of the learned languages; texts without letters are rejected."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.predict(docs.select(*COLUMNS), model)
     return found.where("lang_pred <> 'und'").select(*COLUMNS)
