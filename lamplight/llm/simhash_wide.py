@@ -4,27 +4,40 @@ Two texts of similarity 0.8 differ in about a seventh of their fingerprint bits,
 than the few bits that bands can guarantee.  Here fingerprints have 256 bits and shards
 are keyed by bits drawn at random, so that a similar pair falls into one shard in at
 least one of several tables with the wanted probability (0.95 at the similarity itself,
-rising quickly above).  The number of key bits follows the logarithm of the number of
-fingerprints.  In each shard a BK-tree finds a neighbour within the radius; the pair is a
-candidate, and an exact comparison of the shingle sets decides.  A second round takes
-every pair within the radius that the first left in different classes: copies inside a
-family of documents that share a template are found among neighbours that are none.
-Candidates of the first round grow with the fingerprints; those of the second with the
-square of such a family, but not of a group of copies, which the first round has joined.
+rising quickly above).  A shard holds some 64 unrelated fingerprints at any number of
+documents: the key has the logarithm of their number less six bits.
+
+Candidates come in three rounds, and an exact comparison of shingle sets decides on them:
+
+1. A BK-tree per shard holds its leaders.  A fingerprint within the expected distance of a
+   leader is a candidate with it; any other becomes a leader.  That is one pair for each
+   fingerprint and shard, and joins nearly all of a group of copies however large it is.
+   Shards over `SHARD_LIMIT` are salted, by table, so that their parts meet in other tables.
+2. Each fingerprint outside the largest class of its shard with the nearest one of another
+   class: one pair for each fingerprint, which joins most of what the leaders left apart.
+3. All pairs within the wide radius whose documents are still in different classes.  In a
+   shard these are the members outside its largest class against all; shards over
+   `SHARD_LIMIT` are cut into blocks, to which only those members are copied.
+
+Candidates of the third round grow with the square of a family of documents that are
+alike by somewhat less than the similarity, but not of a group of copies.
 
 Fingerprints are of shingle sets, as the comparison is: repeats count once, and different
 sets with equal fingerprints are candidates like others.
 
-Cases: as in simhash: null and empty texts are one group, fewer words than a shingle form
-one shingle, equal rows share a component, documents without an id are told apart by their
-texts, an empty table gives an empty result.
+Cases: null and empty texts are one group, fewer words than a shingle form one shingle,
+equal rows share a class, documents without an id are told apart by their texts, an empty
+table gives an empty result; very long texts are hashed in blocks; ties (equal distances)
+don't matter, since classes are connected components; extra columns are dropped unless
+kept, columns whose names start with an underscore may not be kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +50,10 @@ from lamplight.llm.simhash import LOWER, BKTree, components
 
 BITS = 256
 RECALL = 0.95
+#: Members beyond which a shard is divided.
+SHARD_LIMIT = 4096
+#: Keys of divided shards (20 bytes each) are broadcast up to this many, else joined by shuffle.
+BROADCAST_SHARDS = 200_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -74,97 +91,162 @@ def table_count(similarity: float, key_bits: int, recall: float = RECALL) -> int
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** key_bits))
 
 
-def candidate_pairs(items: DataFrame, similarity: float, every: bool = False) -> DataFrame:
-    """(a, b): pairs of items (n, fp, root) in a common shard within the radius.
+class Shape(NamedTuple):
+    """How fingerprints are dealt to shards, and the radii of the two rounds."""
 
-    One neighbour per item and shard, found by a tree; or, if `every` is set, all pairs of different roots.
-    """
-    n = items.count()
-    key_bits = max(16, math.ceil(math.log2(max(n, 1))))
-    tables = table_count(similarity, key_bits)
+    key_bits: int
+    tables: int
+    near: int
+    wide: int
+
+
+def shape(n: int, similarity: float) -> Shape:
+    key_bits = max(10, math.ceil(math.log2(max(n, 1))) - 6)
     share = differing_share(similarity)
-    radius = math.floor(BITS * share + 2 * math.sqrt(BITS * share * (1 - share)))
-    carried_columns = ["n", "fp", "root"] if every else ["n", "fp"]
-    keyed_schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("key", T.LongType()), *(items.schema[c] for c in carried_columns)])
-    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    return Shape(key_bits, table_count(similarity, key_bits), round(BITS * share), math.floor(BITS * share + 2 * math.sqrt(BITS * share * (1 - share))))
+
+
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+FAR_PAIR = T.StructType([*PAIR.fields, T.StructField("far", T.LongType())])
+
+
+def in_shards(items: DataFrame, carried: list[str], of: Shape) -> DataFrame:
+    """(table, key, *carried): a row per item and table."""
+    schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("key", T.LongType()), *(items.schema[c] for c in carried)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = [np.random.default_rng(t).choice(BITS, key_bits, replace=False) for t in range(tables)]
-        powers = 1 << np.arange(key_bits, dtype=np.int64)
+        drawn = [np.random.default_rng(t).choice(BITS, of.key_bits, replace=False) for t in range(of.tables)]
+        powers = 1 << np.arange(of.key_bits, dtype=np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                fp, size = batch.column("fp"), batch.num_rows
-                bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(size, -1), axis=1, bitorder="little")
+                size = batch.num_rows
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(size, -1), axis=1, bitorder="little")
                 for t, places in enumerate(drawn):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, dtype=np.int32)), pa.array(bits[:, places] @ powers), *(batch.column(c) for c in carried_columns)], names=keyed_schema.fieldNames())
-
-    def first_pairs(members: list[tuple]) -> Iterator[list[tuple[int, int]]]:
-        found, tree = [], BKTree()
-        values = [int.from_bytes(m[1], "little") for m in members]
-        for i, v in enumerate(values):
-            if (j := tree.first(v, radius)) is not None:
-                found.append((members[i][0], members[j][0]))
-            tree.add(v, i)
-        yield found
-
-    def all_pairs(members: list[tuple]) -> Iterator[list[tuple[int, int]]]:
-        if len({m[2] for m in members}) == 1:
-            return
-        if len(members) <= 12:
-            values = [(m[0], int.from_bytes(m[1], "little"), m[2]) for m in members]
-            yield [(x, y) for i, (x, v, r) in enumerate(values) for y, w, s in values[:i] if r != s and (v ^ w).bit_count() <= radius]
-            return
-        names, roots = (np.array([m[k] for m in members], dtype=np.int64) for k in (0, 2))
-        words = np.frombuffer(b"".join(m[1] for m in members), dtype="<u8").reshape(len(members), -1)
-        for at in range(1, len(members), 128):  # bounded memory for large shards
-            rows = np.arange(at, min(at + 128, len(members)))
-            far = np.zeros((len(rows), rows[-1]), dtype=np.int64)
-            for k in range(words.shape[1]):
-                far += np.bitwise_count(words[rows, k, None] ^ words[None, : rows[-1], k])
-            hit = (far <= radius) & (roots[rows, None] != roots[None, : rows[-1]]) & (rows[:, None] > np.arange(rows[-1]))
-            i, j = np.nonzero(hit)
-            yield list(zip(names[rows[i]].tolist(), names[j].tolist(), strict=True))
-
-    pairs = all_pairs if every else first_pairs
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, dtype=np.int32)), pa.array(bits[:, places] @ powers), *(batch.column(c) for c in carried)], names=schema.fieldNames())
+
+    return items.select(*dict.fromkeys([*carried, "fp"])).mapInArrow(keys, schema)
+
+
+def joined_small(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join that broadcasts the written frame `few` while it has no more than BROADCAST_SHARDS rows."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_SHARDS else few, on, how)
+
+
+def by_shard(rows: DataFrame, pairs: Callable[[list], Iterator[np.ndarray]], keys: list[str], carried: list[str]) -> DataFrame:
+    """(a, b, far): what `pairs` yields (arrays of three columns) for the members of each shard, given as a list of arrays."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[tuple] = []
-        open_key: tuple[int, int] | None = None
-        found: list[tuple[int, int]] = []
+        open_key, members, found, size = None, [], [], 0
 
         def as_batch() -> pa.RecordBatch:
-            both = np.array(found, dtype=np.int64).reshape(-1, 2)
+            rows = np.concatenate(found)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both.max(axis=1)), pa.array(both.min(axis=1))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=FAR_PAIR.fieldNames())
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(carried) > 1:
-                for more in pairs(carried):
-                    found.extend(more)
-                    if len(found) > 65536:
+            nonlocal size
+            if members and sum(len(m[0]) for m in members) > 1:
+                for more in pairs([np.concatenate(c) for c in zip(*members, strict=True)]):
+                    found.append(more)
+                    size += len(more)
+                    if size > 65536:
                         yield as_batch()
+                        size = 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table, key = batch.column("table").to_numpy(), batch.column("key").to_numpy()
-            members = list(zip(*(batch.column(c).to_pylist() for c in carried_columns), strict=True))
-            edges = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(members)]
-            for a, b in zip(starts, ends, strict=True):
-                this = (int(table[a]), int(key[a]))
+            key = np.stack([batch.column(c).to_numpy() for c in keys]).astype(np.int64)
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
+            columns = [fps, *(batch.column(c).to_numpy() for c in carried)]
+            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for x, y in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                this = tuple(key[:, x].tolist())
                 if this != open_key:
                     yield from close()
-                    open_key, carried = this, members[a:b]
-                else:
-                    carried += members[a:b]
+                    open_key, members = this, []
+                members.append([c[x:y] for c in columns])
         yield from close()
         if found:
             yield as_batch()
 
-    keyed = items.select(*carried_columns).mapInArrow(keys, keyed_schema).repartition("table", "key").sortWithinPartitions("table", "key")
-    return keyed.mapInArrow(search, pair_schema).distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, FAR_PAIR).distinct()
+
+
+def leader_pairs(items: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """(a, b): each item (n, fp) with a leader of its shard."""
+    of = shape(items.count(), similarity)
+    rows = in_shards(items, ["n", "fp"], of)
+    hot = written(rows.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit), "similar-hot")
+    # The salt differs between tables, so that parts of a shard in one meet in another.
+    salt = F.pmod(F.xxhash64("n", "table"), F.coalesce(F.ceil(F.col("_n") / limit), F.lit(1))).alias("salt")
+    salted = joined_small(rows, hot, ["table", "key"], "left").select("table", "key", salt, "n", "fp")
+
+    def pairs(members: list[np.ndarray]) -> Iterator[np.ndarray]:
+        fps, names = members
+        names, raw, tree, found = names.tolist(), fps.tobytes(), BKTree(), []
+        for i in range(len(names)):
+            v = int.from_bytes(raw[i * BITS // 8 : (i + 1) * BITS // 8], "little")
+            j = tree.first(v, of.near)
+            if j is None:
+                tree.add(v, i)
+            else:
+                found.append((names[i], names[j], 0))
+        if found:
+            yield np.array(found, dtype=np.int64)
+
+    # One leader for each item over all tables keeps the exact comparisons in proportion to the items.
+    every = by_shard(salted, pairs, ["table", "key", "salt"], ["n"])
+    return every.groupBy("a").agg(F.min("b").alias("b"))
+
+
+def rest_pairs(items: DataFrame, similarity: float, limit: int, nearest: bool = False) -> DataFrame:
+    """(a, b): pairs of items (n, fp, root) of different roots that share a shard and lie within the wide radius.
+
+    All of them, or with `nearest` one for each item outside its shard's largest class.
+    """
+    of = shape(items.count(), similarity)
+    rows = in_shards(items, ["n", "fp", "root"], of)
+    hot = written(rows.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit), "similar-hot")
+    # The largest class of a hot shard; everything else in the shard is copied to each of its blocks.
+    sizes = joined_small(rows, hot, ["table", "key"], "inner").groupBy("table", "key", "root", "_n").agg(F.count("*").alias("_of"))
+    hot = written(sizes.groupBy("table", "key", "_n").agg(F.max_by("root", F.struct("_of", "root")).alias("_most")), "similar-hot-classes")
+    blocks = F.ceil(F.col("_n") / limit)
+    own = F.pmod(F.xxhash64("n"), blocks)
+    where = F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("_most"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    home = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(own)
+    dealt = joined_small(rows, hot, ["table", "key"], "left").select("table", "key", "n", "fp", "root", home.alias("home"), F.coalesce("_most", F.lit(-1)).alias("most"), F.explode(where).alias("block"))
+
+    def pairs(members: list[np.ndarray]) -> Iterator[np.ndarray]:
+        fps, names, roots, home, most, block = members
+        kinds, n = np.unique(roots, return_counts=True)
+        if len(kinds) == 1:
+            return
+        minor = roots != (most[0] if most[0] >= 0 else kinds[n.argmax()])
+        mine = home == block[0]
+        # Members outside the largest class against that class, and against each other once, in the block where the row is at home.
+        for at in range(0, len(names), 256):
+            i = at + np.flatnonzero(minor[at : at + 256])
+            if not len(i):
+                continue
+            far = np.zeros((len(i), len(names)), dtype=np.uint16)
+            for k in range(fps.shape[1]):
+                far += np.bitwise_count(fps[i, k, None] ^ fps[None, :, k])
+            far[roots[i, None] == roots[None]] = BITS + 1
+            if nearest:
+                y = far.argmin(axis=1)
+                x = np.flatnonzero(far[np.arange(len(i)), y] <= of.wide)
+                y = y[x]
+            else:
+                x, y = np.nonzero((far <= of.wide) & (~minor[None] | (mine[i, None] & (names[i, None] > names[None]))))
+            if len(x):
+                yield np.stack([names[i[x]], names[y], far[x, y]], axis=1).astype(np.int64)
+
+    found = by_shard(dealt, pairs, ["table", "key", "block"], ["n", "root", "home", "most", "block"])
+    if nearest:
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    return found.select("a", "b")
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
@@ -172,17 +254,13 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
     """(*keep, class): a row per document; documents that similar shingle sets connect have the same class.
 
-    Documents are told apart by their texts alone, so ids may be null or repeated.  Candidates
-    come in two rounds: one neighbour per item and shard, whose exact comparison joins most of
-    a group of copies, and then every pair that is still in different classes, so that a
-    neighbour which is no copy hides none.
+    Documents are told apart by their texts alone, so ids may be null or repeated.
     """
     print_schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_of", T.StringType()), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.BinaryType())])
     set_schema = T.StructType([T.StructField("_of", T.StringType()), T.StructField("hashes", T.BinaryType())])
-    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     text_hash = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +299,7 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
         sets = written(texts.mapInArrow(shingles, set_schema).join(members.select("_of", "n"), "_of").select("n", "hashes"), "similar-sets")
         with_a = named.join(sets.select(F.col("n").alias("a"), F.col("hashes").alias("_a")), "a")
         both = with_a.join(sets.select(F.col("n").alias("b"), F.col("hashes").alias("_b")), "b").select("a", "b", "_a", "_b")
-        return written(both.mapInArrow(compare, pair_schema), "similar-confirmed")
+        return written(both.mapInArrow(compare, PAIR), "similar-confirmed")
 
     def with_roots(links: DataFrame) -> DataFrame:
         roots = components(links)
@@ -231,9 +309,10 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
     prints = written(keyed.mapInArrow(fingerprint, print_schema), "similar-prints")
     distinct = prints.groupBy("set").agg(F.min("_of").alias("_of"), F.min("size").alias("size"), F.min("fp").alias("fp"))
     items = written(distinct.select(F.monotonically_increasing_id().alias("n"), "set", "_of", "size", "fp"), "similar-items")
-    first = confirmed(candidate_pairs(items, similarity))
-    rest = confirmed(candidate_pairs(written(with_roots(first), "similar-roots"), similarity, every=True))
-    return prints.select(*keep, "set").join(with_roots(first.unionByName(rest)).select("set", F.col("root").alias("class")), "set").select(*keep, "class")
+    found = confirmed(leader_pairs(items, similarity, limit))
+    for nearest in (True, False):
+        found = found.unionByName(confirmed(rest_pairs(written(with_roots(found), "similar-roots"), similarity, limit, nearest)))
+    return prints.select(*keep, "set").join(with_roots(found).select("set", F.col("root").alias("class")), "set").select(*keep, "class")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
