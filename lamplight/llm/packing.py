@@ -2,18 +2,22 @@
 
 How pieces are combined depends only on how many there are of each length, so the plan
 is made on that histogram, which has at most `capacity` entries however many pieces
-there are.  Sums of one, two and three lengths are indexed by hashing; every open length
-takes the combination that fills its gap exactly, as often as the counts allow; what is
-left is packed best-fit by decreasing length, again for whole counts at a time.
+there are.  Sums of one, two and three of the lengths present are indexed by hashing.
+The largest piece left opens a sequence; if its gap is in the index, a combination that
+fills it exactly is taken, else the largest piece that fits goes in and the new gap is
+looked up in turn.  A pattern is repeated as often as the counts allow.  Pairs and triples
+are only made of lengths of which at least two pieces are left: a length's last piece is
+kept as a single complement or best fit, without which small tables need more sequences.
 
 Spark does the rest: pieces are numbered within their length by (task, place in task)
 plus prefix sums over the small table of counts by task and length, and a piece's number
 falls into one slot of the plan, which names its sequence and offset.  No window orders
 all pieces of a length.  Texts are never shuffled.
 
-Cases: a null text is an empty one; an empty one is the end id alone; equal rows are
-packed separately; an empty table gives an empty result; only texts of more than
-`capacity` ids are cut, from their end, so that the first piece may be shorter.
+Cases: a null text is an empty one; an empty one is the end id alone; a very long one is
+cut like any other and held once; equal rows are packed separately; an empty table gives an empty result; only texts of more than
+`capacity` ids are cut, from their end, so that the first piece may be shorter; ties (equal
+lengths) are dealt by task and place; extra columns, clashing ones among them, are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,49 +38,72 @@ from lamplight.llm.common import written
 from lamplight.llm.token_units import byte_level_ids, unit_ids, vocabulary
 
 Pattern = tuple[tuple[int, ...], int]
+#: Pieces of a length that must be left for it to be used in pairs and triples.
+SPARE = 2
 #: Texts that a task encodes at a time.
 ROWS = 1024
 
 
 class ComplementIndex:
-    """Sums of one, two and three available lengths, hashed by sum.
+    """Sums of one, two and three of the lengths present, hashed by sum.
 
-    Pairs and triples are not stored one by one: a pair is found by probing the
-    complement of its larger member, a triple by probing the complement of a member
-    among the pairs.
+    A triple is kept as one length and the sum of a pair, whose pairs the index of pairs
+    holds: at most capacity squared entries in all.  Counts change while pieces are used
+    up, so an entry is only a candidate; the counts decide when it is looked up.
     """
 
-    def __init__(self, counts: np.ndarray):
-        self.left = counts
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left = left
+        lengths = np.flatnonzero(left[:capacity])
+        large, small = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        fits = (large >= small) & (large + small <= capacity)
+        self.pairs = by_sum(large[fits], small[fits])
+        first, two = (x.ravel() for x in np.meshgrid(lengths, np.array(sorted(self.pairs), dtype=np.int64), indexing="ij"))
+        fits = first + two <= capacity
+        self.triples = by_sum(first[fits], two[fits])
 
     def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if gap > 0 and self.left[gap] > 0 else None
+        return (gap,) if self.left[gap] > 0 else None
 
     def pair(self, gap: int) -> tuple[int, ...] | None:
-        if gap < 2:
+        """The pair of which there are most."""
+        if gap not in self.pairs:
             return None
-        small = np.arange(1, gap // 2 + 1)
-        have = (self.left[small] > 0) & (self.left[gap - small] > 0)
-        if gap % 2 == 0:
-            have[-1] &= self.left[gap // 2] > 1
-        hit = np.flatnonzero(have)
-        if not len(hit):
-            return None
-        # Of all pairs the one of which there are most.
-        best = small[hit[np.argmax(np.minimum(self.left[small[hit]], self.left[gap - small[hit]]))]]
-        return int(gap - best), int(best)
+        large, small = self.pairs[gap]
+        have = np.minimum(self.left[large], self.left[small])
+        have[large == small] //= 2
+        have[(self.left[large] < SPARE) | (self.left[small] < SPARE)] = 0
+        best = int(have.argmax())
+        return (int(large[best]), int(small[best])) if have[best] > 0 else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        if gap < 3:
+        """The triple with the largest piece that counts allow."""
+        if gap not in self.triples:
             return None
-        for first in np.flatnonzero(self.left[: gap - 1])[::-1]:
-            self.left[first] -= 1
-            rest = self.pair(int(gap - first))
-            self.left[first] += 1
-            if rest:
-                return (int(first), *rest)
+        first, two = self.triples[gap]
+        for x, rest in zip(first.tolist(), two.tolist(), strict=True):
+            if self.left[x] >= SPARE:
+                self.left[x] -= 1
+                found = self.pair(rest)
+                self.left[x] += 1
+                if found:
+                    return (x, *found)
         return None
 
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+
+def by_sum(large: np.ndarray, other: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """sum -> the two columns of terms that have it, larger first terms first."""
+    order = np.lexsort((-large, large + other))
+    large, other = large[order], other[order]
+    sums, starts = np.unique(large + other, return_index=True)
+    if not len(sums):
+        return {}
+    ends = [*starts[1:].tolist(), len(large)]
+    return {int(s): (large[a:b], other[a:b]) for s, a, b in zip(sums, starts.tolist(), ends, strict=True)}
+
 
 def times(parts: tuple[int, ...], left: np.ndarray) -> int:
     """How often parts can be taken together."""
@@ -85,57 +113,50 @@ def times(parts: tuple[int, ...], left: np.ndarray) -> int:
     return min(int(left[x]) // n for x, n in need.items())
 
 
-def packing_plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """The plan of fewest sequences among those with exact fills by up to 0, 1, 2 or 3 further pieces."""
-    plans = [fill_plan(counts, capacity, most) for most in range(4)]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+class Plan(NamedTuple):
+    """Patterns, and how many pieces came into their sequence by an exact fill."""
+
+    patterns: list[Pattern]
+    exact: int
+
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
 
 
-def fill_plan(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
+def packing_plan(counts: dict[int, int], capacity: int) -> Plan:
     """Patterns (lengths of a sequence, how many such sequences) that use every piece once.
 
-    Gaps are first filled exactly by up to `most` pieces, then best-fit.  Each step uses up all but fewer than four pieces of some length, so there are at most
-    a few patterns per length: the plan's size depends on capacity alone.
+    Each step uses up all but a few pieces of some length, so the plan's size depends on
+    capacity alone.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    plan: list[Pattern] = []
-
-    def take(parts: tuple[int, ...]) -> None:
-        n = times(parts, left)
-        for x in parts:
-            left[x] -= n
-        plan.append((parts, n))
-
-    if left[capacity]:
-        take((capacity,))
-    index = ComplementIndex(left)
-    for find in (index.single, index.pair, index.triple)[:most]:
-        for length in range(capacity - 1, 0, -1):
-            while left[length] > 0:
-                left[length] -= 1
-                rest = find(capacity - length)
-                left[length] += 1
-                if not rest:
-                    break
-                take((length, *rest))
-    # Best fit for the rest: the largest piece opens a sequence, the largest that fits goes in next.
+    index, plan, exact = ComplementIndex(left, capacity), [], 0
     for length in range(capacity, 0, -1):
         while left[length] > 0:
-            parts, gap = [length], capacity - length
+            parts, gap, filled = [length], capacity - length, 0
             left[length] -= 1
-            while gap > 0 and len(fit := np.flatnonzero(left[: gap + 1])):
-                # as many of the best fit at once as there is room for
-                best = int(fit[-1])
-                n = min(gap // best, int(left[best]))
-                parts += [best] * n
-                left[best] -= n
-                gap -= best * n
+            while gap > 0:
+                found = index.exact(gap)
+                if found:
+                    filled = len(found)
+                elif len(fit := np.flatnonzero(left[:gap])):
+                    found = (int(fit[-1]),)
+                else:
+                    break
+                for x in found:
+                    left[x] -= 1
+                    gap -= x
+                parts += found
             for x in parts:
                 left[x] += 1
-            take(tuple(parts))
-    return plan
+            n = times(tuple(parts), left)
+            for x in parts:
+                left[x] -= n
+            plan.append((tuple(parts), n))
+            exact += filled * n
+    return Plan(plan, exact)
 
 
 def plan_slots(plan: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -221,7 +242,7 @@ def pack(
     by_task = written(by_task, "pack-counts")
     # At most `capacity` rows reach the driver.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    slots = docs.sparkSession.sparkContext.broadcast(plan_slots(packing_plan(counts, capacity)))
+    slots = docs.sparkSession.sparkContext.broadcast(plan_slots(packing_plan(counts, capacity).patterns))
     earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     numbered = cut.join(first, ["length", "_task"]).withColumn("_number", F.col("_first") + F.col("_nth")).drop("_first", "_nth", "_task")

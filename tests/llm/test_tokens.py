@@ -69,7 +69,7 @@ def test_kept_ids(odd):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_plan_uses_every_piece_once(counts):
-    plan, used = packing.packing_plan(counts, 64), Counter()
+    plan, used = packing.packing_plan(counts, 64).patterns, Counter()
     for parts, n in plan:
         assert sum(parts) <= 64 and n > 0
         for x in parts:
@@ -79,8 +79,48 @@ def test_plan_uses_every_piece_once(counts):
 
 
 def test_exact_fills_come_first():
-    assert packing.packing_plan({600: 10, 424: 10}, 1024) == [((600, 424), 10)]
-    assert sum(n for _, n in packing.packing_plan({500: 3, 300: 3, 200: 3, 24: 3}, 1024)) == 3
+    assert packing.packing_plan({600: 10, 424: 10}, 1024) == ([((600, 424), 10)], 10)
+    plan = packing.packing_plan({500: 4, 300: 4, 200: 4, 24: 4}, 1024)
+    assert plan.sequences() == 4 and plan.exact >= 9
+    assert packing.packing_plan({}, 1024) == ([], 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=8), st.integers(1, 31))
+def test_index_finds_every_exact_sum(counts, gap):
+    left = np.array([counts.get(k, 0) for k in range(33)])
+    index = packing.ComplementIndex(left, 32)
+    usable = [k for k, n in counts.items() if n >= packing.SPARE]
+    fits = lambda c: all(n <= counts[x] for x, n in Counter(c).items())
+    pairs = {tuple(sorted((a, b))) for a in usable for b in usable if a + b == gap and fits((a, b))}
+    found = index.pair(gap)
+    assert (found is not None) == bool(pairs) and (found is None or tuple(sorted(found)) in pairs)
+    found = index.triple(gap)
+    assert found is None or sum(found) == gap and fits(found)
+    many = [k for k, n in counts.items() if n >= 4]
+    assert found is not None or not any(a + b + c == gap for a in many for b in many for c in many)
+
+
+def packed_best_fit(counts, capacity):
+    """Sequences that best fit by decreasing length needs."""
+    gaps = []
+    for x in sorted(Counter(counts).elements(), reverse=True):
+        fit = [i for i, g in enumerate(gaps) if g >= x]
+        if fit:
+            i = min(fit, key=gaps.__getitem__)
+            gaps[i] -= x
+        else:
+            gaps.append(capacity - x)
+    return len(gaps)
+
+
+def test_exact_fills_need_no_more_sequences_than_best_fit(docs):
+    lengths = Counter(n for r in docs.collect() for n in packing.cut_lengths(len(ids(BYTES, r.text)) + 1, 1024))
+    plan = packing.packing_plan(lengths, 1024)
+    assert plan.sequences() <= packed_best_fit(lengths, 1024) and plan.exact > 0
+    lengths = Counter(np.random.default_rng(5).integers(1, 400, 4000).tolist())
+    plan = packing.packing_plan(lengths, 1024)
+    assert plan.sequences() <= packed_best_fit(lengths, 1024) + 1 and plan.exact > 1000
 
 
 def store_rows(spark, df):
