@@ -1,17 +1,24 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped into lines, one for each block element.  Every line weighs its text
-length, or nothing if it stands in a menu, header, footer, sidebar, notice, advert, form,
-or in reader comments.  The weights are summed over sliding windows of lines.  A surge is
-a window whose sum rises over the threshold, a dive the next whose sum falls to nothing;
-the text between a surge and its dive is kept.  Of several such regions the ones inside
-an article or main element count if the page has one, else all with at least a quarter of
-the longest region's text (short stray lines between menus are no region of their own).
-
-Cases: null and empty pages have an empty text; a page that ends in the middle of a tag
-or a character reference is read as far as it goes; unclosed elements end with their
-container; equal rows have equal texts; an empty table gives an empty result; a column
-that clashes with a result is replaced by it.
+Markup is stripped into lines, one for each block element, and every line has a weight.
+A line of text weighs its length; one that is mostly links, or stands in a menu, header,
+footer, sidebar, notice, advert, form or in reader comments, weighs a little below zero.
+Inside an article or main element, if the page has one, a line weighs the threshold more;
+outside of it, it is as dull as a menu's.  Weights are summed over sliding windows of
+lines, text only where it is of one block with the window's middle.  A line surges where its window's sum reaches the threshold.  From there the text
+goes on, in both directions, over lines of the same container however short they are, up
+to a dive: a whole window of dull lines in the page's body.  Dull lines are left out but
+end nothing by themselves, so an advert inside the text takes nothing with it.
+
+Classes and ids count only where every word of one says so ("ad-box", but not
+"alert-levels"), and not at all on a page that has no other text that surges.
+
+Cases: null and empty pages have an empty text; a page of few words, none of which surges,
+is kept as far as it isn't dull; a page that ends in the middle of a tag or a character
+reference is read as far as it goes; unclosed elements end with their container; very long
+pages are read whole; equal rows have equal texts, and lines of equal weight (ties) stay in
+page order; an empty table gives an empty result; extra columns are kept, and one that
+clashes with a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -38,57 +46,87 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An open element of the first kind ends where one of the second begins.
 ENDS_BEFORE = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "legend", "summary", "dt", "dd", "li"}
-#: Words in a class, id or role that mark parts which are no main text.
+#: Words of a class, id or role that name parts which are no main text, and words that may stand beside them.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebars?|side|aside|nav\w*|menus?|breadcrumbs?|header|masthead|footer|foot|copyright|"
-    r"notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|disqus|respond|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|search|complementary|contentinfo|navigation|alert|disclaimer)(?=$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|sidebars?|side|aside|nav\w*|menus?|breadcrumbs?|header|masthead|footer|foot|copyright|"
+    r"notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|repl(?:y|ies)|disqus|respond|share|sharing|social|related|"
+    r"recommend\w*|widgets?|toolbar|pagination|pager|search|complementary|contentinfo|alerts?|disclaimers?"
 )
+BESIDE = re.compile(r"[a-z]?\d*|box|list|area|section|container|wrap(?:per)?|block|inner|outer|left|right|top|bottom|items?|bar|unit|slot|zone|panel|group|content|body|text|main|site|page|links?|buttons?|form|user|reader|the|js|is|global|primary|secondary|thread|policy|message")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: HTML's own white space, for collapsing; other spaces such as &nbsp; follow Python's idea of white space.
 SPACE = re.compile(r"\s+")
 
 
+#: What a line is: text, text whose class or id speaks against it, text in an element that never holds main text.
+PLAIN, MARKED, DULL = 0, 1, 2
+#: Weight of a dull line.
+BELOW = -40.0
+
+
 class Line(NamedTuple):
     text: str
     main: bool
-    dull: bool
+    kind: int
+    links: float
+    within: tuple[int, ...]
 
 
-def is_marked(attributes: str) -> bool:
-    """Whether class, id, role, hidden or style say that this is no main text."""
+@lru_cache(maxsize=4096)
+def names_boilerplate(value: str) -> bool:
+    """Whether one of the names in a class or id consists of words for boilerplate alone."""
+    for name in value.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
+        if any(map(MARKS.fullmatch, words)) and all(MARKS.fullmatch(w) or BESIDE.fullmatch(w) for w in words):
+            return True
+    return False
+
+
+def kind_of(attributes: str) -> int:
+    """What class, id, role, hidden or style say of an element's lines."""
     if not attributes or ("=" not in attributes and "hidden" not in attributes):
-        return False
+        return PLAIN
+    kind = PLAIN
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c)
-        if name in ("class", "id", "role", "aria-label") and MARKS.search(value):
-            return True
+        if name in ("class", "id", "role", "aria-label") and names_boilerplate(value):
+            kind = MARKED
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return DULL
+    return kind
 
 
 def page_lines(page: str) -> list[Line]:
     """The page's non-empty block texts in order, and where each stands."""
     lines: list[Line] = []
-    open_: list[tuple[str, bool, bool]] = []  # name; whether main, dull begin here or further out
+    open_: list[tuple[str, bool, int, int]] = []  # name; whether main begins here or further out, of what kind the lines are; number
     parts: list[str] = []
-    main = dull = False
+    main, kind, linked, in_link, link_depth, number = False, PLAIN, 0, False, 0, 0
     at, end = 0, len(page)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            parts.clear()
+            raw = "".join(parts)
+            text = SPACE.sub(" ", html.unescape(raw)).strip()
             if text:
-                lines.append(Line(text, main, dull))
+                lines.append(Line(text, main, kind, linked / len(raw), tuple([x[3] for x in open_ if x[0] not in ("html", "body")])))
+            parts.clear()
+            linked = 0
 
     def pop(to: int) -> None:
-        nonlocal main, dull
+        nonlocal main, kind, in_link
         flush()
         del open_[to:]
-        main, dull = open_[-1][1:] if open_ else (False, False)
+        in_link = in_link and to >= link_depth  # an unclosed link ends with its container
+        main, kind = open_[-1][1:3] if open_ else (False, PLAIN)
+
+    def push(name: str, inside: bool, of: int) -> None:
+        nonlocal main, kind, number
+        number += 1
+        open_.append((name, inside, of, number))
+        main, kind = inside, of
 
     while at < end:
         found = TOKEN.search(page, at)
@@ -97,6 +135,7 @@ def page_lines(page: str) -> list[Line]:
             break
         if found.start() > at:
             parts.append(page[at : found.start()])
+            linked += in_link * len(parts[-1])
         at = found.end()
         name = found[3]
         if name is None:
@@ -104,6 +143,8 @@ def page_lines(page: str) -> list[Line]:
                 parts.append(found[1])
             continue
         name = name.lower()
+        if name == "a":
+            in_link, link_depth = not found[2], len(open_)
         if found[2]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
@@ -128,11 +169,9 @@ def page_lines(page: str) -> list[Line]:
             parts.append("\n")
             continue
         if name not in BLOCKS:
-            if name not in VOID and is_marked(found[4]):
-                pop_at = len(open_)
+            if name not in VOID and (of := kind_of(found[4])):
                 flush()
-                open_.append((name, main, True))
-                main, dull = open_[pop_at][1:]
+                push(name, main, max(kind, of))
             continue
         flush()
         if name in CLOSES_P:
@@ -151,46 +190,91 @@ def page_lines(page: str) -> list[Line]:
                     break
         if name in VOID:
             continue
-        inside = main or name in ("article", "main")
         # A header in the article holds its heading; one outside is the page's.
-        boring = dull or (name in BOILERPLATE and not (name == "header" and main)) or (name not in ("article", "main", "body", "html") and is_marked(found[4]))
-        open_.append((name, inside, boring))
-        main, dull = inside, boring
+        of = DULL if name in BOILERPLATE and not (name == "header" and main) else PLAIN if name in ("article", "main", "body", "html") else kind_of(found[4])
+        push(name, main or name in ("article", "main"), max(kind, of))
     flush()
     return lines
 
 
-def surge_regions(weights: np.ndarray, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Ranges of lines between a surge of the window sums and the dive that follows."""
+def line_weights(lines: list[Line], window: int, threshold: float) -> np.ndarray:
+    """Weight of each line by what it is and where it stands."""
+    has_main = any(x.main and x.kind == PLAIN for x in lines)
+    # A whole window of lines that are nothing but links is a menu, also in an article.
+    linked = np.array([x.links > 0.9 for x in lines], dtype=float)
+    menu = np.convolve(np.convolve(linked, np.ones(window))[window - 1 :] == window, np.ones(window)) > 0 if len(lines) >= window else linked < 0
+
+    def weigh(spared: int) -> np.ndarray:
+        out = np.full(len(lines), BELOW)
+        for i, x in enumerate(lines):
+            if x.kind <= spared and not menu[i] and (x.main or not has_main and x.links < 0.7):
+                out[i] = len(x.text) + threshold * x.main
+        return out
+
+    plain, within = weigh(PLAIN), [x.within for x in lines]
+    if not (window_sums(plain, within, window)[plain > 0] >= threshold).any():
+        marked = weigh(MARKED)
+        if (window_sums(marked, within, window)[marked > 0] >= threshold).any():
+            return marked
+    return plain
+
+
+def window_sums(weights: np.ndarray, within: list[tuple[int, ...]], window: int) -> np.ndarray:
+    """Sum of the weights of the window of lines around each line: its dull ones, and the text of one block with the line."""
     n = len(weights)
-    if not n:
-        return []
-    sums = np.convolve(weights, np.ones(window))[window - 1 :][:n]  # of a line and the ones after it
-    regions, i = [], 0
-    while i < n:
-        if weights[i] <= 0 or sums[i] < threshold:
-            i += 1
+    block = np.array([p[-2] if len(p) > 1 else 0 for p in within], dtype=np.int64)
+    sums = np.zeros(n)
+    for step in range(-(window // 2), window - window // 2):
+        i = np.arange(max(0, -step), max(0, min(n, n - step)))
+        sums[i] += np.where((weights[i + step] < 0) | (block[i + step] == block[i]), weights[i + step], 0.0)
+    return sums
+
+
+def story_lines(weights: np.ndarray, within: list[tuple[int, ...]], window: int, threshold: float) -> np.ndarray:
+    """Which lines lie between a surge and its dive.
+
+    `within` names the containers of each line inside the page's body from the outside in;
+    where a surge has none, a whole window of dull lines is a dive.
+    """
+    text = weights > 0
+    surge = text & (window_sums(weights, within, window) >= threshold)
+    if not surge.any():
+        return text
+    keep, n, at = np.zeros(len(weights), dtype=bool), len(weights), 0
+    while at < n:
+        if not surge[at]:
+            at += 1
             continue
-        j = i
-        while j < n and weights[j] > 0:  # a dive: the next line has no weight
-            j += 1
-        regions.append((i, j))
-        i = j
-    return regions
+        end = at
+        while end < n and surge[end]:
+            end += 1
+        shared = within[at]
+        for path in within[at + 1 : end]:
+            k = 0
+            while k < min(len(shared), len(path)) and shared[k] == path[k]:
+                k += 1
+            shared = shared[:k]
+        if end - at == 1:
+            shared = shared[:-1]  # a line's own element holds nothing else
+        keep[at:end] = True
+        for step, i in ((-1, at - 1), (1, end)):
+            dull = 0
+            while 0 <= i < n and not surge[i]:
+                dull = 0 if text[i] else dull + 1
+                if dull >= window and not shared:
+                    break
+                if text[i]:
+                    keep[i] |= within[i][: len(shared)] == shared
+                i += step
+        at = end
+    return keep
 
 
 def main_text(page: str, window: int = 3, threshold: float = 80.0) -> str:
     """The kept lines of a page, joined by empty lines."""
     lines = page_lines(page)
-    has_main = any(x.main for x in lines)
-    weights = np.array([0 if x.dull or has_main and not x.main else len(x.text) for x in lines], dtype=float)
-    # Inside a marked-up article every line is main text, however short.
-    regions = surge_regions(weights, window, 1.0 if has_main else threshold)
-    if not regions and not has_main:
-        regions = surge_regions(weights, window, 1.0)  # a page of few words
-    sizes = [weights[i:j].sum() for i, j in regions]
-    least = 0 if has_main else max(sizes, default=0) / 4
-    return "\n\n".join(x.text for (i, j), size in zip(regions, sizes, strict=True) if size >= least for x in lines[i:j])
+    keep = story_lines(line_weights(lines, window, threshold), [x.within for x in lines], window, threshold)
+    return "\n\n".join(x.text for x, k in zip(lines, keep.tolist(), strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", window: int = 3, threshold: float = 80.0) -> DataFrame:

@@ -35,6 +35,58 @@ def test_page_parts():
     assert html_text.main_text("") == "" and html_text.main_text("<p>cut off &am") == "cut off &am"
 
 
+NAV = "".join(f"<li><a href=/{i}>Menu entry {i}</a></li>" for i in range(10))
+
+
+def test_story_without_tags_or_names():
+    story = f"<h1>A title</h1><p>By someone</p><p>Monday</p><p>{WORDY}</p><p>Short.</p><div>Buy this now</div><p>{WORDY}</p><p>The end.</p>"
+    lines = ["A title", "By someone", "Monday", WORDY.strip(), "Short.", "Buy this now", WORDY.strip(), "The end."]
+    page = f"<html><body><div><ul>{NAV}</ul></div><div>Buy that now</div><div>{story}</div><div><ul>{NAV}</ul><p>Copyright 2020</p></div></body></html>"
+    assert html_text.main_text(page).split("\n\n") == lines
+    # an advert that is named ends nothing, also before a short last line and where the body holds the story
+    named = story.replace("<div>Buy", "<div class=ad-box>Buy").replace(f"<p>{WORDY}</p><p>The end", "<p>The end")
+    for wrap in ("<div>{}</div>", "{}"):
+        page = f"<body><ul>{NAV}</ul>{wrap.format(named)}<ul>{NAV}</ul><p>Copyright 2020</p></body>"
+        assert html_text.main_text(page).split("\n\n") == [*lines[:5], lines[-1]]
+    # a menu in the middle of a container loses none of what follows
+    page = f"<body><div><p>{WORDY}</p><ul>{NAV}</ul><p>The end.</p></div></body>"
+    assert html_text.main_text(page).split("\n\n") == [WORDY.strip(), "The end."]
+    assert html_text.main_text(f"<div>{''.join(f'<p>line {i} of a verse</p>' for i in range(9))}</div>").count("\n\n") == 8
+
+
+def test_names_are_read_by_whole_words():
+    for name in ("search results", "side-by-side", "alert-levels", "header-story"):
+        assert html_text.main_text(f'<body><div class="{name}"><p>{WORDY}</p></div></body>') == WORDY.strip(), name
+    article = f"<article><p>{WORDY}</p><p class='alert-levels'>Level two.</p><div class='sidebarBox'>No</div><ul>{NAV}</ul><div id=comment-list><p>{WORDY}</p></div><p>The end.</p></article>"
+    assert html_text.main_text(f"<p>{WORDY}</p>{article}").split("\n\n") == [WORDY.strip(), "Level two.", "The end."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([-40, 5, 20, 90, 400]), st.sampled_from([(), (1,), (1, 2), (1, 3), (4,)])), max_size=14), st.integers(1, 4))
+def test_distribution_by_brute_force(lines, window):
+    """A line is kept if it surges, or if nothing but lines without a dive stands between it and a run of surging lines that shares its container."""
+    weights, within, n = np.array([w for w, _ in lines], dtype=float), [p for _, p in lines], len(lines)
+    near = lambda i: [j for j in range(i - window // 2, i - window // 2 + window) if 0 <= j < n]
+    sums = [sum(weights[j] for j in near(i) if weights[j] < 0 or (within[j][-2:-1] or (0,)) == (within[i][-2:-1] or (0,))) for i in range(n)]
+    surge = [weights[i] > 0 and sums[i] >= 80 for i in range(n)]
+    want = [weights[i] > 0 for i in range(n)]
+    if any(surge):
+        want = list(surge)
+        for i in range(n):
+            for a in range(n):
+                for b in range(a, n):
+                    run = all(surge[a : b + 1]) and not (a and surge[a - 1]) and not (b + 1 < n and surge[b + 1])
+                    if run and weights[i] > 0 and not surge[i]:
+                        paths = [within[k] for k in range(a, b + 1)]
+                        shared = next(paths[0][:k] for k in range(len(paths[0]), -1, -1) if all(p[:k] == paths[0][:k] for p in paths))
+                        shared = shared[:-1] if a == b else shared
+                        between = range(b + 1, i) if i > b else range(i + 1, a)
+                        dive = not shared and any(all(k in between and weights[k] <= 0 for k in range(j, j + window)) for j in between)
+                        if not dive and not any(surge[k] for k in between) and within[i][: len(shared)] == shared:
+                            want[i] = True
+    assert html_text.story_lines(weights, within, window, 80.0).tolist() == want
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>x" * 3)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()} == {1: ("", 0), 2: ("", 0), 3: ("x\n\nx\n\nx", 7)}
