@@ -1,17 +1,22 @@
 """Media columns: AVI files of motion-JPEG frames, read back, decoded and cut into shots.
 
-The container is RIFF 'AVI ' with one video stream, a chunk per frame and an idx1 index.
-Frames are grey 24 x 24 intra frames of lossless JPEG (process SOF3, predictor 1), so that
-bytes stored as samples come back exactly.  The encoder's Huffman table gives a
-difference of s bits a code of 9 - s bits: every sample then takes nine bits, and a whole
-stack of frames is coded and decoded by array operations.  The decoder reads the table
-from the file; files with other tables are decoded bit by bit.
+Any AVI file with a motion-JPEG stream is read: frames are found by the index, whose
+offsets may count from the file's start or from its list of frames, or without an index by
+walking that list; entries of other streams (sound) are passed over; an empty frame repeats
+the one before.  `jpeg` decodes the frames.
+
+Texts are stored as such files: grey 24 x 24 intra frames of lossless JPEG (predictor 1), so
+that bytes stored as samples come back exactly.  The encoder's Huffman table gives a
+difference of s bits a code of 9 - s bits: every sample then takes nine bits, an eighth
+more than raw, and a whole stack of frames is coded and decoded by array operations.
 
 A shot ends where the distance of neighbouring frames' grey histograms exceeds the mean
 of the distances around it by three standard deviations and a floor.
 
-Cases: a null text is empty; an empty payload is one frame of padding; equal rows have
-equal files; an empty table gives an empty result; clashing columns are replaced.
+Cases: a null text is empty; an empty payload is one frame of padding; very long texts are
+coded a block of frames at a time; equal rows have equal files; equal histogram steps (ties)
+are cut alike; an empty table gives an empty result; extra columns are left out, and ones
+that clash with a result don't reach it; null media give null facts.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamplight.llm import jpeg
+
 SIDE = 24
 FRAME = SIDE * SIDE
 PAD = 255
@@ -129,96 +137,76 @@ class Video(NamedTuple):
     frames: list[memoryview]
 
 
+def chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, size) of each RIFF chunk in a range; lists are named by their kind."""
+    while at + 8 <= end:
+        name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name in (b"LIST", b"RIFF"):
+            yield data[at + 8 : at + 12], at + 12, n - 4
+        else:
+            yield name, at + 8, n
+        at += 8 + n + n % 2
+
+
 def parse_avi(data: bytes) -> Video:
-    """Frames of an AVI file by its index."""
+    """Frames of an AVI file's first motion-JPEG stream."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    view, at, end = memoryview(data), 12, 8 + struct.unpack_from("<I", data, 4)[0]
-    movi, fps, index = 0, 0.0, b""
-    while at + 8 <= end:
-        name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
-            micros = struct.unpack_from("<I", data, at + 20)[0]
-            fps = 1e6 / micros if micros else 0.0
-        elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+    view, movi, size, fps, index, stream, streams = memoryview(data), 0, 0, 0.0, None, -1, 0
+    for name, start, n in chunks(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])):
+        if name == b"hdrl":
+            for inner, at, m in chunks(data, start, start + n):
+                if inner == b"avih" and not fps:
+                    micros = struct.unpack_from("<I", data, at)[0]
+                    fps = 1e6 / micros if micros else 0.0
+                elif inner == b"strl":
+                    for part, place, _ in chunks(data, at, at + m):
+                        if part == b"strh" and data[place : place + 4] == b"vids" and stream < 0:
+                            stream, (scale, rate) = streams, struct.unpack_from("<II", data, place + 20)
+                            fps = rate / scale if scale and rate else fps
+                    streams += 1
+        elif name == b"movi":
+            movi, size = start - 4, n
         elif name == b"idx1":
-            index = data[at + 8 : at + 8 + n]
-        at += 8 + n + n % 2
-    entries = np.frombuffer(index, dtype=[("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("n", "<u4")])
-    return Video(fps, [view[movi + a + 8 : movi + a + 8 + n] for a, n in zip(entries["at"].tolist(), entries["n"].tolist(), strict=True)])
-
-
-class Head(NamedTuple):
-    width: int
-    height: int
-    table: tuple[bytes, bytes]
-    scan: int
-
-
-def jpeg_head(jpeg: bytes) -> Head:
-    """Size and Huffman table of a lossless frame and where its scan begins."""
-    at, size, table = 2, None, None
-    while True:
-        marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + n]
-        if marker == 0xC4:
-            table = (bytes(body[1:17]), bytes(body[17:]))
-        elif marker == 0xC3:
-            _, h, w, parts = struct.unpack_from(">BHHB", body)
-            if parts != 1:
-                raise ValueError("one component only")
-            size = (w, h)
-        elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
-            raise ValueError(f"no lossless frame: marker {marker:02x}")
-        elif marker == 0xDA:
-            if body[3] != 1:
-                raise ValueError("predictor 1 only")
-            return Head(*size, table, at + 2 + n)
-        at += 2 + n
-
-
-def huffman_codes(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) -> symbol."""
-    code, k, out = 0, 0, {}
-    for n in range(16):
-        for _ in range(lengths[n]):
-            out[(n + 1, code)] = symbols[k]
-            code, k = code + 1, k + 1
-        code <<= 1
-    return out
-
-
-def scan_differences(scan: bytes, head: Head) -> np.ndarray:
-    """Differences of one frame's scan by any Huffman table, bit by bit."""
-    codes, bits, at, out = huffman_codes(*head.table), np.unpackbits(np.frombuffer(scan, dtype=np.uint8)).tolist(), 0, []
-    for _ in range(head.width * head.height):
-        n = code = 0
-        while (s := codes.get((n, code))) is None:
-            code, n, at = code << 1 | bits[at], n + 1, at + 1
-        extra = 0
-        for _ in range(s):
-            extra, at = extra << 1 | bits[at], at + 1
-        out.append(extra if not s or extra >> (s - 1) else extra - (1 << s) + 1)
-    return np.array(out, dtype=np.int32).reshape(head.height, head.width)
+            index = data[start : start + n]
+    names = {f"{max(stream, 0):02d}{kind}".encode() for kind in ("dc", "db")}
+    if index is None:
+        found = walk(data, movi + 4, movi + 4 + size, names)
+    else:
+        entries = np.frombuffer(index, dtype=[("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("n", "<u4")])
+        entries = entries[np.isin(entries["id"], list(names))]
+        base = movi if len(entries) and data[movi + int(entries["at"][0]) :][:4] in names else 0
+        found = zip((entries["at"].astype(np.int64) + base + 8).tolist(), entries["n"].tolist(), strict=True)
+    frames: list[memoryview] = []
+    for at, n in found:
+        if n or frames:
+            frames.append(view[at : at + n] if n else frames[-1])
+    return Video(fps, frames)
+
+
+def walk(data: bytes, at: int, end: int, names: set[bytes]) -> Iterator[tuple[int, int]]:
+    """(start, size) of the frames in a list without an index, which may hold lists of records."""
+    for name, start, n in chunks(data, at, end):
+        if name == b"rec ":
+            yield from walk(data, start, start + n, names)
+        elif name in names:
+            yield start, n
 
 
 def decoded(video: Video) -> Iterator[np.ndarray]:
-    """Stacks of frames of a video whose frames are of one size."""
+    """Stacks of the frames' grey samples; the frames of a stack are of one size."""
     for at in range(0, len(video.frames), BLOCK):
         group = [bytes(f) for f in video.frames[at : at + BLOCK]]
-        head = jpeg_head(group[0])
-        start = group[0][: head.scan]
-        if all(g.startswith(start) for g in group) and head.table == (LENGTHS, SYMBOLS) and head.width * head.height % 8 == 0:
-            joined = b"".join(g[head.scan : -2].replace(b"\xff\x00", b"\xff") for g in group)
+        if all(g.startswith(FRAME_HEAD) for g in group):
+            joined = b"".join(g[len(FRAME_HEAD) : -2].replace(b"\xff\x00", b"\xff") for g in group)
             raw = np.frombuffer(joined, dtype=np.uint8).reshape(len(group), -1, 9).astype(np.uint16)
             codes = np.empty((*raw.shape[:2], 8), dtype=np.uint16)
             for k in range(8):
                 codes[:, :, k] = (raw[:, :, k] & ((1 << (8 - k)) - 1)) << (k + 1) | raw[:, :, k + 1] >> (7 - k)
-            yield samples(DIFFERENCES[codes].reshape(len(group), head.height, head.width))
+            yield samples(DIFFERENCES[codes].reshape(len(group), SIDE, SIDE))
         else:
-            heads = [jpeg_head(g) for g in group]
-            yield samples(np.stack([scan_differences(g[h.scan : -2].replace(b"\xff\x00", b"\xff"), h) for g, h in zip(group, heads, strict=True)]))
+            for _, same in groupby((jpeg.decode(g)[..., 0] for g in group), key=lambda f: f.shape):
+                yield np.stack(list(same))
 
 
 def histograms(frames: np.ndarray) -> np.ndarray:
@@ -232,7 +220,7 @@ def shot_starts(hist: np.ndarray, around: int = 12, factor: float = 3.0, floor:
     """First frames of shots: where a histogram differs from the one before by more than its surroundings let expect."""
     if len(hist) < 2:
         return np.zeros(min(len(hist), 1), dtype=np.int64)
-    step = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * hist[0].sum())
+    step = np.abs(np.diff(hist / hist.sum(axis=1, keepdims=True), axis=0)).sum(axis=1) / 2.0
     places = np.arange(len(step))
     low, high = np.maximum(places - around, 0), np.minimum(places + around + 1, len(step))
     total, squares = np.concatenate([[0], np.cumsum(step)]), np.concatenate([[0], np.cumsum(step**2)])
@@ -282,11 +270,12 @@ def facts(data: bytes) -> tuple:
         tail = part[-FRAME:]
     while padding < len(tail) and tail[-1 - padding] == PAD:
         padding += 1  # UTF-8 has no byte 255
-    hist = np.concatenate(hists)
+    hist = np.concatenate([np.zeros((0, BINS), dtype=np.int64), *hists])
     starts = shot_starts(hist)
     ends = [*starts[1:].tolist(), len(hist)]
-    clips = [(a / video.fps, b / video.fps, b - a) for a, b in zip(starts.tolist(), ends, strict=True)]
-    grey = "".join(f"{x:02x}" for x in (hist.sum(axis=0) * 255 // hist.sum()).tolist())
+    fps = video.fps or float(FPS)
+    clips = [(a / fps, b / fps, b - a) for a, b in zip(starts.tolist(), ends, strict=False)]
+    grey = "".join(f"{x:02x}" for x in (hist.sum(axis=0) * 255 // max(hist.sum(), 1)).tolist())
     feature = f"frames={len(hist)};shots={len(starts)};cuts={zlib.crc32(starts.astype('<i8').tobytes()):08x};grey={grey}"
     return n - padding, n, digest.hexdigest(), zlib.crc32(tail[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, clips
 
@@ -299,9 +288,9 @@ def media_facts(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
         clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip]
         for batch in batches:
-            found = [facts(x.as_py()) for x in batch.column(media_col)]
+            found = [facts(x.as_py()) if x.is_valid else (None,) * len(types) for x in batch.column(media_col)]
             columns = list(zip(*found, strict=True)) if found else [[] for _ in types]
-            columns[-1] = [[dict(zip(("start_s", "end_s", "frames"), c, strict=True)) for c in clips] for clips in columns[-1]]
+            columns[-1] = [[dict(zip(("start_s", "end_s", "frames"), c, strict=True)) for c in clips] if clips is not None else None for clips in columns[-1]]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.fieldNames())
 
     return media.select(id_col, media_col).mapInArrow(run, schema)

@@ -44,7 +44,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media.stored_media(table(spark, sf_dir, "documents"))
-    return media.media_facts(files).drop("clips")
+    return media.media_facts(files)
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,19 @@
 import hashlib
 import html
 import re
+import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from compare import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lamplight.llm import html_text, langid, line_dedup, media, sketch
+from lamplight.llm import html_text, jpeg, langid, line_dedup, media, sketch
 
 
 def test_pages(spark, folder):
@@ -183,26 +186,146 @@ def test_media_keep_bytes(data):
     file = media.avi_file(payload)
     video = media.parse_avi(file)
     assert b"".join(x.tobytes() for x in media.decoded(video)) == payload
-    first = bytes(video.frames[0])
-    head = media.jpeg_head(first)
-    slow = media.scan_differences(first[head.scan : -2].replace(b"\xff\x00", b"\xff"), head)
-    assert media.samples(slow[None])[0].tobytes() == payload[:576]
+    assert jpeg.decode(bytes(video.frames[0])).tobytes() == payload[:576]
+
+
+class Bits:
+    def __init__(self):
+        self.text = ""
+
+    def put(self, codes, symbol, value=0, size=0):
+        n, code = codes[symbol]
+        self.text += f"{code:0{n}b}" + (f"{value if value >= 0 else value + (1 << size) - 1:0{size}b}" if size else "")
+
+    def bytes(self):
+        self.text += "1" * (-len(self.text) % 8)
+        return int(self.text or "0", 2).to_bytes(len(self.text) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def codes_of(table):
+    return {s: k for k, s in jpeg.huffman_codes(*table).items()}
+
+
+def put_block(bits, block, first, others, before):
+    """Write one block of quantised coefficients in the order of the stream."""
+    d = int(block[0]) - before
+    bits.put(first, abs(d).bit_length(), d, abs(d).bit_length())
+    run = 0
+    for k in range(1, 64):
+        v = int(block[k])
+        if not v:
+            run += 1
+            continue
+        while run > 15:
+            bits.put(others, 0xF0)
+            run -= 16
+        bits.put(others, run << 4 | abs(v).bit_length(), v, abs(v).bit_length())
+        run = 0
+    if run:
+        bits.put(others, 0)
+    return int(block[0])
+
+
+def baseline(planes, sampling, size, restart=0, one_scan=True, with_tables=False):
+    """A baseline frame: planes are padded to whole blocks of each MCU; all quantisers are 2."""
+    width, height = size
+    grids = []
+    for p in planes:
+        blocks = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).swapaxes(1, 2).astype(float) - 128
+        grids.append(np.rint((jpeg.COSINES @ blocks @ jpeg.COSINES.T).reshape(*blocks.shape[:2], 64)[..., jpeg.ZIGZAG] / 2).astype(int))
+    most = [max(s[k] for s in sampling) for k in (0, 1)]
+    out = b"\xff\xd8" + media.segment(0xE0, b"AVI1\x00") + media.segment(0xDB, b"\x00" + bytes([2] * 64))
+    if with_tables:
+        out += media.segment(0xC4, b"".join(bytes([c << 4 | t]) + table[0] + table[1] for (c, t), table in jpeg.USUAL.items()))
+    out += media.segment(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([i + 1, a << 4 | d, 0]) for i, (a, d) in enumerate(sampling)))
+    if restart:
+        out += media.segment(0xDD, struct.pack(">H", restart))
+    tables = [[codes_of(jpeg.USUAL[c, min(i, 1)]) for c in (0, 1)] for i in range(len(planes))]
+    for chosen in [list(range(len(planes)))] if one_scan else [[i] for i in range(len(planes))]:
+        out += media.segment(0xDA, bytes([len(chosen)]) + b"".join(bytes([i + 1, min(i, 1) * 17]) for i in chosen) + b"\x00\x3f\x00")
+        if len(chosen) == 1:
+            a, d = sampling[chosen[0]]
+            mcus = [[(chosen[0], y, x)] for y in range(-(-height * d // (8 * most[1]))) for x in range(-(-width * a // (8 * most[0])))]
+        else:
+            mcus = [
+                [(i, y * sampling[i][1] + v, x * sampling[i][0] + u) for i in chosen for v in range(sampling[i][1]) for u in range(sampling[i][0])]
+                for y in range(-(-height // (8 * most[1])))
+                for x in range(-(-width // (8 * most[0])))
+            ]
+        step = restart or len(mcus)
+        for n, at in enumerate(range(0, len(mcus), step)):
+            bits, before = Bits(), Counter()
+            for i, y, x in (b for m in mcus[at : at + step] for b in m):
+                before[i] = put_block(bits, grids[i][y, x], *tables[i], before[i])
+            out += (bytes([0xFF, 0xD0 + (n - 1) % 8]) if n else b"") + bits.bytes()
+    return out + b"\xff\xd9"
+
+
+def smooth(rows, columns, seed):
+    y, x = np.mgrid[:rows, :columns]
+    noise = np.random.default_rng(seed).integers(-20, 20, (rows, columns))
+    return np.clip(128 + 80 * np.sin(y / 9 + seed) * np.cos(x / 7) + noise, 0, 255).astype(np.uint8)
+
+
+def test_baseline_frames():
+    grey = smooth(24, 40, 1)
+    for restart, with_tables in ((0, True), (2, False), (1, True)):
+        got = jpeg.decode(baseline([grey], [(1, 1)], (37, 21), restart, with_tables=with_tables))
+        assert got.shape == (21, 37, 1) and np.abs(got[..., 0].astype(int) - grey[:21, :37]).max() <= 5
+    luma, blue, red = smooth(32, 48, 2), smooth(16, 24, 3), smooth(16, 24, 4)
+    for restart, one_scan in ((0, True), (3, True), (0, False), (2, False)):
+        got = jpeg.decode(baseline([luma, blue, red], [(2, 2), (1, 1), (1, 1)], (45, 30), restart, one_scan))
+        assert got.shape == (30, 45, 3) and np.abs(got[..., 0].astype(int) - luma[:30, :45]).max() <= 5
+        assert np.abs(got[..., 2].astype(int) - red.repeat(2, 0).repeat(2, 1)[:30, :45]).max() <= 5
+    grey = np.full((1, 1, 3), 128, np.uint8)
+    assert (jpeg.to_rgb(grey) == 128).all()
+    assert jpeg.to_rgb(np.array([[[76, 85, 255]]], np.uint8))[0, 0].tolist() == [254, 0, 0]
+
+
+def test_frames_that_are_refused():
+    frame = baseline([smooth(8, 8, 1)], [(1, 1)], (8, 8))
+    for bad in (frame.replace(b"\xff\xc0", b"\xff\xc2"), frame[:-12], b"GIF", b"\xff\xd8\xff\xd9"):
+        with pytest.raises(ValueError):
+            jpeg.decode(bad)
+
+
+def avi_with_sound(frames, index="file", records=False):
+    """An AVI file whose first stream is sound."""
+    head = media.chunk(b"avih", struct.pack("<14I", 40000, *[0] * 13))
+    sound = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", b"auds" + bytes(52)))
+    video = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", b"vidsMJPG" + struct.pack("<IHHIII", 0, 0, 0, 0, 1, 10) + bytes(28)))
+    start = b"RIFF    AVI " + media.chunk(b"LIST", b"hdrl" + head + sound + video) + media.chunk(b"JUNK", b"odd")
+    movi, entries = b"movi", b""
+    for f in frames:
+        for name, body in ((b"00wb", b"noise"), (b"01dc", f)):
+            at = len(movi) + (len(start) + 8 if index == "file" else 0)
+            entries += name + struct.pack("<III", 16, at, len(body))
+            movi += media.chunk(b"LIST", b"rec " + media.chunk(name, body)) if records else media.chunk(name, body)
+    out = start + media.chunk(b"LIST", movi) + (media.chunk(b"idx1", entries) if index else b"")
+    return out[:4] + struct.pack("<I", len(out) - 8) + out[8:]
+
+
+def test_avi_files_of_others(spark):
+    dark, light = (baseline([np.full((16, 16), v, np.uint8)], [(1, 1)], (16, 16)) for v in (20, 220))
+    frames = [dark] * 12 + [b""] + [light] * 9
+    for index, records in (("file", False), ("movi", False), (None, False), (None, True)):
+        data = avi_with_sound(frames, index, records)
+        video = media.parse_avi(data)
+        assert video.fps == 10 and len(video.frames) == 22
+        assert media.facts(data)[-1] == [(0.0, 1.3, 13), (1.3, 2.2, 9)]
+    df = spark.createDataFrame([(1, bytearray(avi_with_sound(frames))), (2, None)], "doc_id long, media binary")
+    rows_ = media.clip_rows(media.media_facts(df)).orderBy("clip").collect()
+    assert [(r.doc_id, r.clip, r.start_s, r.frames) for r in rows_] == [(1, 0, 0.0, 13), (1, 1, 1.3, 9)]
 
 
 def test_other_huffman_tables_are_read():
-    lengths, symbols = bytes([0, 0, 8, 1] + [0] * 12)[:16], bytes([0, 1, 2, 3, 4, 5, 6, 7, 8])
-    lengths = bytes([0, 0, 7, 2] + [0] * 12)
-    codes = {s: k for k, s in media.huffman_codes(lengths, symbols).items()}
+    lengths, symbols = bytes([0, 0, 7, 2] + [0] * 12), bytes([0, 1, 2, 3, 4, 5, 6, 7, 8])
+    codes, bits = codes_of((lengths, symbols)), Bits()
     frame = np.arange(576, dtype=np.uint8).reshape(1, 24, 24)
-    bits = ""
     for d in media.differences(frame).ravel().tolist():
-        s = abs(d).bit_length()
-        n, code = codes[s]
-        bits += f"{code:0{n}b}" + (f"{d if d >= 0 else d + (1 << s) - 1:0{s}b}" if s else "")
-    bits += "1" * (-len(bits) % 8)
-    scan = int(bits, 2).to_bytes(len(bits) // 8, "big")
-    got = media.scan_differences(scan, media.Head(24, 24, (lengths, symbols), 0))
-    assert (media.samples(got[None]) == frame).all()
+        bits.put(codes, abs(d).bit_length(), d, abs(d).bit_length())
+    head = media.FRAME_HEAD.replace(media.LENGTHS + media.SYMBOLS, lengths + symbols)
+    assert (jpeg.decode(head + bits.bytes() + b"\xff\xd9")[..., 0] == frame[0]).all()
 
 
 def test_shots():
