@@ -14,12 +14,18 @@ Files, all Parquet in one folder, written by Spark's own commit protocol:
     recipes/   documents in ascending order of id: digests, Merkle root, number of ids,
                and the ids before the document within its part
     manifest/  per part of recipes: first and last id, documents, ids, root over their roots
+    format/    one row: how ids are stored, the number of buckets and the kind of document ids
+
+A store is a folder: any session opens it with `open_store`, which gives Spark the buckets
+again; no table stays in the catalogue.  The number of buckets follows the bytes of text.
 
 Reading back joins recipes with the bucketed chunks, which needs no shuffle of the chunks,
 brings a document's chunks together and checks digests and roots.
 
 Cases: null and empty texts hold the end id alone; rows of equal id are documents of their
-own, in the order in which they were read; an empty table gives an empty store.
+own, in the order in which they were read, equal rows (ties) too; very long texts are cut
+like others; extra columns, clashing ones among them, are left out; an empty table gives an
+empty store.
 """
 
 from __future__ import annotations
@@ -48,6 +54,8 @@ WINDOW = 16
 MEAN, LEAST, MOST = 512, 64, 4096
 #: Digests that a task remembers in order to leave out chunk bytes it has already sent.
 REMEMBERED = 200_000
+#: Characters of text per bucket, and the least number of buckets.
+BUCKET_CHARS, MIN_BUCKETS = 16_000_000, 8
 #: Uses beyond which a chunk's bytes are read back in several tasks, and in how many.
 HOT_USES = 1000
 SALTS = 64
@@ -111,12 +119,42 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class Store(NamedTuple):
-    """Names of a store's tables."""
+    """A store's folder and format; `doc` is the type of document ids."""
 
-    chunks: str
-    recipes: str
-    manifest: str
+    folder: str
     dtype: str
+    buckets: int
+    doc: str
+
+    @property
+    def recipes(self) -> str:
+        return f"{self.folder}/recipes"
+
+    @property
+    def manifest(self) -> str:
+        return f"{self.folder}/manifest"
+
+
+def open_store(spark: SparkSession, folder: str) -> Store:
+    """The store in a folder."""
+    return Store(folder, *spark.read.schema("dtype string, buckets int, doc string").json(f"{folder}/format").first())
+
+
+def save_chunks(rows: DataFrame, folder: str, buckets: int) -> None:
+    """Write rows as bucketed files; the table that Spark needs for it is dropped, its files stay."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "key").option("path", f"{folder}/chunks").saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def chunks(spark: SparkSession, store: Store) -> DataFrame:
+    """The chunk files with their buckets, by a table that is dropped as soon as the frame knows them."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    columns = f"row BIGINT, doc {store.doc}, seq INT, n INT, digest BINARY, data BINARY, key BINARY"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) INTO {store.buckets} BUCKETS LOCATION '{store.folder}/chunks'")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def chunk_uses(docs: DataFrame, id_col: str, text_col: str, end_id: int, vocab: str, vocab_dir: str | None, dtype: str) -> DataFrame:
@@ -197,15 +235,14 @@ def write_store(
 ) -> Store:
     """Encode all documents and write them into a new store in the shared folder."""
     spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "store")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-size // BUCKET_CHARS))
+    store = Store(folder, dtype, buckets, docs.schema[id_col].dataType.simpleString())
     uses = chunk_uses(docs, id_col, text_col, end_id, vocab, vocab_dir, dtype)
     ordered = uses.repartition(buckets, "key").sortWithinPartitions("key")
-    name = f"chunks_{uuid.uuid4().hex}"
-    once = ordered.mapInArrow(kept_once, uses.schema)
-    once.write.bucketBy(buckets, "key").option("path", f"{folder}/chunks").saveAsTable(name)
-    chunks = spark.table(name)
+    save_chunks(ordered.mapInArrow(kept_once, uses.schema), folder, buckets)
 
-    uses = chunks.select("doc", "row", F.struct("seq", "digest", "n").alias("part")).groupBy("doc", "row").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    uses = chunks(spark, store).select("doc", "row", F.struct("seq", "digest", "n").alias("part")).groupBy("doc", "row").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     placed = uses.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row").select(F.spark_partition_id().alias("part"), "doc", "row", "parts")
     schema = T.StructType(
         [
@@ -218,9 +255,10 @@ def write_store(
             T.StructField("before", T.LongType()),
         ]
     )
-    placed.mapInArrow(with_roots, schema).write.parquet(f"{folder}/recipes")
-    manifest(spark.read.schema(schema).parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
-    return Store(name, f"{folder}/recipes", f"{folder}/manifest", dtype)
+    placed.mapInArrow(with_roots, schema).write.parquet(store.recipes)
+    manifest(spark.read.schema(schema).parquet(store.recipes)).write.parquet(store.manifest)
+    spark.createDataFrame([store[1:]], "dtype string, buckets int, doc string").write.json(f"{folder}/format")
+    return store
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
@@ -264,9 +302,10 @@ def read_store(spark: SparkSession, store: Store, keep_ids: bool = False) -> Dat
     wanted = recipes.select("part", "doc", "row", "root", "before", F.posexplode("digests").alias("seq", "digest"))
     wanted = wanted.join(offsets, "part").select("doc", "row", "seq", "digest", F.when(F.col("seq") == 0, F.col("root")).alias("root"), (F.col("before") + F.col("offset")).alias("start"))
     wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    stored = spark.table(store.chunks).where("data is not null").select(F.col("key").alias("digest"), "data")
+    files = chunks(spark, store)
+    stored = files.where("data is not null").select(F.col("key").alias("digest"), "data")
     # Chunks with very many uses are few; their bytes go to every salt, and each use to one.
-    uses = spark.table(store.chunks).groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_USES).select("digest")
+    uses = files.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_USES).select("digest")
     hot = written(uses, "store-hot")
     many = hot.count()
     if many:

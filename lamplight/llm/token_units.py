@@ -4,7 +4,8 @@ The library's tokenizers work on one text at a time and spend most of their time
 words they have just seen.  Both vocabularies cut text into words before any merge, so
 ids of a text are the ids of its units one after another, provided that units end where
 the tokenizer's own cut is certain.  A text in which that isn't certain (special strings,
-the control characters 1C to 1F, on which libraries disagree) is encoded whole.
+the control characters 1C to 1F, on which libraries disagree) is encoded whole.  Texts are
+cut at white space first; a word with signs on it is cut into its units when it is new.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 LETTERS = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
 #: Byte-level units: such a run or anything without white space, either with one space before it, or white space but for its last character.
 BYTE_UNIT = re.compile(rf" ?{LETTERS}| ?\S+|\s+(?!\S)|\s+")
+#: What units are looked up in first: words with the signs on them, white space.
+BYTE_WORD = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: Characters outside those whose small form is one letter, whatever stands beside them.
 CASE_DEPENDS = re.compile("[^\x00-įı-ɏ]")
@@ -99,8 +102,10 @@ class UnitIds(Recent):
             parts = (WORD_UNIT if self.word_level else BYTE_UNIT).findall(unit)
             return b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.whole(unit)
         word = unit.lower() if self.word_level else unit
-        if not word.isascii() or word[0] == " ":
+        if not word.isascii():
             word = "".join([self.symbols[b] for b in word.encode()])
+        elif word[0] == " ":
+            word = self.symbols[32] + word[1:]
         return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word)])
 
 
@@ -115,7 +120,7 @@ def byte_level_ids(memo: UnitIds, text: str) -> bytes:
     """Ids of a text by the byte-level vocabulary."""
     if is_odd(text):
         return memo.whole(text)
-    return b"".join(map(memo.__getitem__, BYTE_UNIT.findall(text)))
+    return b"".join(map(memo.__getitem__, BYTE_WORD.findall(text)))
 
 
 def word_level_ids(memo: UnitIds, text: str) -> bytes:
@@ -124,7 +129,7 @@ def word_level_ids(memo: UnitIds, text: str) -> bytes:
         return memo.whole(text)
     if has_plain_case(text):
         text = text.lower()  # fewer distinct units
-    return b"".join(map(memo.__getitem__, WORD_UNIT.findall(text)))
+    return b"".join(map(memo.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamplight.llm import bpe_count, chunk_store, packing, token_units
+from lamplight.llm.common import fresh_path
 
 BYTES, WORDS = token_units.vocabulary("byte_bpe_50k.json"), token_units.vocabulary("word_bpe_49k.json")
 SIGNS = "abzAZ01'’.,!<|> \n\t\r\x0b\x0c\x1c\x1f\x85\xa0　éÉßİıΣ漢가́​²½😀_-"
@@ -141,8 +142,9 @@ def test_store(spark, docs, odd):
             assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
             start += r.n_tokens
         assert len(rows) == df.count()
-        kept = spark.table(store.chunks).where("data is not null")
-        assert kept.count() == kept.select("digest").distinct().count() == spark.table(store.chunks).select("digest").distinct().count()
+        files = chunk_store.chunks(spark, store)
+        kept = files.where("data is not null")
+        assert kept.count() == kept.select("digest").distinct().count() == files.select("digest").distinct().count()
         total = spark.read.parquet(store.manifest).agg(F.sum("documents"), F.sum("ids")).first()
         assert tuple(total) == (len(rows), start)
         assert len(chunk_store.manifest_root(spark, store)) == 16
@@ -158,10 +160,22 @@ def test_hot_chunks_are_spread(spark, odd, monkeypatch):
 
 def test_changed_chunk_is_noticed(spark, odd):
     store, _ = store_rows(spark, odd)
-    broken = spark.table(store.chunks).withColumn("data", F.when(F.col("data").isNotNull(), F.concat("data", F.lit(b"\x01\x00"))))
-    broken.write.saveAsTable("broken_chunks")
+    broken = chunk_store.chunks(spark, store).withColumn("data", F.when(F.col("data").isNotNull(), F.concat("data", F.lit(b"\x01\x00"))))
+    other = fresh_path(spark, "broken")
+    chunk_store.save_chunks(broken, other, store.buckets)
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{store.folder}/{part}").write.parquet(f"{other}/{part}")
     with pytest.raises(Exception, match="its bytes have changed"):
-        chunk_store.read_store(spark, store._replace(chunks="broken_chunks")).collect()
+        chunk_store.read_store(spark, store._replace(folder=other)).collect()
+
+
+def test_another_session_opens_a_store(spark, odd):
+    store, out = store_rows(spark, odd)
+    session = spark.newSession()
+    again = chunk_store.open_store(session, store.folder)
+    assert again == store
+    assert sorted(map(tuple, chunk_store.read_store(session, again, keep_ids=True).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
 
 
 def test_cuts_depend_on_content():
