@@ -4,13 +4,15 @@ Every task notes the hashes of its documents' line keys in a filter of those see
 a second one those seen again in another document.  Merging filters over tasks is a union
 of each, and bits that both tasks have seen once join the second: a key of two documents
 is always in the merged second filter.  Filters travel as slices, so that no task merges
-more than one slice, and the second one has a fixed size, so it can be broadcast.
+more than one slice.  Their size follows the counted lines up to a bound (64 MB), so the
+second one can be broadcast.
 
 Only lines found in it, the suspected repeats, are shuffled; grouping them by their whole
-key confirms repeats exactly and finds each key's first document.  When the data outgrow
-the filters they only suspect more lines; the result stays exact.
+key confirms repeats exactly and finds each key's first document.  Documents without a
+suspected line pass through where they are; only the others meet their drops.  When the
+data outgrow the filters they only suspect more lines; the result stays exact.
 
-Cases: a null or empty text is one empty line; keys shorter than min_chars are never
+Cases: a null or empty text is one empty line; very long texts are read whole; keys shorter than min_chars are never
 dropped; a key repeated only within one document stays; rows of one id are one document,
 and each gets its own result; extra columns are kept, clashing ones replaced; an empty
 table gives an empty result; rows without an id are kept as they are.
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 
 from lamplight.llm.common import written
 
-#: Bits of each filter, a fixed bound: 16 MB for the one that is broadcast.
-FILTER_BITS = 1 << 27
+#: Bits of a filter for each line, and the least and the most of them: 64 MB for the one that is broadcast.
+BITS_A_LINE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 SLICES = 256
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = b" \t\n\x0b\x0c\r"
@@ -65,6 +67,13 @@ def set_bits(filter_: np.ndarray, places: np.ndarray) -> None:
     np.bitwise_or.at(filter_, places >> 3, (1 << (places & 7)).astype(np.uint8))
 
 
+def filter_bits(docs: DataFrame, text_col: str) -> int:
+    """The power of two that gives each line of docs its bits, within the bounds."""
+    lines = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    wanted = BITS_A_LINE * (docs.agg(F.sum(lines)).first()[0] or 1)
+    return min(max(1 << int(wanted - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def repeat_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.ndarray:
     """The merged filter of hashes seen twice; bits / 8 bytes."""
     spark = docs.sparkSession
@@ -120,23 +129,28 @@ def repeat_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int) ->
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, bits: int | None = None) -> DataFrame:
     """docs whose text has lost repeated lines, with n_lines (before) and n_dropped."""
-    spark = docs.sparkSession
+    spark, bits = docs.sparkSession, bits or filter_bits(docs, text_col)
     kept = docs.drop(*({"n_lines", "n_dropped"} - {id_col, text_col}))
     twice = spark.sparkContext.broadcast(repeat_filter(kept.where(F.col(id_col).isNotNull()), text_col, min_chars, bits))
     suspect_schema = T.StructType([kept.schema[id_col], T.StructField("_key", T.BinaryType())])
 
+    def suspected(text: str | None) -> list[bytes]:
+        """Keys of a text that the filter holds."""
+        own = list({k for k in line_keys(text) if long_enough(k, min_chars)})
+        if not own:
+            return own
+        hit = has_bits(twice.value, filter_places(key_hashes(own), bits)).all(axis=1)
+        return [k for k, h in zip(own, hit.tolist(), strict=True) if h]
+
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
             for i, x in zip(batch.column(id_col), batch.column(text_col), strict=True):
-                own = list({k for k in line_keys(x.as_py()) if long_enough(k, min_chars)})
-                if own:
-                    hit = has_bits(twice.value, filter_places(key_hashes(own), bits)).all(axis=1)
-                    found = [k for k, h in zip(own, hit, strict=True) if h]
-                    ids += [i.as_py()] * len(found)
-                    keys += found
+                found = suspected(x.as_py())
+                ids += [i.as_py()] * len(found)
+                keys += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(id_col).type), pa.array(keys, pa.binary())], names=suspect_schema.fieldNames())
 
     suspects = written(kept.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(suspect, suspect_schema), "line-suspects")
@@ -147,7 +161,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = suspects.join(repeats.select("_key", "_first"), "_key").where(F.col(id_col) > F.col("_first"))
     drops = dropped.groupBy(id_col).agg(F.collect_set("_key").alias("_drop"))
     names = kept.columns
-    both = kept.join(drops, id_col, "left").select(*names, "_drop")
     schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +176,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, batch.schema.field(text_col).type) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=schema.fieldNames())
 
-    return both.mapInArrow(drop, schema)
+    def is_suspect(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([i.is_valid and bool(suspected(x.as_py())) for i, x in zip(batch.column(id_col), batch.column(text_col), strict=True)], dtype=bool)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.filter(pa.array(~is_suspect(batch)))
+            counts = [(x.as_py() or "").count("\n") + 1 for x in left.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(counts, pa.int64()), pa.array(np.zeros(len(counts), dtype=np.int64))], names=schema.fieldNames())
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_suspect(batch)))
+
+    both = kept.mapInArrow(touched, kept.schema).join(drops, id_col, "left").select(*names, "_drop")
+    return kept.mapInArrow(untouched, schema).unionByName(both.mapInArrow(drop, schema))
 
 
 #: DuckDB SQL for the result of op10.
