@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +38,29 @@ def own_folder(application: str) -> str:
     return f"file://{tempfile.mkdtemp(prefix=f'lamplight-{application}-')}"
 
 
+#: Folders named since the innermost scratch() began; None outside of one.
+NAMED: ContextVar[list[str] | None] = ContextVar("named", default=None)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (named := NAMED.get()) is not None:
+        named.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders that fresh_path named inside the block when it ends; whatever reads them has to be written by then."""
+    named: list[str] = []
+    token = NAMED.set(named)
+    try:
+        yield
+    finally:
+        NAMED.reset(token)
+        for path in named:
+            remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
