@@ -15,9 +15,12 @@ Candidates come in three rounds, and an exact comparison of shingle sets decides
    Shards over `SHARD_LIMIT` are salted, by table, so that their parts meet in other tables.
 2. Each fingerprint outside the largest class of its shard with the nearest one of another
    class: one pair for each fingerprint, which joins most of what the leaders left apart.
-3. All pairs within the wide radius whose documents are still in different classes.  In a
-   shard these are the members outside its largest class against all; shards over
-   `SHARD_LIMIT` are cut into blocks, to which only those members are copied.
+3. All pairs within the wide radius whose documents are still in different classes, of those
+   fingerprints alone that had a neighbour in the second round or are in a class of several.
+   In a shard these are the members outside its largest class against all; shards over
+   `SHARD_LIMIT` are cut into blocks, to which only those members are copied.  A second
+   fingerprint of 2048 bits tells similar from nearly similar pairs three times as sharply,
+   and a pair is given in the first table that it shares, so once.
 
 Candidates of the third round grow with the square of a family of documents that are
 alike by somewhat less than the similarity, but not of a group of copies.
@@ -49,7 +52,11 @@ from lamplight.llm.common import written
 from lamplight.llm.simhash import LOWER, BKTree, components
 
 BITS = 256
+#: Bits of the fingerprint that the last round compares as well.
+LONG_BITS = 2048
 RECALL = 0.95
+#: In place of the largest class: none has two members; not known, since the shard is in one block.
+NO_CLASS, COLD = -2, -1
 #: Members beyond which a shard is divided.
 SHARD_LIMIT = 4096
 #: Keys of divided shards (20 bytes each) are broadcast up to this many, else joined by shuffle.
@@ -69,11 +76,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], dtype="<u8")
 
 
-def simhash256(hashes: np.ndarray) -> bytes:
-    """Majority bits of four mixes of the hashes of a shingle set."""
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 16384):
-        part = hashes[at : at + 16384, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def majority_bits(hashes: np.ndarray, bits: int = BITS, block: int = 4096) -> bytes:
+    """Majority bits of as many mixes as it takes of the hashes of a shingle set."""
+    ones = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(hashes), block):
+        part = hashes[at : at + block, None] + np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         part = (part ^ part >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         part = (part ^ part >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         part ^= part >> np.uint64(31)
@@ -98,12 +105,18 @@ class Shape(NamedTuple):
     tables: int
     near: int
     wide: int
+    long: int
+
+    def drawn(self) -> list[np.ndarray]:
+        """The key bits of each table."""
+        return [np.random.default_rng(t).choice(BITS, self.key_bits, replace=False) for t in range(self.tables)]
 
 
 def shape(n: int, similarity: float) -> Shape:
     key_bits = max(10, math.ceil(math.log2(max(n, 1))) - 6)
     share = differing_share(similarity)
-    return Shape(key_bits, table_count(similarity, key_bits), round(BITS * share), math.floor(BITS * share + 2 * math.sqrt(BITS * share * (1 - share))))
+    most = lambda bits, spread: math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+    return Shape(key_bits, table_count(similarity, key_bits), round(BITS * share), most(BITS, 2), most(LONG_BITS, 3))
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -115,7 +128,7 @@ def in_shards(items: DataFrame, carried: list[str], of: Shape) -> DataFrame:
     schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("key", T.LongType()), *(items.schema[c] for c in carried)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = [np.random.default_rng(t).choice(BITS, of.key_bits, replace=False) for t in range(of.tables)]
+        drawn = of.drawn()
         powers = 1 << np.arange(of.key_bits, dtype=np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -133,7 +146,7 @@ def joined_small(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> Da
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_SHARDS else few, on, how)
 
 
-def by_shard(rows: DataFrame, pairs: Callable[[list], Iterator[np.ndarray]], keys: list[str], carried: list[str]) -> DataFrame:
+def by_shard(rows: DataFrame, pairs: Callable[[list], Iterator[np.ndarray]], keys: list[str], prints: list[str], carried: list[str]) -> DataFrame:
     """(a, b, far): what `pairs` yields (arrays of three columns) for the members of each shard, given as a list of arrays."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +171,8 @@ def by_shard(rows: DataFrame, pairs: Callable[[list], Iterator[np.ndarray]], key
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in keys]).astype(np.int64)
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
-            columns = [fps, *(batch.column(c).to_numpy() for c in carried)]
+            fps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for c in prints]
+            columns = [*fps, *(batch.column(c).to_numpy() for c in carried)]
             edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             for x, y in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
                 this = tuple(key[:, x].tolist())
@@ -171,12 +184,11 @@ def by_shard(rows: DataFrame, pairs: Callable[[list], Iterator[np.ndarray]], key
         if found:
             yield as_batch()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, FAR_PAIR).distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, FAR_PAIR)
 
 
-def leader_pairs(items: DataFrame, similarity: float, limit: int) -> DataFrame:
+def leader_pairs(items: DataFrame, of: Shape, limit: int) -> DataFrame:
     """(a, b): each item (n, fp) with a leader of its shard."""
-    of = shape(items.count(), similarity)
     rows = in_shards(items, ["n", "fp"], of)
     hot = written(rows.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit), "similar-hot")
     # The salt differs between tables, so that parts of a shard in one meet in another.
@@ -197,34 +209,37 @@ def leader_pairs(items: DataFrame, similarity: float, limit: int) -> DataFrame:
             yield np.array(found, dtype=np.int64)
 
     # One leader for each item over all tables keeps the exact comparisons in proportion to the items.
-    every = by_shard(salted, pairs, ["table", "key", "salt"], ["n"])
+    every = by_shard(salted, pairs, ["table", "key", "salt"], ["fp"], ["n"])
     return every.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def rest_pairs(items: DataFrame, similarity: float, limit: int, nearest: bool = False) -> DataFrame:
+def rest_pairs(items: DataFrame, of: Shape, limit: int, nearest: bool = False) -> DataFrame:
     """(a, b): pairs of items (n, fp, root) of different roots that share a shard and lie within the wide radius.
 
-    All of them, or with `nearest` one for each item outside its shard's largest class.
+    With `nearest` one for each item outside its shard's largest class; else all of them, for
+    which the items' long fingerprints (long) are compared as well.
     """
-    of = shape(items.count(), similarity)
-    rows = in_shards(items, ["n", "fp", "root"], of)
+    prints = ["fp"] if nearest else ["fp", "long"]
+    columns = ["n", "root", *prints]
+    rows = in_shards(items, columns, of)
     hot = written(rows.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit), "similar-hot")
     # The largest class of a hot shard; everything else in the shard is copied to each of its blocks.
     sizes = joined_small(rows, hot, ["table", "key"], "inner").groupBy("table", "key", "root", "_n").agg(F.count("*").alias("_of"))
-    hot = written(sizes.groupBy("table", "key", "_n").agg(F.max_by("root", F.struct("_of", "root")).alias("_most")), "similar-hot-classes")
+    most = F.max(F.struct("_of", "root"))
+    hot = written(sizes.groupBy("table", "key", "_n").agg(F.when(most["_of"] > 1, most["root"]).otherwise(NO_CLASS).alias("_most")), "similar-hot-classes")
     blocks = F.ceil(F.col("_n") / limit)
     own = F.pmod(F.xxhash64("n"), blocks)
     where = F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("_most"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
     home = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(own)
-    dealt = joined_small(rows, hot, ["table", "key"], "left").select("table", "key", "n", "fp", "root", home.alias("home"), F.coalesce("_most", F.lit(-1)).alias("most"), F.explode(where).alias("block"))
+    dealt = joined_small(rows, hot, ["table", "key"], "left").select("table", "key", *columns, home.alias("home"), F.coalesce("_most", F.lit(COLD)).alias("most"), F.explode(where).alias("block"))
 
     def pairs(members: list[np.ndarray]) -> Iterator[np.ndarray]:
-        fps, names, roots, home, most, block = members
+        fps, (names, roots, home, most, block, table) = members[0], members[len(prints) :]
         kinds, n = np.unique(roots, return_counts=True)
         if len(kinds) == 1:
             return
-        minor = roots != (most[0] if most[0] >= 0 else kinds[n.argmax()])
-        mine = home == block[0]
+        major = most[0] if most[0] != COLD else kinds[n.argmax()] if n.max() > 1 else NO_CLASS
+        minor, mine, drawn = roots != major, home == block[0], of.drawn()[: table[0]]
         # Members outside the largest class against that class, and against each other once, in the block where the row is at home.
         for at in range(0, len(names), 256):
             i = at + np.flatnonzero(minor[at : at + 256])
@@ -240,10 +255,15 @@ def rest_pairs(items: DataFrame, similarity: float, limit: int, nearest: bool =
                 y = y[x]
             else:
                 x, y = np.nonzero((far <= of.wide) & (~minor[None] | (mine[i, None] & (names[i, None] > names[None]))))
+                keep = np.bitwise_count(members[1][i[x]] ^ members[1][y]).sum(axis=1) <= of.long
+                apart = np.unpackbits((fps[i[x]] ^ fps[y]).view(np.uint8), axis=1, bitorder="little").astype(bool)
+                for places in drawn:  # an earlier table that the pair shares has it already
+                    keep &= apart[:, places].any(axis=1)
+                x, y = x[keep], y[keep]
             if len(x):
                 yield np.stack([names[i[x]], names[y], far[x, y]], axis=1).astype(np.int64)
 
-    found = by_shard(dealt, pairs, ["table", "key", "block"], ["n", "root", "home", "most", "block"])
+    found = by_shard(dealt.withColumn("_table", F.col("table")), pairs, ["table", "key", "block"], prints, ["n", "root", "home", "most", "block", "_table"])
     if nearest:
         found = found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     return found.select("a", "b")
@@ -261,6 +281,7 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
     """
     print_schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_of", T.StringType()), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.BinaryType())])
     set_schema = T.StructType([T.StructField("_of", T.StringType()), T.StructField("hashes", T.BinaryType())])
+    long_schema = T.StructType([T.StructField("_of", T.StringType()), T.StructField("long", T.BinaryType())])
     text_hash = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +291,7 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
                 hashes = np.unique(shingle_hashes(x.as_py(), width))
                 digests.append(set_digest(hashes))
                 sizes.append(len(hashes))
-                fps.append(simhash256(hashes))
+                fps.append(majority_bits(hashes))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "_of"]), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=print_schema.fieldNames())
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +299,11 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
             sets = [np.unique(shingle_hashes(x.as_py(), width)).tobytes() for x in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([batch.column("_of"), pa.array(sets, pa.binary())], names=set_schema.fieldNames())
 
+    def long_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [majority_bits(np.unique(shingle_hashes(x.as_py(), width)), LONG_BITS, 1024) for x in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column("_of"), pa.array(found, pa.binary())], names=long_schema.fieldNames())
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -287,6 +313,10 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
                 keep.append(common >= similarity * (len(p) + len(q) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    def texts_of(members: DataFrame) -> DataFrame:
+        """(_of, text) of items, each text once."""
+        return keyed.select("_of", text_col).join(members.select("_of"), "_of", "left_semi").groupBy("_of").agg(F.first(text_col).alias(text_col))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole shingle sets have the similarity."""
         of = lambda c: items.select(F.col("n").alias(c), F.col("size").alias(f"{c}_size"))
@@ -294,24 +324,32 @@ def similar_classes(docs: DataFrame, keep: list[str], text_col: str = "text", wi
         fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
         named = written(pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b"), "similar-pairs")
         members = items.join(named.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "n", "left_semi")
-        # Only texts in a candidate pair are read again, each text once.
-        texts = keyed.select("_of", text_col).join(members.select("_of"), "_of", "left_semi").groupBy("_of").agg(F.first(text_col).alias(text_col))
-        sets = written(texts.mapInArrow(shingles, set_schema).join(members.select("_of", "n"), "_of").select("n", "hashes"), "similar-sets")
+        sets = written(texts_of(members).mapInArrow(shingles, set_schema).join(members.select("_of", "n"), "_of").select("n", "hashes"), "similar-sets")
         with_a = named.join(sets.select(F.col("n").alias("a"), F.col("hashes").alias("_a")), "a")
         both = with_a.join(sets.select(F.col("n").alias("b"), F.col("hashes").alias("_b")), "b").select("a", "b", "_a", "_b")
         return written(both.mapInArrow(compare, PAIR), "similar-confirmed")
 
     def with_roots(links: DataFrame) -> DataFrame:
         roots = components(links)
-        return items.join(roots, items["n"] == roots["node"], "left").select("n", "set", "fp", F.coalesce("root", "n").alias("root"))
+        return items.join(roots, items["n"] == roots["node"], "left").select("n", "set", "_of", "fp", F.coalesce("root", "n").alias("root"))
+
+    def with_long_prints(rooted: DataFrame, near: DataFrame) -> DataFrame:
+        """Items that may still have a neighbour of another class, with their long fingerprints."""
+        several = rooted.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").select("root", F.lit(True).alias("_several"))
+        close = near.select(F.col("a").alias("n"), F.lit(True).alias("_close"))
+        chosen = written(rooted.join(close, "n", "left").join(several, "root", "left").where("_close or _several").select("n", "_of", "fp", "root"), "similar-chosen")
+        return written(chosen.join(texts_of(chosen).mapInArrow(long_print, long_schema), "_of").select("n", "fp", "root", "long"), "similar-long")
 
     keyed = docs.select(*dict.fromkeys([*keep, text_col])).withColumn("_of", text_hash)
     prints = written(keyed.mapInArrow(fingerprint, print_schema), "similar-prints")
     distinct = prints.groupBy("set").agg(F.min("_of").alias("_of"), F.min("size").alias("size"), F.min("fp").alias("fp"))
     items = written(distinct.select(F.monotonically_increasing_id().alias("n"), "set", "_of", "size", "fp"), "similar-items")
-    found = confirmed(leader_pairs(items, similarity, limit))
-    for nearest in (True, False):
-        found = found.unionByName(confirmed(rest_pairs(written(with_roots(found), "similar-roots"), similarity, limit, nearest)))
+    of = shape(items.count(), similarity)
+    found = confirmed(leader_pairs(items, of, limit))
+    near = written(rest_pairs(written(with_roots(found), "similar-roots"), of, limit, nearest=True), "similar-near")
+    found = found.unionByName(confirmed(near))
+    rooted = written(with_roots(found), "similar-roots")
+    found = found.unionByName(confirmed(rest_pairs(with_long_prints(rooted, near), of, limit)))
     return prints.select(*keep, "set").join(with_roots(found).select("set", F.col("root").alias("class")), "set").select(*keep, "class")
 
 
