@@ -46,7 +46,8 @@ def features(found: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    return features(words(text))
+    """Features of a text; words are looked at one by one only where it has Hangul at all."""
+    return F.when(text.rlike("[가-힣]"), features(words(text))).otherwise(keyword_tokens(text))
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from lamplight.functions import text as X
 from lamplight.operators import aggregates, dedup, evaluation, evidence, lifecycle, policy, quality, search, session
 from lamplight.plans.registry import query
 from lamplight.plans.views import CANDIDATES, candidates, sql_collapse, sql_reasons
-from lamplight.sources.tables import table
+from lamplight.sources.tables import table, written
 
 C = sql_collapse("text")
 TOKENS = """dt AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t FROM documents) WHERE length(t) > 1),
@@ -17,7 +17,8 @@ qt AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_al
 
 
 def chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), X.tokenize(F.col("text")).alias("tokens"))
+    """Tokens of all documents, made once and stored: every scan of a search reads them, none the texts."""
+    return written(table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), X.tokenize(F.col("text")).alias("tokens")), "chunk-tokens")
 
 
 def query_tokens(spark: SparkSession, folder: str) -> DataFrame:
