@@ -73,7 +73,15 @@ KOREAN = Profile(
         "이었나요", "되었나요", "했나요", "인가요", "되는", "으로", "에서", "에는", "에게", "부터", "까지", "처럼", "보다", "이라고", "라고",
         "이며", "이고", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "로", "인",
     ),
-    stop_words=("이후", "있던", "지은", "건물", "뒤", "뒤에", "지금", "뭐야"),
+    stop_words=(
+        "목포", "근대", "역사", "자료", "관련", "대해", "알려줘", "알려주세요", "들려줘", "궁금해", "중요했", "다음", "무엇", "어떤", "누구", "현재", "언제", "어떻게", "역할",
+        "발전", "방법", "설명", "설명해", "설명해줘", "공간", "사용", "알려", "주세요", "했나요", "됐고", "이야기", "이야기해줘", "명확히", "부분", "얘기", "해줘", "넘어가자",
+        "돌아가자", "돌아가서", "돌아와서", "돌아오고", "다시", "거야", "그럼", "그러면", "그렇다면", "처음", "생긴", "지었어", "거지", "설치된", "시기", "사건", "순서", "인물",
+        "장소", "사실", "역사적", "확인된", "확인되는", "확인", "관련해", "관련된", "정확한", "정확히", "근거해", "근거로", "이번", "이번에", "돌아", "특징", "관계", "역할",
+        "활동", "형성", "변화", "영향", "성격", "정보", "내용", "구분해", "배경", "전개", "결과", "과정", "주요", "무엇이야", "첫", "두", "번째", "단체", "둘", "둘을",
+        "같은", "보면", "되는", "이유", "건립", "설립", "개통", "준공", "아까", "말한", "여기", "여기서", "거기서", "이곳에서", "그곳에서", "일어났어", "당시", "내부", "모습",
+        "어땠어", "어땐어", "사람들", "이용", "이용했어", "이후", "있던", "지은", "건물", "뒤", "뒤에", "지금", "뭐야",
+    ),
     boilerplate=r"^(?:누구(?:야|예요|인가요)?|어때(?:요)?|(?:알려|말해|설명해|이야기해|얘기해)(?:줘|주세요|봐)?|(?:만들|세우|세워|지어|생겨|일어나|했|됐|되었)[가-힣]*)$",
     topics={
         "opening_trade": ("개항", "해관", "세관", "거류지", "조계", "무역", "개항장"),

@@ -81,12 +81,12 @@ nm AS (SELECT id, sqrt(sum(w * w)) AS n FROM sl GROUP BY id), v AS (SELECT id, s
 
 
 @query(
-    f"""WITH r AS (SELECT item_id AS id, t, min(n) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t, generate_subscripts(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'), 1) AS n FROM benchmark) WHERE length(t) > 1 GROUP BY 1, 2),
+    f"""WITH r AS (SELECT doc_id AS id, t, min(n) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t, generate_subscripts(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'), 1) AS n FROM documents) WHERE length(t) > 1 GROUP BY 1, 2),
     tk AS (SELECT id, list(t ORDER BY n) AS toks FROM r GROUP BY id), {GRAMS} SELECT id, slot, round(weight, 9) AS weight FROM v"""
 )
 def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature-hashing vectors of all benchmark passages."""
-    found = search.hashed_vectors(table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text"), 384, "id")
+    """Feature-hashing vectors of all documents."""
+    found = search.hashed_vectors(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), 384, "id")
     return found.select("id", "slot", F.round("weight", 9).alias("weight"))
 
 
