@@ -56,14 +56,15 @@ def content_quality(docs: DataFrame, profile: X.Profile) -> DataFrame:
     return rows.withColumns(rounded | {"quality_score": F.least(capped, F.lit(10)), "noise": noise}).drop("_c", "_t", "_lines", "_sorted", "_nav", "_rep", "_ocr", "_density", "_semantic")
 
 
-def candidate_scores(rows: DataFrame, profile: X.Profile, corroboration: Column | int = 0) -> DataFrame:
+def candidate_scores(rows: DataFrame, profile: X.Profile, corroboration: Column | int = 0, body: Column | None = None) -> DataFrame:
     """rows with eight sub-scores and their sum of at most 100.
 
     Needs source_tier, canonical_url, publisher, publisher_family, record_id, citation,
-    author, title, text, quality_score and rights (of rights_decision).
+    author, title, text, quality_score and rights (of rights_decision); body is the text
+    without repeated white space, if the rows have it already.
     """
-    both = X.collapse(F.concat_ws(" ", "title", "text"))
-    body = X.collapse(F.col("text"))
+    body = X.collapse(F.col("text")) if body is None else body
+    both = F.trim(F.concat_ws(" ", X.collapse(F.col("title")), body))
     some = lambda name: (~X.blank(F.col(name))).cast("int")
     objective = 6 + F.least(F.regexp_count(body, F.lit(profile.attribution)), F.lit(4)) - F.least(F.regexp_count(body, F.lit(profile.sensational)) * 3, F.lit(6)) + F.greatest(some("author"), some("publisher"))
     place = X.occurrences(both, [profile.places[0]])
@@ -84,9 +85,9 @@ def candidate_scores(rows: DataFrame, profile: X.Profile, corroboration: Column
     return out.withColumn("total_score", total)
 
 
-def hard_rejections(profile: X.Profile) -> Column:
+def hard_rejections(profile: X.Profile, body: Column | None = None) -> Column:
     """Codes that no score outweighs; needs the columns of content_quality, candidate_scores and dup_method."""
-    c, body = F.col, X.collapse(F.col("text"))
+    c, body = F.col, X.collapse(F.col("text")) if body is None else body
     own = X.reasons(
         (X.blank(c("canonical_url")), "no_provenance"),
         (X.blank(c("publisher")) | X.blank(c("publisher_family")), "no_publisher"),

@@ -196,11 +196,12 @@ def policy_quality_decision(spark: SparkSession, folder: str) -> DataFrame:
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with quality, rights, duplicates, scores and statuses: the whole candidate processor (K9)."""
     rows = quality.content_quality(candidates(spark, folder), X.SAMPLE)
-    rows = rows.withColumns({"canonical_url": F.col("source_url"), "rights": policy.rights_decision(), "raw_sha256": F.sha2(F.col("text").cast("binary"), 256), "body_key": dedup.body_hash(F.col("text"))})
-    rows = dedup.first_by_key(rows, ["raw_sha256", "body_key"], "doc_id")
+    rows = rows.withColumns({"canonical_url": F.col("source_url"), "rights": policy.rights_decision(), "raw_sha256": F.sha2(F.col("text").cast("binary"), 256), "body_key": dedup.body_hash(F.col("text")), "_body": X.collapse(F.col("text"))})
+    # Stored, so that neither the keys' aggregations nor the scores collapse the texts again.
+    rows = dedup.first_by_key(written(rows, "scored-candidates"), ["raw_sha256", "body_key"], "doc_id")
     rows = rows.withColumn("duplicate_status", F.when(F.col("dup_of").isNotNull(), "confirmed").otherwise("unique"))
-    rows = quality.candidate_scores(rows, X.SAMPLE)
-    rows = rows.withColumn("rejection_reasons", quality.hard_rejections(X.SAMPLE))
+    rows = quality.candidate_scores(rows, X.SAMPLE, body=F.col("_body"))
+    rows = rows.withColumn("rejection_reasons", quality.hard_rejections(X.SAMPLE, F.col("_body"))).drop("_body")
     return rows.withColumn("status", quality.score_status())
 
 
@@ -318,7 +319,7 @@ def report_topic_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
     """Duplicates by the first of several keys."""
     rows = table(spark, folder, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("raw"), dedup.body_hash(F.col("text")).alias("body"))
-    return dedup.first_by_key(rows, ["raw", "body"], "doc_id").select("doc_id", "dup_method", "dup_of")
+    return dedup.first_by_key(written(rows, "exact-keys"), ["raw", "body"], "doc_id").select("doc_id", "dup_method", "dup_of")
 
 
 @query()
