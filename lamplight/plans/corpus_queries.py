@@ -322,11 +322,16 @@ def dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.first_by_key(written(rows, "exact-keys"), ["raw", "body"], "doc_id").select("doc_id", "dup_method", "dup_of")
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT doc_id, md5(text) AS raw, CASE WHEN coalesce({C}, '') = '' THEN '' ELSE sha256(lower({C})) END AS body FROM documents),
+    f AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS of_body, min(doc_id) OVER (PARTITION BY raw) AS of_raw FROM k),
+    d AS (SELECT doc_id, CASE WHEN body <> '' AND of_body < doc_id THEN CASE WHEN of_raw = of_body THEN 'raw' ELSE 'body' END WHEN body = '' AND raw IS NOT NULL AND of_raw < doc_id THEN 'raw' END AS dup_method, of_body, of_raw FROM f)
+    SELECT doc_id, dup_method, CASE dup_method WHEN 'body' THEN of_body WHEN 'raw' THEN of_raw END AS dup_of FROM d"""
+)
 def dedup_retained(spark: SparkSession, folder: str) -> DataFrame:
-    """Duplicates in order, confirmed ones being no originals."""
-    rows = table(spark, folder, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("raw"), F.md5(F.left("text", F.lit(60)).cast("binary")).alias("lead"))
-    return dedup.retained_in_order(rows, ["raw", "lead"], "doc_id").select("doc_id", "dup_method", "dup_of")
+    """Duplicates in order by whole texts, confirmed ones being no originals."""
+    rows = table(spark, folder, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("raw"), dedup.body_hash(F.col("text")).alias("body"))
+    return dedup.retained_in_order(written(rows, "retained-keys"), ["raw", "body"], "doc_id").select("doc_id", "dup_method", "dup_of")
 
 
 @query()
