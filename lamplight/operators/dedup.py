@@ -96,9 +96,12 @@ def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return out.withColumns({"dup_method": method, "dup_of": of}).drop(*[f"_first_{k}" for k in keys])
 
 
-def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def retained_in_order(rows: DataFrame, keys: list[str], order: str, near: dict[str, DataFrame] | None = None) -> DataFrame:
     """rows with dup_method and dup_of, where a confirmed duplicate is no original for later rows.
 
+    near: for a key, its values and those that count as the same: (key, near_value), both
+    ways.  Rows meet by values, so copies of a value cost nothing more.
+
     Row C that shares a key only with duplicate B of A is unique.  Rows whose duplicates
     are decided are fixed round by round: a row is a duplicate if an earlier retained row
     shares a key, and retained once no earlier undecided row does.  Each round is two
@@ -107,6 +110,15 @@ def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     """
     from lamplight.sources.tables import written
 
+    def with_near(seen: DataFrame, k: str) -> DataFrame:
+        """The least of each column over a value and those near it."""
+        if k not in (near or {}):
+            return seen
+        columns = [c for c in seen.columns if c != k]
+        own = seen.select(F.col(k).alias("_value"), *columns)
+        others = near[k].select(F.col(k).alias("_value"), "near_value").join(seen.withColumnRenamed(k, "near_value"), "near_value").select("_value", *columns)
+        return own.unionByName(others).groupBy(F.col("_value").alias(k)).agg(*[F.min(c).alias(c) for c in columns])
+
     state = rows.withColumn("_state", F.lit(0))  # 0 open, 1 retained, 2 duplicate
     while True:
         marked = state
@@ -115,7 +127,7 @@ def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame
             seen = state.where((value != "") & (F.col("_state") < 2)).groupBy(k).agg(
                 F.min(F.when(F.col("_state") == 1, F.col(order))).alias(f"_kept_{k}"), F.min(F.when(F.col("_state") == 0, F.col(order))).alias(f"_open_{k}")
             )
-            marked = marked.join(seen, k, "left")
+            marked = marked.join(with_near(seen, k), k, "left")
         kept = [F.coalesce(F.col(f"_kept_{k}") < F.col(order), F.lit(False)) for k in keys]
         waits = [F.coalesce(F.col(f"_open_{k}") < F.col(order), F.lit(False)) for k in keys]
         any_kept, any_waits = kept[0], waits[0]
@@ -127,8 +139,8 @@ def retained_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame
             break
     out = state
     for k in keys:
-        least = state.where((F.col(k) != "") & (F.col("_state") == 1)).groupBy(k).agg(F.max(order).alias(f"_last_{k}"), F.min(order).alias(f"_kept_{k}"))
-        out = out.join(least, k, "left")
+        least = state.where((F.col(k) != "") & (F.col("_state") == 1)).groupBy(k).agg(F.min(order).alias(f"_kept_{k}"))
+        out = out.join(with_near(least, k), k, "left")
     method, of = F.lit(None).cast("string"), F.lit(None).cast(rows.schema[order].dataType)
     for k in reversed(keys):
         hit = F.col(f"_kept_{k}") < F.col(order)
@@ -193,3 +205,22 @@ def token_jaccard(rows: DataFrame, id_col: str, tokens_col: str, least: float =
     both = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("t").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("t").alias("y")), "right_id")
     j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return both.select("left_id", "right_id", j.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def catalogue_accepted(rows: DataFrame, order: str, url: Column, content: Column, title: Column, least: float = 0.9) -> DataFrame:
+    """rows with dup_method and dup_of: in order, a row is accepted unless an accepted one has its url, its content or nearly its title words.
+
+    Titles are alike if the Jaccard similarity of their word sets is `least` or more; those
+    without words are like none.  Blank urls and null contents are no keys.  Distinct word
+    sets are compared once, whatever number of rows has them.
+    """
+    from lamplight.sources.tables import written
+
+    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(f"({X.WORD})"))))
+    keyed = rows.withColumns({"_url": F.coalesce(url, F.lit("")), "_content": F.coalesce(content, F.lit("")), "_tokens": tokens})
+    keyed = written(keyed.withColumn("_words", F.array_join("_tokens", " ")), "catalogue")
+    pairs = token_jaccard(keyed.select("_words", "_tokens").dropDuplicates(["_words"]), "_words", "_tokens", least).where("left_id <> right_id")
+    both = pairs.select(F.col("left_id").alias("_words"), F.col("right_id").alias("near_value")).unionByName(pairs.select(F.col("right_id").alias("_words"), F.col("left_id").alias("near_value")))
+    found = retained_in_order(keyed.drop("_tokens"), ["_url", "_content", "_words"], order, {"_words": written(both, "catalogue-near")})
+    method = F.when(F.col("dup_method") == "_url", "url").when(F.col("dup_method") == "_content", "content").when(F.col("dup_method") == "_words", "title")
+    return found.withColumn("dup_method", method).drop("_url", "_content", "_words")
