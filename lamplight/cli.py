@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("lamplight").getOrCreate()
     if a.command == "query":
-        from lamplight.plans import corpus_queries, policy_queries, registry, text_queries  # noqa: F401
+        from lamplight.plans import audit_queries, corpus_queries, policy_queries, registry, text_queries  # noqa: F401
 
         registry.QUERIES[a.name](spark, a.folder).show(a.rows, truncate=80)
         return

@@ -65,3 +65,60 @@ def scenario_errors(required: list[str], answerability: Column) -> Column:
     """What is wrong with a scenario turn."""
     kinds = ("answerable", "partially_answerable", "unanswerable", "out_of_scope")
     return X.reasons(*[(X.blank(F.col(f)), f"missing:{f}") for f in required], (~F.coalesce(answerability.isin(*kinds), F.lit(False)), "answerability"), (F.col("training_eligible"), "training_eligible"))
+
+
+def retrieval_breakdown(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """(part, name, ...): recall of chunks and of sources at 1, 3 and 5 and the share of refusals, of all cases, by locale and by topic.
+
+    cases: case_id, locale, topic, expected and expected_sources (arrays), should_answer,
+    should_refuse; results: case_id, chunk_id, source_id, rank.
+    """
+
+    def first(column: str, wanted: str, name: str) -> DataFrame:
+        asked = cases.select("case_id", F.explode(wanted).alias(column)).distinct()
+        return results.join(asked, ["case_id", column]).groupBy("case_id").agg(F.min("rank").alias(name))
+
+    answered = results.select("case_id").distinct().withColumn("_any", F.lit(True))
+    rows = cases.join(first("chunk_id", "expected", "_chunk"), "case_id", "left").join(first("source_id", "expected_sources", "_source"), "case_id", "left").join(answered, "case_id", "left")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(n, F.lit("")).alias("name")) for p, n in (("all", F.lit("")), ("locale", F.col("locale")), ("topic", F.col("topic")))])
+    each = rows.withColumn("_p", F.explode(parts))
+    share = lambda test, among: F.round(F.coalesce(F.count_if(among & F.coalesce(test, F.lit(False))) / F.nullif(F.count_if(among), F.lit(0)), F.lit(0.0)), 4)
+    answer, refuse = F.col("should_answer"), F.col("should_refuse")
+    return each.groupBy("_p.part", "_p.name").agg(
+        F.count_if(answer).alias("answerable_cases"),
+        F.count_if(refuse).alias("refusal_cases"),
+        *[share(F.col("_chunk") <= k, answer).alias(f"recall_at_{k}") for k in (1, 3, 5)],
+        *[share(F.col("_source") <= k, answer).alias(f"source_recall_at_{k}") for k in (1, 3, 5)],
+        share(F.col("_any").isNull(), refuse).alias("rejection_rate"),
+    )
+
+
+def failure_counts(turns: DataFrame) -> DataFrame:
+    """One row: turns, passes and failures by kind of answered scenario turns.
+
+    turns: answer, status, grounded, n_evidence, n_sources, answerability, expected_query
+    (null: none expected), search_query.  Repeated fallbacks are answers without enough
+    evidence given again, counted beyond the first of each text.
+    """
+    complete, grounded = X.is_complete(F.col("answer")), F.col("grounded")
+    has, lacks = (F.col("n_evidence") > 0) & (F.col("n_sources") > 0), (F.col("n_evidence") == 0) & (F.col("n_sources") == 0)
+    contract = F.when(grounded, has).otherwise(lacks)
+    expected = F.col("expected_query").isNotNull()
+    context = ~expected | (F.col("expected_query") == F.coalesce("search_query", F.lit("")))
+    outside = F.col("answerability") == "out_of_scope"
+    counts = turns.agg(
+        F.count("*").alias("turns"),
+        F.count_if(complete).alias("complete"),
+        F.count_if(contract).alias("grounded_contract"),
+        F.count_if(expected).alias("context_total"),
+        F.count_if(expected & context).alias("context_pass"),
+        F.count_if(outside).alias("out_of_scope_total"),
+        F.count_if(outside & ~grounded).alias("out_of_scope_pass"),
+        F.count_if(~complete).alias("truncation_failure"),
+        F.count_if(~contract).alias("hallucination"),
+        F.count_if(~context).alias("contextualization_failure"),
+        F.count_if(outside & grounded).alias("out_of_scope_failure"),
+        F.count_if((F.col("answerability") == "answerable") & ~grounded).alias("retrieval_failure"),
+    )
+    again = turns.where("status = 'insufficient_evidence'").groupBy(F.sha2(F.coalesce("answer", F.lit("")).cast("binary"), 256).alias("h")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(again.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("fallback_failure"))))

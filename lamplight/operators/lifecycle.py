@@ -120,3 +120,19 @@ def source_mismatches(manifest: DataFrame, chunks: DataFrame, indexed: DataFrame
         part = a.join(b, "document_id", "left_anti").select(F.lit(kind).alias("kind"), "document_id")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def raw_mismatches(manifest: DataFrame, files: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(kind, key): raw files without a manifest row, and manifest rows without a path, its file or an extracted text.
+
+    manifest: document_id, local_path; files: local_path; extracted: document_id.
+    """
+    of = lambda kind, rows, key: rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
+    named = manifest.where(~X.blank(F.col("local_path")))
+    parts = [
+        of("raw_without_manifest", files.join(named, "local_path", "left_anti"), "local_path"),
+        of("manifest_missing_raw_file", named.join(files, "local_path", "left_anti"), "local_path"),
+        of("manifest_without_raw_path", manifest.where(X.blank(F.col("local_path"))), "document_id"),
+        of("manifest_without_extracted_text", manifest.join(extracted, "document_id", "left_anti"), "document_id"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

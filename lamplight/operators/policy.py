@@ -236,3 +236,15 @@ def first_case(text: Column, cases: Sequence[tuple[str, Sequence[str]]], default
     for label, terms in cases:
         out = F.when(X.any_of(text, terms), label) if out is None else out.when(X.any_of(text, terms), label)
     return out.otherwise(default)
+
+
+def campaign_relevant(title: Column, text: Column, places: Sequence[str], history: Sequence[str], barriers: Sequence[str], least: int = 400) -> Column:
+    """Long enough once collapsed, no barrier term in any case, at least one place and one term of history."""
+    whole = X.collapse(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
+    barred = X.present(F.lower(whole), [b.lower() for b in barriers]) > 0
+    return (F.length(whole) >= least) & ~barred & (X.present(whole, places) > 0) & (X.present(whole, history) > 0)
+
+
+def covers(supported: Column, requested: Column) -> Column:
+    """Every requested item is a supported one; none requested is covered."""
+    return F.size(F.array_except(requested, supported)) == 0

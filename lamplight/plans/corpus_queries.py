@@ -510,6 +510,16 @@ def session_intents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", policy.intent(F.coalesce("text", F.lit("")), patterns).alias("intent"))
 
 
+def expected_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, d): the first document that a passage occurs in."""
+    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("passage"))
+    # The passages are the stated query set; documents meet only those whose first word they have.
+    head = X.words(F.col("passage"))[0]
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.explode(X.keyword_tokens(F.col("text"))).alias("w"))
+    pairs = docs.join(search.small(items.withColumn("w", head)), "w").where(F.contains("text", F.col("passage")))
+    return pairs.groupBy("item_id").agg(F.min("doc_id").alias("d"))
+
+
 @query(
     f"""WITH {BM25}, e AS (SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
     h AS (SELECT b.item_id, e.expected, min(s.rank) AS first FROM benchmark b LEFT JOIN e USING (item_id) LEFT JOIN (SELECT * FROM sp WHERE rank <= 12) s ON s.item_id = b.item_id AND s.doc_id = e.expected GROUP BY 1, 2)
@@ -519,12 +529,7 @@ def session_intents(spark: SparkSession, folder: str) -> DataFrame:
 )
 def evaluate_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """Recall and reciprocal rank of BM25 for passages that occur in documents."""
-    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # The passages are the stated query set; documents meet only those whose first word they have.
-    head = X.words(F.col("passage"))[0]
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.explode(X.keyword_tokens(F.col("text"))).alias("w"))
-    pairs = docs.join(search.small(items.withColumn("w", head)), "w").where(F.contains("text", F.col("passage")))
-    expected = pairs.groupBy("item_id").agg(F.min("doc_id").alias("d"))
+    items, expected = table(spark, folder, "benchmark").select("item_id"), expected_documents(spark, folder)
     cases = items.join(expected, "item_id", "left").select(F.col("item_id").alias("case_id"), F.when(F.col("d").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("d")).alias("expected"), F.col("d").isNotNull().alias("should_answer"), F.col("d").isNull().alias("should_refuse"), F.lit("").alias("topic"))
     results = bm25_results(spark, folder, 12).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
     return evaluation.retrieval_metrics(cases, results).drop("no_evidence_precision")
