@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from lamplight.operators import dedup, evaluation, policy
-from lamplight.plans import registry
+from lamplight.plans import audit_queries, registry  # noqa: F401
 
 
 def accepted(rows):
