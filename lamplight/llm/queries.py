@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm import bpe_count, chunk_store, html_text, langid, line_dedup, media, mixing, packing, simhash, sketch
+from lamplight.llm import bpe_count, chunk_store, html_text, langid, line_dedup, media, mixing, packing, periodic, private, ranked, simhash, sketch
 from lamplight.llm.common import table
 
 
@@ -57,5 +57,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_count_tokens, op4_extract_html, op5_fingerprints, op6_language_id, op7_simhash, op8_media, op9_token_store, op10_line_dedup)}
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.personal_data(table(spark, sf_dir, "documents"))
+    base = F.concat(*private.KINDS)
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    return found.select("doc_id", *counts, F.sha2(private.listed(base).cast("binary"), 256).alias("base_sha256"), private.listed(F.concat(base, "added")).alias("spans"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.with_runs(docs).withColumn("_best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.*",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(periodic.described(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_count_tokens, op4_extract_html, op5_fingerprints, op6_language_id, op7_simhash, op8_media, op9_token_store, op10_line_dedup, op11_private_data, op12_periodic_runs, op13_ranked_search)}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op13_ranked_search": ranked.ORACLE}
