@@ -13,7 +13,8 @@ hit is the pivot.  Then the shallow pointers move to the blocks that hold it: if
 blocks' own greatest impacts don't reach that score, all documents up to the nearest end
 of these blocks are skipped; else the blocks are unpacked and the pivot is scored.  Before
 that, the documents of the blocks of most impact are scored to begin with a high bar.
-Each segment gives its best hits, of which the best are taken for each item.
+Each segment gives its best hits, of which the best are taken for each item.  An eighth of
+the segments is searched first, and the others need the scores found there at least.
 
 Scores are whole numbers: a word's weight, floor(1000 ln((2N + 2) / (2 df + 1))), times
 its impact, 1000000000 tf div (1000 tf + 8 m), with m = 25 + 75 n N div L for a document of n
@@ -52,9 +53,12 @@ BLOCK, SEGMENT = 64, 1 << 22
 ITEMS, ITEM_BYTES = 2000, 4 << 20
 #: Words whose best blocks are scored first.
 FIRST = 4
+#: A word that more than one in so many documents have is taken to be everywhere.
+DENSE = 4
 #: Rows of an Arrow batch.
 ROWS = 20_000
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: One of so many groups of segments is searched before the others.
+AHEAD = 8
 #: Bytes of a text to bytes of its words: letters in lower case, blanks between.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -98,8 +102,14 @@ def numbers(data: bytes) -> np.ndarray:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with words, and words in all."""
-    n = docs.select(F.regexp_count(text_col, F.lit(WORD)).alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return int(n[0]), int(n[1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(words_of(text.as_py())) for text in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_pydict({"docs": [sum(n > 0 for n in sizes)], "words": [sum(sizes)]})
+
+    total = docs.select(text_col).mapInArrow(count, "docs long, words long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    return int(total[0]), int(total[1])
 
 
 def index_schema(id_type: T.DataType) -> T.StructType:
@@ -192,18 +202,23 @@ class Cursor:
         self.postings, self.weight, self.bound = postings, weight, weight * postings.greatest
         self.doc, self.block, self.shallow, self.at = 0, -1, 0, 0
 
-    def move(self, doc: int) -> None:
-        """To the first document of the word from doc on, unpacking the block that holds it."""
-        p = self.postings
-        b = bisect_left(p.last, doc, max(self.block, 0))
+    def taken(self, doc: int) -> int:
+        """The word's impact in a document; the cursor moves on to the next one, unpacking the block that holds this one."""
+        p, b = self.postings, self.shallow
         if b == len(p.last):
             self.doc = END
-            return
+            return 0
         if b != self.block:
             self.block, self.at = b, 0
             self.docs, self.impacts = p.unpacked(b)
-        self.at = bisect_left(self.docs, doc, self.at)
-        self.doc = self.docs[self.at]
+        at = bisect_left(self.docs, doc, self.at)
+        found = 0
+        if self.docs[at] == doc:
+            found = self.impacts[at]
+            at += 1
+        self.at = at
+        self.doc = self.docs[at] if at < len(self.docs) else doc + 1
+        return found
 
 
 END = 1 << 62
@@ -212,75 +227,100 @@ END = 1 << 62
 class Postings:
     """A word's blocks in a segment; unpacked ones are kept for the items to come."""
 
-    __slots__ = ("last", "top", "ends", "data", "m", "greatest", "kept")
+    __slots__ = ("last", "top", "ends", "data", "m", "greatest", "dense", "kept", "maps")
 
     def __init__(self, last: list[int], top: list[int], ends: list[int], data: bytes, m: np.ndarray):
         self.last, self.top, self.ends, self.data, self.m = last, top, ends, data, m
-        self.greatest, self.kept = max(top), {}
+        self.greatest, self.kept, self.maps = max(top), {}, {}
+        self.dense = DENSE * BLOCK * len(last) > len(m)
 
     def unpacked(self, block: int) -> tuple[list[int], list[int]]:
+        """Documents and impacts of a block."""
         if (found := self.kept.get(block)) is None:
             pairs = numbers(self.data[self.ends[block - 1] if block else 0 : self.ends[block]]).reshape(-1, 2)
             docs = np.cumsum(pairs[:, 0]) + (self.last[block - 1] if block else -1)
             found = self.kept[block] = (docs.tolist(), impact(pairs[:, 1], self.m[docs]).tolist())
         return found
 
+    def impact_of(self, block: int, doc: int) -> int:
+        if (found := self.maps.get(block)) is None:
+            found = self.maps[block] = dict(zip(*self.unpacked(block), strict=True))
+        return found.get(doc, 0)
 
-def segment_hits(words: list[tuple[Postings, int]], tie: list[int], k: int, bar: int = 1) -> list[tuple[int, int]]:
-    """The k best (score, document) of a segment, of those that reach bar, for words with weights.
 
-    tie ranks documents of equal score, the least first.
-    """
-    cursors = [Cursor(p, w) for p, w in words]
-    heap: list[tuple[int, int, int]] = []
-
-    def keep(score: int, doc: int) -> None:
-        nonlocal bar
-        if score >= bar:
-            if len(heap) < k:
-                heapq.heappush(heap, (score, -tie[doc], doc))
-            else:
-                heapq.heappushpop(heap, (score, -tie[doc], doc))
-            if len(heap) == k:
-                bar = max(bar, heap[0][0])
-
-    # The documents of the blocks of most impact, of the words of most weight.
-    early: set[int] = set()
-    for c in sorted(cursors, key=lambda c: -c.bound)[:FIRST]:
-        early.update(c.postings.unpacked(c.postings.top.index(c.postings.greatest))[0])
-    some = sorted(early)
+class Best:
+    """The k best (score, document) of a segment so far, and the score that the next one has to reach."""
+
+    def __init__(self, tie: list[int], k: int, bar: int):
+        self.tie, self.k, self.bar = tie, k, bar
+        self.heap: list[tuple[int, int, int]] = []
+
+    def offer(self, score: int, doc: int) -> None:
+        if score < self.bar:
+            return
+        if len(self.heap) < self.k:
+            heapq.heappush(self.heap, (score, -self.tie[doc], doc))
+        else:
+            heapq.heappushpop(self.heap, (score, -self.tie[doc], doc))
+        if len(self.heap) == self.k:
+            self.bar = max(self.bar, self.heap[0][0])
+
+
+def scored_first(words: list[tuple[Postings, int]], best: Best) -> set[int]:
+    """Score the documents of the blocks of most impact, of the words of most weight."""
+    top = sorted(words, key=lambda x: -x[0].greatest * x[1])[:FIRST]
+    some = sorted({doc for p, _ in top for doc in p.unpacked(p.top.index(p.greatest))[0]})
     sums = [0] * len(some)
-    for c in cursors:
-        p, w, b, kept, block = c.postings, c.weight, 0, None, -1
+    for p, w in words:
+        b = 0
         for i, doc in enumerate(some):
             b = bisect_left(p.last, doc, b)
             if b == len(p.last):
                 break
-            if b != block:
-                block, docs_impacts = b, p.unpacked(b)
-                kept = dict(zip(*docs_impacts, strict=True))
-            sums[i] += w * kept.get(doc, 0)
+            sums[i] += w * p.impact_of(b, doc)
     for score, doc in zip(sums, some, strict=True):
-        keep(score, doc)
+        best.offer(score, doc)
+    return set(some)
 
-    by_doc = lambda c: c.doc
-    while True:
+
+def segment_hits(words: list[tuple[Postings, int]], tie: list[int], k: int, bar: int = 1) -> list[tuple[int, int]]:
+    """The k best (score, document) of a segment, of those that reach bar, for words with weights.
+
+    tie ranks documents of equal score, the least first.  Words that more than one in DENSE
+    documents have are taken to be at every document, so their cursors needn't be ordered.
+    """
+    best = Best(tie, k, bar)
+    early = scored_first(words, best) if bar <= 1 else ()
+    dense = [(p, w) for p, w in words if p.dense]
+    dense_bound = sum(w * p.greatest for p, w in dense)
+    dense_blocks: list[int] = [0] * len(dense)
+    dense_reach, dense_end = 0, -1
+    cursors = [Cursor(p, w) for p, w in words if not p.dense]
+    by_doc, least, stop = (lambda c: c.doc), 0, len(tie)
+    while least < stop:
         cursors.sort(key=by_doc)
-        while cursors and cursors[-1].doc == END:
+        while cursors and cursors[-1].doc >= stop:
             cursors.pop()
-        reach = 0
-        for upto, c in enumerate(cursors):
-            reach += c.bound
-            if reach >= bar:
+        bar, reach, upto, pivot = best.bar, dense_bound, 0, least
+        if reach < bar:
+            for upto, c in enumerate(cursors, 1):
+                reach += c.bound
+                if reach >= bar:
+                    pivot = c.doc
+                    break
+            else:
                 break
-        else:
-            break
-        pivot = c.doc
-        upto += 1
-        while upto < len(cursors) and cursors[upto].doc == pivot:
+        while upto < len(cursors) and cursors[upto].doc <= pivot:
             upto += 1
-        # Shallow moves: only the list of the blocks' last documents is read.
-        reach, skip = 0, END
+        # Shallow moves: only the lists of the blocks' last documents are read.
+        if pivot > dense_end:
+            dense_reach, dense_end = 0, END
+            for i, (p, w) in enumerate(dense):
+                dense_blocks[i] = b = bisect_left(p.last, pivot, dense_blocks[i])
+                if b < len(p.last):
+                    dense_reach += w * p.top[b]
+                    dense_end = min(dense_end, p.last[b])
+        reach, skip = dense_reach, dense_end
         for c in cursors[:upto]:
             last = c.postings.last
             c.shallow = b = bisect_left(last, pivot, c.shallow)
@@ -289,31 +329,25 @@ def segment_hits(words: list[tuple[Postings, int]], tie: list[int], k: int, bar:
                 if last[b] < skip:
                     skip = last[b]
         if reach < bar:
-            skip = END if skip == END else skip + 1
-            if upto < len(cursors) and cursors[upto].doc < skip:
-                skip = cursors[upto].doc
-            # Where the cursors go is a bound as yet; their blocks are unpacked only if it becomes a pivot that is scored.
+            least = skip + 1
+            if upto < len(cursors) and cursors[upto].doc < least:
+                least = cursors[upto].doc
+            # Where the cursors go is a bound as yet; blocks are unpacked only for a pivot that is scored.
             for c in cursors[:upto]:
-                c.doc = skip if c.postings.last[-1] >= skip else END
+                c.doc = least
             continue
-        score, last = 0, True
-        for c in cursors[:upto]:
-            c.move(pivot)
-            if c.doc == pivot:
-                score += c.weight * c.impacts[c.at]
-        if pivot not in early:
-            keep(score, pivot)
+        score, least = 0, pivot + 1
         for c in cursors[:upto]:
-            if c.doc == pivot:
-                c.at += 1
-                if c.at < len(c.docs):
-                    c.doc = c.docs[c.at]
-                else:
-                    c.doc = pivot + 1 if c.postings.last[-1] > pivot else END
-    return [(score, doc) for score, _, doc in heap]
+            score += c.weight * c.taken(pivot)
+        if score + dense_reach >= bar and pivot not in early:
+            for (p, w), b in zip(dense, dense_blocks, strict=True):
+                if b < len(p.last):
+                    score += w * p.impact_of(b, pivot)
+            best.offer(score, pivot)
+    return [(score, doc) for score, _, doc in best.heap]
 
 
-def found_in_block(index: DataFrame, total: tuple[int, int], items: list[tuple[int, str]], k: int, id_type: T.DataType) -> DataFrame:
+def found_in_block(index: DataFrame, total: tuple[int, int], items: list[tuple[int, str]], k: int, id_type: T.DataType, segment: int) -> DataFrame:
     """(number, doc, score): the best hits of each segment for numbered items, which are a bounded block of all."""
     spark = index.sparkSession
     asked = {number: Counter(words_of((text or "").encode())) for number, text in items}
@@ -326,20 +360,38 @@ def found_in_block(index: DataFrame, total: tuple[int, int], items: list[tuple[i
     schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("doc", id_type), T.StructField("score", T.LongType())])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def search(table: pa.Table) -> pa.Table:
-        head = table.filter(pc.is_null(table["term"]))
-        ids, m = head["docs"][0].as_py(), np.array(head["m"][0].as_py(), dtype=np.int64)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]) if ids[i] is not None else (True,))
-        tie = [0] * len(ids)
-        for place, i in enumerate(order):
-            tie[i] = place
-        rows = table.filter(pc.is_valid(table["term"])).select(["term", "last", "top", "ends", "data"]).to_pydict()
-        postings = {w.encode(): Postings(*rest, m) for w, *rest in zip(*rows.values(), strict=True)}
-        out = [(number, ids[doc], score) for number, words in queries.items() for score, doc in segment_hits([(postings[w], x) for w, x in words if w in postings], tie, k)]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [(), (), ()], arrow, strict=True)], schema=arrow)
-
-    heads = index.where("term is null")
-    return hits.unionByName(heads).groupBy("segment").applyInArrow(search, schema)
+    def searched(rows: DataFrame, bars: dict[int, int]) -> DataFrame:
+        def search(table: pa.Table) -> pa.Table:
+            out, scores = [], {number: [bar] * k for number, bar in bars.items()}
+            table = table.sort_by("segment")
+            names = table["segment"].combine_chunks()
+            bounds = [*np.unique(names.to_numpy(), return_index=True)[1].tolist(), len(names)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                segment = table.slice(lo, hi - lo)
+                head = segment.filter(pc.is_null(segment["term"]))
+                ids, m = head["docs"][0].as_py(), np.array(head["m"][0].as_py(), dtype=np.int64)
+                tie = [0] * len(ids)
+                for place, i in enumerate(sorted(range(len(ids)), key=lambda i: (True,) if ids[i] is None else (False, ids[i]))):
+                    tie[i] = place
+                words = segment.filter(pc.is_valid(segment["term"])).select(["term", "last", "top", "ends", "data"]).to_pydict()
+                postings = {w.encode(): Postings(*rest, m) for w, *rest in zip(*words.values(), strict=True)}
+                for number, asks in queries.items():
+                    kept = scores.setdefault(number, [])
+                    found = segment_hits([(postings[w], x) for w, x in asks if w in postings], tie, k, kept[k - 1] if len(kept) >= k else 1)
+                    out += [(number, ids[doc], score) for score, doc in found]
+                    scores[number] = heapq.nlargest(k, kept + [score for score, _ in found])
+            return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [(), (), ()], arrow, strict=True)], schema=arrow)
+
+        return rows.groupBy("_group").applyInArrow(search, schema)
+
+    # Segments are searched in groups of about a quarter of a full one, so that small ones share what was found.
+    groups = math.ceil(4 * total[1] / segment)
+    rows = hits.unionByName(index.where("term is null")).withColumn("_group", F.pmod(F.xxhash64("segment"), F.lit(groups)))
+    ahead = F.col("_group") < math.ceil(groups / AHEAD)
+    first = written(searched(rows.where(ahead), {}), "ranked-first")
+    best = first.withColumn("_n", F.row_number().over(Window.partitionBy("number").orderBy(F.col("score").desc()))).where(F.col("_n") == k)
+    bars = {r.number: r.score for r in best.select("number", "score").collect()}
+    return first.unionByName(searched(rows.where(~ahead), bars))
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -361,7 +413,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
             rows = asked.where(F.pmod(F.xxhash64("_item", "_asked"), F.lit(blocks)) == block).collect()
             numbered = [(i, r._asked) for i, r in enumerate(rows)]
             names = spark.createDataFrame([(i, r._item) for i, r in enumerate(rows)], T.StructType([T.StructField("number", T.LongType()), T.StructField("_item", items.schema[item_col].dataType)]))
-            hits = found_in_block(index, total, numbered, k, id_type)
+            hits = found_in_block(index, total, numbered, k, id_type, segment)
             found = found.unionByName(hits.join(F.broadcast(names), "number").select("_item", F.col("doc").alias("_doc"), "score"))
     order = Window.partitionBy("_item").orderBy(F.col("score").desc(), F.col("_doc").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
