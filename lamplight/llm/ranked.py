@@ -48,7 +48,7 @@ from lamplight.llm.common import written
 from lamplight.llm.periodic import Numbers
 
 #: Postings in a block, and words in a segment.
-BLOCK, SEGMENT = 64, 1 << 22
+BLOCK, SEGMENT = 64, 1 << 20
 #: Items searched at once, and bytes of their texts.
 ITEMS, ITEM_BYTES = 2000, 4 << 20
 #: Words whose best blocks are scored first.
@@ -384,8 +384,8 @@ def found_in_block(index: DataFrame, total: tuple[int, int], items: list[tuple[i
 
         return rows.groupBy("_group").applyInArrow(search, schema)
 
-    # Segments are searched in groups of about a quarter of a full one, so that small ones share what was found.
-    groups = math.ceil(4 * total[1] / segment)
+    # Segments are searched in groups of about two full ones, which share what was found.
+    groups = math.ceil(total[1] / (2 * segment))
     rows = hits.unionByName(index.where("term is null")).withColumn("_group", F.pmod(F.xxhash64("segment"), F.lit(groups)))
     ahead = F.col("_group") < math.ceil(groups / AHEAD)
     first = written(searched(rows.where(ahead), {}), "ranked-first")
