@@ -15,31 +15,70 @@ PAIRS = (
     r"^\s*(.{2,35}?)(?:와|과)\s*(.{2,35}?)(?=의\s*(?:날짜|시기|인물|사람)|\s*(?:날짜|시기|인물|사람))",
     r"^\s*(.{2,35}?)(?:와|과)\s*(.{2,35}?)(?=(?:을|를)?\s*(?:각각|구분|비교))",
 )
-PHRASES = (
-    r"^\s*(?:먼저|이제|이번에는?)?\s*(.{2,35}?)(?=\s*(?:시기|날짜|인물|사람|장소|활동)(?:만|은|는|을|를))",
-    r"^\s*(.{2,40}?)(?=와\s*관련(?:된)?\s*(?:인물|사람|장소))",
-    r"^\s*(?:이번에는?\s+|이제는?\s+)?(.{2,40}?)(?=의\s*(?:역사|배경|과정|활동|역할)(?:을|를|은|는))",
-    r"^\s*(.{2,40}?)(?=(?:을|를|에\s*대해)\s*(?:알려|설명|말해|이야기))",
-    r"(?<![0-9A-Za-z가-힣·])([0-9A-Za-z가-힣·]{2,20}(?:\s+[0-9A-Za-z가-힣·]{2,20}){1,2}\s*(?:전시관|역사관|박물관|기념관|지점|학교|건물))(?=은|는|이|가|와|과|을|를|에서|에\s*대해)",
-    r"(?<![0-9A-Za-z가-힣·])([0-9A-Za-z가-힣·]{2,30})(?=의|은|는|이|가|와|과|을|를|에서|(?:으)?로\s*(?:돌아|복귀)|에\s*대해)",
-)
+#: Where one phrase is meant: before a facet, unless related things are asked for; before related persons or places.
+FACET = r"^\s*(?:먼저|이제|이번에는?)?\s*(.{2,35}?)(?=\s*(?:시기|날짜|인물|사람|장소|활동)(?:만|은|는|을|를))"
+RELATED = r"^\s*(.{2,40}?)(?=와\s*관련(?:된)?\s*(?:인물|사람|장소))"
+#: Before a possessive and a facet: this phrase stays whole.
+POSSESSED = r"^\s*(.{2,40}?)(?=의\s*(?:역사|배경|과정|활동|역할)(?:을|를|은|는))"
+DESCRIBED = r"^\s*(.{2,40}?)(?=(?:을|를|에\s*대해)\s*(?:알려|설명|말해|이야기))"
+NUMBERED = r"\d+(?:\.\d+)+[가-힣A-Za-z]+"
+NAMES = r"구\s*목포\s*일본영사관|목포\s*일본영사관|구\s*일본영사관|동양척식주식회사(?:\s*목포지점)?|목포근대역사관(?:\s*[12]관)?|목포(?:역|항|진|시)|광주학생운동|한국전쟁|이범석"
+INSTITUTIONS = r"(?<![0-9A-Za-z가-힣·])([0-9A-Za-z가-힣·]{2,20}(?:\s+[0-9A-Za-z가-힣·]{2,20}){1,2}\s*(?:전시관|역사관|박물관|기념관|지점|학교|건물))(?=(?:은|는|이|가|와|과|을|를|에서|에\s*대해))"
+BEFORE_PARTICLE = r"(?<![0-9A-Za-z가-힣·])([0-9A-Za-z가-힣·]{2,30})(?=(?:의|은|는|이|가|와|과|을|를|에서|(?:으)?로\s*(?:돌아|복귀)))"
+BEFORE_ABOUT = r"(?<![0-9A-Za-z가-힣·])([0-9A-Za-z가-힣·]{2,30})(?=에\s*대해)"
+SWITCHED = r"(?:이번에는?|이제는?)\s+(.{2,40}?)(?=(?:을|를|에\s*대해)\s*(?:알려|설명|말해))"
+RETURNED = r"(?:다시|아까)\s+(.{2,30}?)(?=(?:으)?로\s*(?:돌아|복귀))"
 ASKING = r"왜|언제|어디|누가|누구|어떻게|무슨|알려|설명|말해|이야기|관계|역할|원인|이유|결과|영향"
+#: Compound names and turns of phrase in the spelling of the texts, in this order.
+COMPOUNDS = (
+    (r"목포\s+(역|항|진)", "목포$1"),
+    (r"일본\s+영사관", "일본영사관"),
+    (r"동양\s+척식\s*주식회사", "동양척식주식회사"),
+    (r"목포\s*근대\s*역사관", "목포근대역사관"),
+    (r"커졌(?:는지|는가|어|어요)?", "성장 변천"),
+    (r"달라졌(?:는지|는가|어|어요)?", "변화 변천"),
+)
+
+
+def joined_compounds(text: Column) -> Column:
+    """Compound names without the blanks that people put into them."""
+    for pattern, spelling in COMPOUNDS:
+        text = F.regexp_replace(text, pattern, spelling)
+    return text
 
 
 def subjects(question: Column, profile: X.Profile = X.KOREAN) -> Column:
-    """What a question is about: the first phrase that its grammar sets apart, two for a comparison, else its few content words."""
-    text = X.collapse(question)
-    phrase = lambda x: F.array_join(F.slice(X.content_words(x, profile), 1, 3), " ")
-    none = F.array().cast("array<string>")
-    few = X.content_words(text, profile)
-    out = F.when(text.rlike(NO_SUBJECT), none)
+    """What a question is about, by the first rule of its grammar that finds something.
+
+    Two phrases that are compared; one before a facet, before related persons, before a
+    possessive (as it stands) or before a word of telling; names of institutions; words
+    before particles, those first that are no recognised names; recognised names; a few
+    content words alone.
+    """
+    text = joined_compounds(X.collapse(question))
+    one = lambda p: F.regexp_extract(text, p, 1)
+    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p if "([" in p else f"({p})")))
+
+    def phrase(x: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(x, NUMBERED, 0), "(?:과|와|은|는|이|가|을|를)$", "")
+        return F.when(x.rlike(NUMBERED), number).otherwise(F.array_join(F.slice(X.content_words(x, profile), 1, 3), " "))
+
+    out = F.when(text.rlike(NO_SUBJECT), F.array().cast("array<string>"))
     for p in PAIRS:
         both = F.array_distinct(F.filter(F.array(phrase(F.regexp_extract(text, p, 1)), phrase(F.regexp_extract(text, p, 2))), lambda x: x != ""))
         out = out.when(F.size(both) == 2, both)
-    for p in PHRASES:
-        one = phrase(F.regexp_extract(text, p, 1))
-        out = out.when(one != "", F.array(one))
-    return out.otherwise(F.when((F.size(few) == 1) | (F.size(few).between(2, 3) & ~text.rlike(ASKING)), few).otherwise(none))
+    out = out.when((phrase(one(FACET)) != "") & ~F.contains(text, F.lit("관련")), F.array(phrase(one(FACET))))
+    out = out.when(phrase(one(RELATED)) != "", F.array(phrase(one(RELATED))))
+    kept = F.trim(F.regexp_replace(X.collapse(one(POSSESSED)), r"^(?:이번에는?|이제는?)\s+", ""))
+    out = out.when(kept != "", F.array(kept))
+    out = out.when(phrase(one(DESCRIBED)) != "", F.array(phrase(one(DESCRIBED))))
+    institutions, names = every(INSTITUTIONS), every(NAMES)
+    captures = F.array_join(F.concat(every(BEFORE_PARTICLE), every(BEFORE_ABOUT), F.array(one(SWITCHED), one(RETURNED))), " ")
+    words = F.filter(X.content_words(captures, profile), lambda w: ~w.rlike(r"^\d+(?:년|월|일)?$"))
+    special, few = F.array_except(words, names), X.content_words(text, profile)
+    out = out.when(F.size(institutions) > 0, institutions).when(F.size(special) > 0, special)
+    out = out.when(F.size(names) > 0, names).when(F.size(words) > 0, words)
+    return out.otherwise(F.when((F.size(few) == 1) | (F.size(few).between(2, 3) & ~text.rlike(ASKING)), few).otherwise(F.array().cast("array<string>")))
 
 
 def squeezed(text: Column) -> Column:
