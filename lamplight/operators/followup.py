@@ -169,15 +169,15 @@ def whole(text: Column, pattern: str) -> Column:
     return text.rlike(rf"{flags}^(?:{rest})$")
 
 
-def question_features(text: Column, g: Grammar) -> Column:
-    """What a question's own words say, as a struct; nothing of it depends on other turns."""
+def question_features(text: Column, named: Column, g: Grammar) -> Column:
+    """What a question's own words say, as a struct; nothing of it depends on other turns.  named: its subjects."""
     asked = F.regexp_replace(text, r"^\s+|\s+$", "")
     found = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p if re.compile(p).groups else f"({p})")))
     then_name = F.lit("")
     for p in reversed(g.whole_then_name):
         then_name = F.when(whole(asked, p), F.regexp_extract(asked, f"^(?:{p})$", 1)).otherwise(then_name)
     persons = F.filter(found(g.person), lambda w: ~w.isin(*g.not_persons)) if g.not_persons else found(g.person)
-    subjects = F.filter(g.subjects(text), lambda w: ~w.isin(*g.not_subjects)) if g.not_subjects else g.subjects(text)
+    subjects = F.filter(named, lambda w: ~w.isin(*g.not_subjects)) if g.not_subjects else named
     transform = whole(asked, g.whole_transform)
     elliptical = F.lit(False)
     for p in g.whole_elliptical:
@@ -193,7 +193,7 @@ def question_features(text: Column, g: Grammar) -> Column:
         found(g.place).alias("places"),
         F.when(text.rlike(g.no_persons) | text.rlike(g.person_reference), F.array().cast("array<string>")).otherwise(persons).alias("persons"),
         F.when(silent, F.array().cast("array<string>")).otherwise(subjects).alias("subjects"),
-        g.subjects(text).alias("all_subjects"),
+        named.alias("all_subjects"),
         found(g.event).alias("events"),
         F.regexp_extract_all(text, F.lit(f"({g.period})")).alias("periods"),
         text.rlike(g.followup).alias("followup"),
@@ -435,13 +435,13 @@ def prepared(turns: DataFrame, g: Grammar, *others: str) -> DataFrame:
     has = lambda name, kind: F.col(name) if name in turns.columns else F.lit(None).cast(kind)
     text = F.coalesce("text", F.lit(""))
     label = lambda name: grounding.context_label(has(name, "string"), g.place_labels)
-    rows = turns.where(F.col("role").isin("user", "assistant", "reset"))
+    rows = turns.where(F.col("role").isin("user", "assistant", "reset")).withColumn("_named", F.when(F.col("role") == "user", g.subjects(text)))
     return rows.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         "role",
         F.when(F.col("role") == "user", text).alias("text"),
-        F.when(F.col("role") == "user", question_features(text, g)).alias("q"),
+        F.when(F.col("role") == "user", question_features(text, F.col("_named"), g)).alias("q"),
         (~text.rlike(g.unknown)).alias("trusted"),
         (F.coalesce(F.size(has("chunk_ids", "array<string>")), F.lit(0)) > 0).alias("supported"),
         label("place_id").alias("place"),

@@ -55,30 +55,45 @@ def subjects(question: Column, profile: X.Profile = X.KOREAN) -> Column:
     before particles, those first that are no recognised names; recognised names; a few
     content words alone.
     """
-    text = joined_compounds(X.collapse(question))
-    one = lambda p: F.regexp_extract(text, p, 1)
-    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p if "([" in p else f"({p})")))
-
     def phrase(x: Column) -> Column:
         number = F.regexp_replace(F.regexp_extract(x, NUMBERED, 0), "(?:과|와|은|는|이|가|을|를)$", "")
         return F.when(x.rlike(NUMBERED), number).otherwise(F.array_join(F.slice(X.content_words(x, profile), 1, 3), " "))
 
-    out = F.when(text.rlike(NO_SUBJECT), F.array().cast("array<string>"))
-    for p in PAIRS:
-        both = F.array_distinct(F.filter(F.array(phrase(F.regexp_extract(text, p, 1)), phrase(F.regexp_extract(text, p, 2))), lambda x: x != ""))
-        out = out.when(F.size(both) == 2, both)
-    out = out.when((phrase(one(FACET)) != "") & ~F.contains(text, F.lit("관련")), F.array(phrase(one(FACET))))
-    out = out.when(phrase(one(RELATED)) != "", F.array(phrase(one(RELATED))))
-    kept = F.trim(F.regexp_replace(X.collapse(one(POSSESSED)), r"^(?:이번에는?|이제는?)\s+", ""))
-    out = out.when(kept != "", F.array(kept))
-    out = out.when(phrase(one(DESCRIBED)) != "", F.array(phrase(one(DESCRIBED))))
-    institutions, names = every(INSTITUTIONS), every(NAMES)
-    captures = F.array_join(F.concat(every(BEFORE_PARTICLE), every(BEFORE_ABOUT), F.array(one(SWITCHED), one(RETURNED))), " ")
-    words = F.filter(X.content_words(captures, profile), lambda w: ~w.rlike(r"^\d+(?:년|월|일)?$"))
-    special, few = F.array_except(words, names), X.content_words(text, profile)
-    out = out.when(F.size(institutions) > 0, institutions).when(F.size(special) > 0, special)
-    out = out.when(F.size(names) > 0, names).when(F.size(words) > 0, words)
-    return out.otherwise(F.when((F.size(few) == 1) | (F.size(few).between(2, 3) & ~text.rlike(ASKING)), few).otherwise(F.array().cast("array<string>")))
+    def read(text: Column) -> Column:
+        one = lambda p, n=1: F.regexp_extract(text, p, n)
+        every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p if "([" in p else f"({p})")))
+        captures = F.array_join(F.concat(every(BEFORE_PARTICLE), every(BEFORE_ABOUT), F.array(one(SWITCHED), one(RETURNED))), " ")
+        return F.struct(
+            text.alias("text"),
+            F.transform(F.array(*[one(p, n) for p in PAIRS for n in (1, 2)], one(FACET), one(RELATED), one(DESCRIBED)), phrase).alias("phrases"),
+            F.trim(F.regexp_replace(X.collapse(one(POSSESSED)), r"^(?:이번에는?|이제는?)\s+", "")).alias("possessed"),
+            every(INSTITUTIONS).alias("institutions"),
+            every(NAMES).alias("names"),
+            F.transform(F.array(captures, text), lambda x: X.content_words(x, profile)).alias("words"),
+        )
+
+    def cascade(r: Column) -> Column:
+        phrases = r["phrases"]
+        both = lambda n: F.array_distinct(F.filter(F.slice(phrases, n, 2), lambda x: x != ""))
+        some = lambda x: F.filter(F.array(x), lambda v: v != "")
+        words, few = F.filter(r["words"][0], lambda w: ~w.rlike(r"^\d+(?:년|월|일)?$")), r["words"][1]
+        found = [
+            *(F.when(F.size(both(n)) == 2, both(n)) for n in (1, 3)),
+            F.when(~F.contains(r["text"], F.lit("관련")), some(phrases[4])),
+            some(phrases[5]),
+            some(r["possessed"]),
+            some(phrases[6]),
+            r["institutions"],
+            F.array_except(words, r["names"]),
+            r["names"],
+            words,
+            F.when((F.size(few) == 1) | (F.size(few).between(2, 3) & ~r["text"].rlike(ASKING)), few),
+        ]
+        first = F.get(F.filter(F.array(*found), lambda x: F.size(x) > 0), F.lit(0))
+        return F.when(r["text"].rlike(NO_SUBJECT) | first.isNull(), F.array().cast("array<string>")).otherwise(first)
+
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return bound(joined_compounds(X.collapse(question)), lambda text: bound(read(text), cascade))
 
 
 def squeezed(text: Column) -> Column:

@@ -24,11 +24,11 @@ class Resolver(StatefulProcessor):
     """The state of a conversation: its slots as one value, and the evidence of its last turns as a list, a stack to return to.
 
     A turn of role reset removes the state; so does being idle for idle_ms of processing
-    time, by a timer that each turn moves on.  The first turn fixes the mode of the
+    time, if given, by a timer that each turn moves on.  The first turn fixes the mode of the
     conversation; turns of another mode are refused and change nothing.
     """
 
-    def __init__(self, grammar: followup.Grammar, history: int, idle_ms: int):
+    def __init__(self, grammar: followup.Grammar, history: int, idle_ms: int | None):
         self.grammar, self.history, self.idle_ms = grammar, history, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -75,9 +75,10 @@ class Resolver(StatefulProcessor):
         if changed:
             self.save(memory)
             self.mode.update((mode,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            if self.idle_ms:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         names = ["turn", "status", *(name for name, _ in followup.FIELDS)]
         yield pd.DataFrame([{"conv_id": key[0], **{n: r.get(n) for n in names}} for r in out], columns=["conv_id", *names]).astype({"turn": "int64"})
 
@@ -89,13 +90,14 @@ class Resolver(StatefulProcessor):
         pass
 
 
-def resolved_stream(turns: DataFrame, grammar: followup.Grammar = followup.KOREAN, history: int = 8, idle_ms: int = 3_600_000) -> DataFrame:
+def resolved_stream(turns: DataFrame, grammar: followup.Grammar = followup.KOREAN, history: int = 8, idle_ms: int | None = None) -> DataFrame:
     """A row per question of a stream of turns, as followup.resolved_turns gives it, with a status.
 
     turns: conv_id, turn, role, text and optionally chunk_ids, place_id, piece_id and mode.
     Turns of one batch are taken in order; a turn has to arrive no earlier than those before it.
+    With idle_ms the stream has timers, and a trigger of availableNow never ends.
     """
     mode = F.coalesce("mode", F.lit("")) if "mode" in turns.columns else F.lit("")
     rows = followup.prepared(turns.withColumn("_mode", mode), grammar, "_mode").withColumn("q", F.to_json("q")).withColumnRenamed("_mode", "mode")
     schema = T.StructType([turns.schema["conv_id"], T.StructField("turn", T.LongType()), T.StructField("status", T.StringType()), *(T.StructField(*f) for f in followup.FIELDS)])
-    return rows.groupBy("conv_id").transformWithStateInPandas(Resolver(grammar, history, idle_ms), schema, "append", "processingTime")
+    return rows.groupBy("conv_id").transformWithStateInPandas(Resolver(grammar, history, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
