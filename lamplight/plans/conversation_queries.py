@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.operators import followup
+from lamplight.functions import text as X
+from lamplight.operators import followup, turn_evidence
 from lamplight.plans.registry import query
 from lamplight.sources.tables import table
 
@@ -102,3 +103,17 @@ def conversation_resolved(spark: SparkSession, folder: str) -> DataFrame:
     """What each question of a conversation is about, and what to search for."""
     found = followup.resolved_turns(answered_from(table(spark, folder, "conversations")), followup.SAMPLE)
     return found.select("conv_id", "turn", "kind", "search_query", "question", "place", "topic", "subject", "anchor", "event", "period", "intent", "followup")
+
+
+def long_words(text):
+    """Words of nine letters or more, which few texts share."""
+    return F.filter(X.keyword_tokens(text), lambda w: F.length(w) >= 9)
+
+
+@query()
+def conversation_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The evidence of each question among the documents, and the round that gave it."""
+    questions = followup.resolved_turns(answered_from(table(spark, folder, "conversations")), followup.SAMPLE)
+    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    aspects = ((r" by ", r" by "), (r"tion", r"tion"))
+    return turn_evidence.turn_evidence(questions, chunks, long_words, retry_terms={"time": "when", "cause": "for"}, comparison=r"(?:^|[^A-Za-z])(?:or|ou|oder)(?:[^A-Za-z]|$)", aspects=aspects)
