@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.functions import text as X
-from lamplight.operators import followup, turn_evidence
+from lamplight.operators import followup, sections, turn_evidence
 from lamplight.plans.registry import query
 from lamplight.sources.tables import table
 
@@ -117,3 +117,43 @@ def conversation_evidence(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     aspects = ((r" by ", r" by "), (r"tion", r"tion"))
     return turn_evidence.turn_evidence(questions, chunks, long_words, retry_terms={"time": "when", "cause": "for"}, comparison=r"(?:^|[^A-Za-z])(?:or|ou|oder)(?:[^A-Za-z]|$)", aspects=aspects)
+
+
+_M = sections.SAMPLE
+_IS = lambda p, x="line": f"regexp_matches({x}, '{p}')"
+_FIRST = lambda test: f"min(CASE WHEN {test} THEN n END) OVER (PARTITION BY doc_id)"
+_HEADS = ", ".join(f"{_FIRST(_IS(_M.chronology[h]) + ' AND ' + ('NOT ' if h.startswith('summary') else '') + '(s IS NULL OR n < s)')} AS x_{h}" for h in ("opening", "occupation", "liberation", "summary_modern", "summary_post"))
+_TITLES = "[" + ", ".join(f"'{t}'" for t in _M.titles) + "]"
+SECTIONS = rf"""
+WITH raw AS (SELECT doc_id, ['biography', 'heritage', 'chronology', 'generic'][doc_id % 4 + 1] AS kind,
+    list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+l AS (SELECT doc_id, kind, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM raw),
+a AS (SELECT *, {_FIRST(_IS(_M.reference))} AS ref, {_FIRST(_IS(_M.heritage_start))} AS record, {_FIRST(_IS(_M.chronology["start"]))} AS start FROM l),
+b AS (SELECT * REPLACE (CASE WHEN kind = 'chronology' AND start IS NULL THEN 'generic' ELSE kind END AS kind), {_FIRST(_IS(_M.chronology["end"]) + " AND n >= start")} AS stop FROM a),
+c AS (SELECT doc_id, kind, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n FROM b WHERE CASE kind WHEN 'heritage' THEN NOT {_IS(_M.heritage_ui)} AND n >= coalesce(record, 0) WHEN 'chronology' THEN n >= start AND (stop IS NULL OR n < stop)
+    WHEN 'biography' THEN NOT {_IS(_M.biography_ui)} AND (ref IS NULL OR n < ref) ELSE NOT {_IS(_M.ui)} AND (ref IS NULL OR n < ref) END),
+d AS (SELECT *, {_FIRST(_IS(_M.basic))} AS basic, count(*) OVER (PARTITION BY doc_id) AS total, {_FIRST(_IS(_M.chronology["summary"]))} AS s FROM c),
+e AS (SELECT *, greatest(0, basic - 2) AS since, {_FIRST(_IS(_M.award_field) + " AND n >= basic")} AS awarded, {_HEADS} FROM d),
+f AS (SELECT *, kind = 'biography' AND basic IS NOT NULL AS bio, CASE WHEN awarded IS NOT NULL THEN least(total, awarded + 2) ELSE basic END AS told_at FROM e),
+g AS (SELECT *, coalesce(bio AND n >= told_at, false) AS told, {_FIRST(_IS(_M.activity) + " AND n >= since AND n < told_at")} AS filed, max(CASE WHEN n = since THEN line END) OVER (PARTITION BY doc_id) AS subject FROM f),
+h AS (SELECT *, told AND {_IS(_M.award)} AS award, CASE WHEN told AND length(line) % 3 = 0 THEN length(line) % 10 END AS year FROM g),
+hh AS (SELECT *, coalesce(lag(award) OVER (PARTITION BY doc_id ORDER BY n), false) AS after_award FROM h),
+i AS (SELECT *, sum((told AND (award OR {_IS(_M.transition)} OR after_award))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS hard FROM hh),
+j AS (SELECT *, last_value(year IGNORE NULLS) OVER (PARTITION BY doc_id, hard ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_year, lag(hard) OVER (PARTITION BY doc_id ORDER BY n) AS hard_before FROM i),
+k AS (SELECT *, sum((told AND (n = told_at OR coalesce(abs(year - last_year) >= 2, false) OR hard <> coalesce(hard_before, 0)))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS activity FROM j),
+m AS (SELECT *, CASE WHEN kind = 'chronology' THEN CASE WHEN x_opening IS NULL OR x_occupation IS NULL OR x_liberation IS NULL THEN 10 WHEN s IS NOT NULL AND n >= s THEN CASE WHEN x_summary_modern IS NULL OR x_summary_post IS NULL THEN 11 WHEN n >= x_summary_modern AND n >= x_summary_post THEN 9 WHEN n >= x_summary_modern THEN 8 ELSE 7 END
+    WHEN n >= x_liberation THEN 6 WHEN n >= x_occupation + 2 THEN 5 WHEN n >= x_occupation THEN 4 WHEN n >= x_opening + 2 THEN 3 WHEN n = x_opening + 1 THEN 2 WHEN n = x_opening THEN 1 ELSE 0 END
+    WHEN told THEN activity::BIGINT ELSE 0 END AS part FROM k WHERE NOT bio OR n >= since),
+o AS (SELECT doc_id, kind, part, string_agg(line, chr(10) ORDER BY n) FILTER (NOT bio OR told OR filed IS NULL OR n < filed) AS text, string_agg(line, chr(10) ORDER BY n) FILTER (bio AND NOT told AND n >= filed) AS metadata,
+    arg_min(year, n) FILTER (year IS NOT NULL) AS year, max(subject) AS subject, bool_or(bio) AS bio FROM m GROUP BY doc_id, kind, part)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section, CASE WHEN kind = 'chronology' THEN {_TITLES}[part + 1] WHEN bio AND part = 0 THEN subject || ' {_M.profile}' WHEN bio THEN subject || ' ' || coalesce(year::VARCHAR || ' ', '') || '{_M.active}'
+  WHEN kind = 'heritage' THEN '{_M.record}' ELSE '{_M.body}' END AS title, coalesce(text, '') AS text, coalesce(metadata, '') AS metadata FROM o
+"""
+
+
+@query(SECTIONS)
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of documents taken as pages of four kinds by their ids."""
+    kind = F.get(F.array(*map(F.lit, ("biography", "heritage", "chronology", "generic"))), (F.col("doc_id") % 4).cast("int"))
+    found = sections.sections(table(spark, folder, "documents"), kind, sections.SAMPLE)
+    return found.select("doc_id", "section", "title", F.array_join("lines", "\n").alias("text"), F.array_join("metadata", "\n").alias("metadata"))

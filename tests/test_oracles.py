@@ -3,7 +3,7 @@
 import pytest
 from compare import rows
 
-from lamplight.plans import audit_queries, corpus_queries, policy_queries, registry, text_queries  # noqa: F401
+from lamplight.plans import audit_queries, conversation_queries, corpus_queries, policy_queries, registry, text_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
