@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.functions import text as X
-from lamplight.operators import followup, sections, turn_evidence
+from lamplight.operators import followup, persons, sections, turn_evidence
 from lamplight.plans.registry import query
+from lamplight.plans.text_queries import SENTENCES
 from lamplight.sources.tables import table
 
 #: Answers of this many characters count as given from evidence.
@@ -157,3 +158,22 @@ def document_sections(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("biography", "heritage", "chronology", "generic"))), (F.col("doc_id") % 4).cast("int"))
     found = sections.sections(table(spark, folder, "documents"), kind, sections.SAMPLE)
     return found.select("doc_id", "section", "title", F.array_join("lines", "\n").alias("text"), F.array_join("metadata", "\n").alias("metadata"))
+
+
+_R = persons.SAMPLE
+PERSONS = f"""
+WITH s AS (SELECT doc_id, unnest(range(len({SENTENCES}))) AS sentence, unnest({SENTENCES}) AS x FROM documents WHERE regexp_matches(text, '{_R.context}')),
+f AS (SELECT doc_id, sentence, x, list_concat(list_transform(list_zip(regexp_extract_all(x, '{_R.spelled}', 1), regexp_extract_all(x, '{_R.spelled}', 2)), lambda z: {{'name': z[1], 'spelling': z[2]}}),
+    list_transform(regexp_extract_all(x, '{_R.titled}', 1), lambda z: {{'name': z, 'spelling': ''}})) AS every FROM s WHERE regexp_matches(x, '{_R.context}')),
+g AS (SELECT doc_id, sentence, x, unnest(every) AS p, generate_subscripts(every, 1) AS n FROM f),
+h AS (SELECT doc_id, sentence, x, p.name AS person, arg_min(p.spelling, n) AS spelling FROM g WHERE regexp_matches(p.name, '{_R.family}') AND NOT regexp_matches(p.name, '{_R.not_name}') AND NOT regexp_matches(p.spelling, '{_R.not_spelling}') GROUP BY ALL),
+r AS (SELECT *, regexp_extract(x, person || '{_R.aside}{_R.particles}{_R.stop}{{0,35}}?({_R.titles}){_R.objects}\\s*(?:{_R.predicates})', 1) AS office, regexp_matches(x, person || '{_R.aside}{_R.stop}{{0,45}}{_R.award}') AS awarded FROM h)
+SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, CAST(strpos(x, person) - 1 AS INTEGER) AS place, person, spelling, CASE WHEN office <> '' THEN 'role' WHEN awarded THEN 'award' ELSE '' END AS relation,
+  CASE WHEN office <> '' THEN office WHEN awarded THEN 'award' ELSE '' END AS value FROM r
+"""
+
+
+@query(PERSONS)
+def document_persons(spark: SparkSession, folder: str) -> DataFrame:
+    """Persons named in the sentences of documents, with offices and awards."""
+    return persons.person_rows(table(spark, folder, "documents"), persons.SAMPLE)
