@@ -224,3 +224,73 @@ def catalogue_accepted(rows: DataFrame, order: str, url: Column, content: Column
     found = retained_in_order(keyed.drop("_tokens"), ["_url", "_content", "_words"], order, {"_words": written(both, "catalogue-near")})
     method = F.when(F.col("dup_method") == "_url", "url").when(F.col("dup_method") == "_content", "content").when(F.col("dup_method") == "_words", "title")
     return found.withColumn("dup_method", method).drop("_url", "_content", "_words")
+
+
+def near_values(fingerprints: DataFrame, distance: int = 8) -> DataFrame:
+    """(fingerprint, near_value, distance) of distinct fingerprints that share a band and lie within the distance, both ways, each with itself too."""
+    banded = fingerprints.select("fingerprint").distinct().select("fingerprint", F.explode(bands(F.col("fingerprint"))).alias("b"))
+    other = banded.select(F.col("fingerprint").alias("near_value"), "b")
+    far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("near_value")))
+    return banded.join(other, "b").where(far <= distance).select("fingerprint", "near_value", far.alias("distance")).distinct()
+
+
+def retained_candidates(rows: DataFrame, keys: list[str], order: str, work: str, family: str, distance: int = 8) -> DataFrame:
+    """rows with dup_status, dup_method, dup_of, dup_group and similarity, as candidates that come in order are decided.
+
+    A row with a key of a row that stays is a confirmed duplicate, by the first such key.
+    Else the earliest row that stays and is near it (column fingerprint) decides: the same
+    work from another family of publishers is a mirror, a confirmed duplicate; anything
+    else is suspected, and stays.  Confirmed duplicates are no originals for later rows.
+
+    Round by round, a row is decided once nothing before it that could decide it is open:
+    an earlier open row with one of its keys, or an open row as the earliest near one.
+    Rows meet by values of keys and fingerprints, found by aggregations with map-side
+    combining.  The earliest open row is decided in each round, so the rounds end.
+
+    Cases: empty and null keys are none, and null fingerprints are near nothing; order has
+    to be unique; columns named like the result are replaced.
+    """
+    from lamplight.sources.tables import removed, written
+
+    result = ("dup_status", "dup_method", "dup_of", "dup_group", "similarity")
+    kept_columns = [c for c in rows.columns if c not in result]
+    needed = list(dict.fromkeys([order, *keys, "fingerprint", work, family]))
+    near = written(near_values(rows.where("fingerprint is not null"), distance), "near-values")
+    state = written(rows.select(*needed).withColumns({"_state": F.lit(0), "_method": F.lit(None).cast("string"), "_of": F.lit(None).cast(rows.schema[order].dataType), "_far": F.lit(None).cast("int")}), "candidates")
+    stays = F.col("_state") < 2
+    while True:
+        marked = state
+        for k in keys:
+            seen = state.where((F.col(k) != "") & stays).groupBy(k).agg(F.min(F.when(F.col("_state") == 1, F.col(order))).alias(f"_kept_{k}"), F.min(F.when(F.col("_state") == 0, F.col(order))).alias(f"_open_{k}"))
+            marked = marked.join(seen, k, "left")
+        first = state.where(stays & F.col("fingerprint").isNotNull()).groupBy(F.col("fingerprint").alias("near_value")).agg(F.min(F.struct(F.col(order).alias("at"), "_state", F.col(work).alias("work"), F.col(family).alias("family"))).alias("_n"))
+        nearest = near.join(first, "near_value").groupBy("fingerprint").agg(F.min(F.struct(F.col("_n.at").alias("at"), F.col("_n").alias("n"), "distance")).alias("_near"))
+        marked = marked.join(nearest, "fingerprint", "left")
+        method, of, any_kept, waits = F.lit(None).cast("string"), F.lit(None), F.lit(False), F.lit(False)
+        for k in reversed(keys):
+            hit = F.coalesce(F.col(f"_kept_{k}") < F.col(order), F.lit(False))
+            method, of = F.when(hit, F.lit(k)).otherwise(method), F.when(hit, F.col(f"_kept_{k}")).otherwise(of)
+            any_kept, waits = any_kept | hit, waits | F.coalesce(F.col(f"_open_{k}") < F.col(order), F.lit(False))
+        is_near = F.coalesce(F.col("_near.at") < F.col(order), F.lit(False))
+        neighbour = F.col("_near.n")
+        mirrored = F.coalesce((F.col(work) != "") & (F.col(work) == neighbour["work"]) & ~F.col(family).eqNullSafe(neighbour["family"]), F.lit(False))
+        # An earlier open row with an equal key may yet give an earlier method, so rows with a kept key wait for it as well.
+        exact = F.when(waits, 0).when(any_kept, 2)
+        then = exact.when(~is_near, 1).when(neighbour["_state"] == 0, 0).when(mirrored, 2).otherwise(1)
+        decided = (F.col("_state") == 0) & (then > 0)
+        by_near = decided & ~any_kept & is_near
+        out = marked.select(
+            *needed,
+            F.when(F.col("_state") == 0, then).otherwise(F.col("_state")).alias("_state"),
+            F.when(decided & any_kept, method).when(by_near, F.when(mirrored, "mirror").otherwise("simhash_near")).otherwise(F.col("_method")).alias("_method"),
+            F.when(decided & any_kept, of).when(by_near, F.col("_near.at")).otherwise(F.col("_of")).alias("_of"),
+            F.when(by_near, F.col("_near.distance")).otherwise(F.col("_far")).alias("_far"),
+        )
+        before, state = state, written(out, "candidates")
+        removed(before)
+        if state.where("_state = 0").limit(1).count() == 0:
+            break
+    status = F.when(F.col("_state") == 2, "confirmed").when(F.col("_method").isNotNull(), "suspected").otherwise("unique")
+    similarity = F.when(F.col("_far").isNotNull(), F.bround(1 - F.col("_far") / 64, 4)).when(F.col("_method").isNotNull(), 1.0).otherwise(0.0)
+    found = state.select(order, status.alias("dup_status"), F.coalesce("_method", F.lit("")).alias("dup_method"), F.col("_of").alias("dup_of"), F.when(F.col("_method").isNotNull(), group_name(F.col("_method"), F.col("_of"))).otherwise("").alias("dup_group"), similarity.alias("similarity"))
+    return rows.select(*kept_columns).join(found, order)

@@ -334,7 +334,22 @@ def dedup_retained(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.retained_in_order(written(rows, "retained-keys"), ["raw", "body"], "doc_id").select("doc_id", "dup_method", "dup_of")
 
 
-@query()
+#: SimHash of documents in SQL: the first eight bytes of the SHA-256 of each three-word shingle, and the bits that at least half of them have.
+PRINTS = (
+    f"pw AS (SELECT doc_id, regexp_extract_all(lower({C}), '[0-9A-Za-z가-힣]+') AS w FROM documents), "
+    "ps AS (SELECT doc_id, unnest(CASE WHEN len(w) > 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) ELSE [array_to_string(w, ' ')] END) AS s FROM pw), "
+    "ph AS (SELECT doc_id, sha256(s) AS h FROM ps), pb AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT AS hi, ('0x' || substr(h, 9, 8))::BIGINT AS lo FROM ph), "
+    "prints AS (SELECT doc_id, ("
+    + " | ".join(f"(CASE WHEN 2 * sum(({part} >> {b}) & 1) >= count(*) THEN {1 << (b + shift)}::UBIGINT ELSE 0::UBIGINT END)" for part, shift in (("hi", 32), ("lo", 0)) for b in range(32))
+    + ") AS fp FROM pb GROUP BY doc_id)"
+)
+NEAR = "bit_count(xor({a}, {b})) <= 8 AND (" + " OR ".join(f"(({{a}} >> {16 * i}) & 65535) = (({{b}} >> {16 * i}) & 65535)" for i in range(4)) + ")"
+
+
+@query(
+    f"""WITH {PRINTS}, m AS (SELECT a.doc_id, min(b.doc_id) AS near_id, arg_min(bit_count(xor(a.fp, b.fp)), b.doc_id)::INT AS distance FROM prints a JOIN prints b ON b.doc_id < a.doc_id AND {NEAR.format(a="a.fp", b="b.fp")} GROUP BY a.doc_id)
+    SELECT doc_id, near_id, distance, round(1 - distance / 64, 4) AS similarity, 'dup-' || substr(sha256('simhash_near' || chr(0) || near_id), 1, 16) AS dup_group FROM m"""
+)
 def dedup_simhash_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Smallest earlier document within eight bits by bands."""
     prints = dedup.simhash_rows(table(spark, folder, "documents"), "doc_id", "text")
@@ -342,6 +357,46 @@ def dedup_simhash_bands(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("doc_id", "near_id", "distance", F.round(1 - F.col("distance") / 64, 4).alias("similarity"), dedup.group_name(F.lit("simhash_near"), F.col("near_id")).alias("dup_group"))
 
 
+@query(
+    f"""WITH RECURSIVE {PRINTS},
+    k AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, 'https://example.org/' || source || '/' || doc_id // 40 AS url, md5(text) AS raw, CASE WHEN coalesce({C}, '') = '' THEN '' ELSE sha256(lower({C})) END AS body,
+      CASE WHEN doc_id // 3 % 3 = 0 THEN '' ELSE md5(lower(source) || chr(0) || array_to_string(regexp_extract_all(lower({C}), '[0-9A-Za-z가-힣]+'), ' ') || chr(0) || chr(0) || 'r' || doc_id // 3 % 3) END AS meta,
+      fp, CASE WHEN doc_id % 2 = 1 THEN 'w' ELSE '' END AS work, source AS family FROM documents JOIN prints USING (doc_id)),
+    e AS MATERIALIZED (SELECT * FROM (SELECT a.n, b.doc_id AS other, a.url = b.url AS by_url, a.raw = b.raw AS by_raw, a.body <> '' AND a.body = b.body AS by_body, a.meta <> '' AND a.meta = b.meta AS by_meta, {NEAR.format(a="a.fp", b="b.fp")} AS is_near,
+      bit_count(xor(a.fp, b.fp))::INT AS bits, a.work <> '' AND a.work = b.work AND a.family <> b.family AS mirror FROM k a JOIN k b ON b.doc_id < a.doc_id) WHERE by_url OR by_raw OR by_body OR by_meta OR is_near),
+    d AS (
+      SELECT 0::BIGINT AS n, []::BIGINT[] AS stays, NULL::BIGINT AS doc_id, '' AS status, '' AS method, NULL::BIGINT AS of, NULL::INT AS far
+      UNION ALL
+      SELECT n, CASE WHEN status = 'confirmed' THEN stays ELSE list_append(stays, doc_id) END, doc_id, status, method, of, CASE WHEN h IS NULL AND near IS NOT NULL THEN bits END
+      FROM (SELECT *, coalesce(h_url, h_raw, h_body, h_meta) AS h, coalesce(h_url, h_raw, h_body, h_meta, near) AS of, CASE WHEN coalesce(h_url, h_raw, h_body, h_meta) IS NOT NULL OR mirror THEN 'confirmed' WHEN near IS NOT NULL THEN 'suspected' ELSE 'unique' END AS status,
+          CASE WHEN h_url IS NOT NULL THEN 'url' WHEN h_raw IS NOT NULL THEN 'raw' WHEN h_body IS NOT NULL THEN 'body' WHEN h_meta IS NOT NULL THEN 'meta' WHEN mirror THEN 'mirror' WHEN near IS NOT NULL THEN 'simhash_near' ELSE '' END AS method
+        FROM (SELECT k.n, k.doc_id, any_value(d.stays) AS stays, min(other) FILTER (by_url) AS h_url, min(other) FILTER (by_raw) AS h_raw, min(other) FILTER (by_body) AS h_body, min(other) FILTER (by_meta) AS h_meta, min(other) FILTER (is_near) AS near,
+            arg_min(bits, other) FILTER (is_near) AS bits, coalesce(arg_min(mirror, other) FILTER (is_near), false) AS mirror
+          FROM d JOIN k ON k.n = d.n + 1 LEFT JOIN e ON e.n = k.n AND list_contains(d.stays, e.other) GROUP BY k.n, k.doc_id)))
+    SELECT doc_id, status AS dup_status, method AS dup_method, of AS dup_of, CASE WHEN method = '' THEN '' ELSE 'dup-' || substr(sha256(method || chr(0) || of), 1, 16) END AS dup_group, CASE WHEN far IS NOT NULL THEN round_even(1 - far / 64, 4) WHEN method <> '' THEN 1.0 ELSE 0.0 END AS similarity FROM d WHERE n > 0"""
+)
+def dedup_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates in order: four keys, near fingerprints, mirrors and suspected rows.
+
+    The tables have no metadata: addresses are shared by forty ids of a source, record numbers and works follow from the id.
+    """
+    docs = table(spark, folder, "documents")
+    record = F.when(F.floor(F.col("doc_id") / 3) % 3 == 0, "").otherwise(F.concat(F.lit("r"), (F.floor(F.col("doc_id") / 3) % 3).cast("string")))
+    rows = docs.select(
+        "doc_id",
+        F.concat(F.lit("https://example.org/"), "source", F.lit("/"), F.floor(F.col("doc_id") / 40).cast("string")).alias("url"),
+        F.md5(F.col("text").cast("binary")).alias("raw"),
+        dedup.body_hash(F.col("text")).alias("body"),
+        dedup.metadata_key(F.col("source"), F.col("text"), F.lit(""), record).alias("meta"),
+        F.when(F.col("doc_id") % 2 == 1, "w").otherwise("").alias("work"),
+        F.col("source").alias("family"),
+    )
+    rows = rows.withColumn("meta", F.when(F.col("meta") != "", F.md5(F.col("meta").cast("binary"))).otherwise(""))
+    prints = dedup.simhash_rows(docs, "doc_id", "text")
+    found = dedup.retained_candidates(written(rows.join(prints, "doc_id", "left"), "candidate-keys"), ["url", "raw", "body", "meta"], "doc_id", "work", "family")
+    return found.select("doc_id", "dup_status", "dup_method", "dup_of", "dup_group", "similarity")
+
+
 @query()
 def dedup_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Similar page titles."""
