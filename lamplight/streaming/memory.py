@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lamplight.sources import tables
+
 STATE = T.StructType(
     [
         T.StructField("users", T.ArrayType(T.StringType())),
@@ -68,10 +70,37 @@ def new_documents(spark: SparkSession, folder: str, schema: T.StructType, id_col
     return arriving.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def upsert_sink(path: str, key: str):
-    """A foreachBatch writer: each batch is a folder of its own named by its number, so a repeated batch replaces itself."""
+def upsert_sink(path: str, key: str, order: str | None = None, buckets: int = 64):
+    """A foreachBatch writer of the newest row of each key; a repeated batch changes nothing.
+
+    Keys are dealt to buckets, each a folder.  A batch rewrites the buckets that it touches
+    and no others: their rows without the batch's keys, and the batch's rows, are written
+    aside and then put in place of the old ones.  Of several rows of a key in a batch the
+    last by `order` stays; without one, any.  A null key is a key like others.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if order:
+            carried = [c for c in rows.columns if c != key]
+            newest = rows.groupBy(key).agg(F.max(F.struct(F.col(order).alias("_order"), F.struct(*carried).alias("_row"))).alias("_m"))
+            rows = newest.select(key, "_m._row.*").select(*rows.columns)
+        else:
+            rows = rows.dropDuplicates([key])
+        rows = tables.written(rows, "upsert-batch")
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # as many as buckets at most
+        if not touched:
+            return
+        merged = rows
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)).select(*rows.columns)
+            new_keys = rows.select(F.struct(key).alias("_key"))
+            merged = old.join(new_keys, F.struct(F.col(key)).eqNullSafe(F.col("_key")), "left_anti").unionByName(rows)
+        staged = tables.written(merged, "upsert-merged")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        tables.removed(rows)
+        tables.removed(staged)
 
     return write

@@ -154,17 +154,50 @@ def test_vectors(spark):
     assert {r.chunk_id for r in rows} == {1} and sum(r.weight**2 for r in rows) == pytest.approx(1)
 
 
-def test_matrix_and_join_find_the_same(spark, folder, monkeypatch):
+def test_blocks_of_queries_find_the_same(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     a, b = search.hashed_vectors(docs).cache(), search.hashed_vectors(asked, id_col="query_id").cache()
     take = lambda: {(r.query_id, r.rank): (r.chunk_id, round(r.score, 9)) for r in search.hashed_search(a, b, 7).collect()}
     by_matrix = take()
-    monkeypatch.setattr(search, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 300)
     assert by_matrix == take() and len(by_matrix) == 7 * asked.count()
     assert search.hashed_search(a, b.where("query_id < 0"), 3).count() == 0
 
 
+def test_chunks_without_a_common_slot_are_results(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", i % 3, 1.0 if i < 6 else -1.0) for i in range(9)], "chunk_id string, slot long, weight double")
+    asked = spark.createDataFrame([(1, 0, -1.0), (2, 1, 1.0)], "query_id long, slot long, weight double")
+    for rows in (100, 1):
+        monkeypatch.setattr(search, "BROADCAST_ROWS", rows)
+        got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in search.hashed_search(chunks, asked, 3).collect()}
+        assert got == {(1, 1): ("c6", 1.0), (1, 2): ("c1", 0.0), (1, 3): ("c2", 0.0), (2, 1): ("c1", 1.0), (2, 2): ("c4", 1.0), (2, 3): ("c0", 0.0)}
+
+
+def test_upsert_keeps_the_newest_row_of_each_key(spark, tmp_path):
+    from lamplight.streaming.memory import upsert_sink
+
+    path = f"file://{tmp_path}/table"
+    write = upsert_sink(path, "k", order="at", buckets=4)
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, at long, v string")
+    now = lambda: sorted((r.k or "", r.at, r.v) for r in spark.read.parquet(path).collect())
+    write(batch(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n")), 0)
+    assert now() == [("", 1, "n"), ("a", 2, "y"), ("b", 1, "z")]
+    files = {f.path for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()}
+    write(batch(("a", 3, "new"), (None, 2, "m")), 1)
+    expected = [("", 2, "m"), ("a", 3, "new"), ("b", 1, "z")]
+    assert now() == expected
+    write(batch(("a", 3, "new"), (None, 2, "m")), 1)  # the same batch again
+    assert now() == expected
+    bucket = {r.bucket for r in spark.read.parquet(path).where("k = 'b'").collect()}
+    others = {r.bucket for r in spark.read.parquet(path).where("k <> 'b' or k is null").collect()}
+    if bucket - others:
+        after = {f.path for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()}
+        assert any(f"bucket={b}" in f for b in bucket for f in files & after)
+    write(batch(), 2)
+    assert now() == expected
+
+
 def test_greedy_retention(spark):
     rows = [(1, "u1", "b1"), (2, "u1", "b2"), (3, "u3", "b2"), (4, "u3", "b9"), (5, "", ""), (6, "", "")]
     df = spark.createDataFrame(rows, "id long, url string, body string")
