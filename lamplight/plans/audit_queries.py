@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.functions import text as X
-from lamplight.operators import dedup, evaluation, lifecycle, policy
+from lamplight.operators import collection, dedup, evaluation, lifecycle, policy
 from lamplight.plans.corpus_queries import BM25, bm25_results, expected_documents
 from lamplight.plans.registry import query
 from lamplight.plans.views import sql_collapse
@@ -108,3 +108,18 @@ def index_raw_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     raw = lambda key: F.concat(F.lit("raw/"), F.col(key).cast("string"))
     manifest = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(raw("doc_id")).alias("local_path"))
     return lifecycle.raw_mismatches(manifest, table(spark, folder, "pages").select(raw("page_id").alias("local_path")), table(spark, folder, "labels").select(F.col("doc_id").alias("document_id")))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, source, doc_id % 13 = 5 AS blocked, doc_id % 13 <> 5 AND doc_id % 11 = 3 AS failed, doc_id % 13 <> 5 AND doc_id % 11 <> 3 AND length(text) >= 400 AS good, CASE WHEN source LIKE '%1' THEN 6 ELSE 15 END AS top FROM documents),
+    c AS (SELECT *, coalesce(sum(good::INT) OVER w, 0) AS taken, coalesce(sum(failed::INT) OVER w, 0) AS errors FROM r WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    e AS (SELECT source, min(doc_id) AS since, arg_min(CASE WHEN taken >= top THEN 'over_limit' ELSE 'source_stopped' END, doc_id) AS why FROM c WHERE taken >= top OR errors >= 2 GROUP BY source),
+    o AS (SELECT doc_id, c.source, CASE WHEN doc_id >= since THEN why WHEN blocked THEN 'blocked' WHEN failed THEN 'failed' WHEN good THEN 'accepted' ELSE 'rejected' END AS outcome FROM c LEFT JOIN e ON e.source IS NOT DISTINCT FROM c.source)
+    SELECT doc_id, source, CASE WHEN coalesce(sum((outcome = 'accepted')::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 60 THEN 'not_reached' ELSE outcome END AS outcome FROM o"""
+)
+def collection_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """What a batch of collection makes of documents in order: access and failures by id, sources under limits."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    top = F.when(F.col("source").endswith("1"), 6).otherwise(15)
+    tests = {"good": F.length("text") >= 400, "failed": F.col("doc_id") % 11 == 3, "blocked": F.col("doc_id") % 13 == 5}
+    return collection.batch_outcomes(docs.select("doc_id", "source", top.alias("_top"), *[t.alias(n) for n, t in tests.items()]), "doc_id", "source", *map(F.col, tests), F.col("_top"), 60).select("doc_id", "source", "outcome")
