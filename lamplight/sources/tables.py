@@ -187,3 +187,66 @@ class Versions:
         if version not in state["versions"]:
             raise ValueError(f"no version {version}")
         self._point(state | {"current": version})
+
+
+class Releases:
+    """Several tables that change together, in a folder, with one manifest for all of them.
+
+    Tables are written first, each to a folder of its own that nothing names yet; a release
+    is one manifest with the folder of each table, its number of rows and a hash of them,
+    moved to its place by one rename.  A writer that fails before that leaves the old
+    release as it was.  Rollback is a new manifest that names an old release.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.pointer = spark, folder.rstrip("/"), Versions(spark, folder)
+
+    def state(self) -> dict:
+        """The release in force (None before the first) and all there are, by their numbers."""
+        found = self.pointer.state()
+        return {"current": found["current"], "releases": found["versions"]}
+
+    def current(self) -> dict | None:
+        found = self.state()
+        return None if found["current"] is None else found["releases"][found["current"]]
+
+    def write(self, table_name: str, df: DataFrame) -> str:
+        """Write a table's next content; no reader sees it before it is published."""
+        place = f"{table_name}/{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.folder}/{place}")
+        return place
+
+    def at(self, place: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{place}")
+
+    def facts(self, place: str) -> dict:
+        """Rows of a table and a hash that doesn't depend on their order."""
+        df = self.at(place)
+        row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+        n, total = df.agg(F.count("*"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()
+        return {"place": place, "rows": n, "hash": str(total)}
+
+    def publish(self, places: dict[str, str], check=None, **notes) -> dict:
+        """Make the tables at these places the release in force, unless check(frames by name) returns errors."""
+        if check and (errors := check({name: self.at(place) for name, place in places.items()})):
+            raise ValueError(f"not published: {errors}")
+        state = self.state()
+        release = {"tables": {name: self.facts(place) for name, place in places.items()}, **notes}
+        self.pointer._point({"current": len(state["releases"]), "versions": [*state["releases"], release]})
+        return release
+
+    def read(self, table_name: str) -> DataFrame:
+        if (release := self.current()) is None:
+            raise FileNotFoundError(f"{self.folder} has no release")
+        return self.at(release["tables"][table_name]["place"])
+
+    def differences(self) -> list[str]:
+        """Names of the tables whose rows aren't those that the manifest describes."""
+        release = self.current() or {"tables": {}}
+        return [name for name, facts in release["tables"].items() if self.facts(facts["place"]) != facts]
+
+    def rollback(self, number: int) -> None:
+        state = self.state()
+        if not 0 <= number < len(state["releases"]):
+            raise ValueError(f"no release {number}")
+        self.pointer._point({"current": number, "versions": state["releases"]})

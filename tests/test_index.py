@@ -64,9 +64,37 @@ def test_index(spark, folder, tmp_path):
     assert second["documents"] == docs.count()
     found = index.search(asked).orderBy("rank").collect()
     assert found[0].document_id == 50 and len(found) <= 5 and index.cite(index.search(asked)).count() == len({r.document_id for r in found})
-    a, b = index.chunks.state()["versions"], index.vectors.state()["versions"]
-    index.rollback(a[0], b[0])
-    assert index.status()["documents"] == 40
+    assert second["release"] == 1 and index.status(verify=True)["errors"] == []
+    index.rollback(0)
+    assert index.status()["documents"] == 40 and 50 not in {r.document_id for r in index.search(asked).collect()}
     assert CorpusIndex(spark, f"file://{tmp_path}/index", X.SAMPLE, dimension=64).status()["errors"] == ["model_or_dimension"]
     with pytest.raises(Exception, match="an empty query"):
         index.search(spark.createDataFrame([(1, " ")], "query_id long, text string")).collect()
+
+
+def test_a_build_that_fails_between_its_tables_leaves_the_old_release(spark, folder, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30").select(F.col("doc_id").alias("document_id"), F.lit("").alias("title"), "text")
+    index = CorpusIndex(spark, f"file://{tmp_path}/index", X.SAMPLE)
+    index.build(docs.where("document_id < 10"))
+    write = index.releases.write
+
+    def broken(name, df):
+        if name == "vectors":
+            raise OSError("no space")
+        return write(name, df)
+
+    monkeypatch.setattr(index.releases, "write", broken)
+    with pytest.raises(OSError, match="no space"):
+        index.build(docs)
+    monkeypatch.undo()
+    again = CorpusIndex(spark, f"file://{tmp_path}/index", X.SAMPLE)
+    assert again.status(verify=True) == {"ready": True, "errors": [], "release": 0, "chunks": again.releases.read("chunks").count(), "documents": 10}
+    with pytest.raises(ValueError, match="no_chunks"):
+        again.build(docs.where("document_id < 0"))
+    assert again.status()["documents"] == 10
+    with pytest.raises(ValueError):
+        again.rollback(7)
+    # Rows that aren't those of the manifest are noticed.
+    place = again.releases.current()["tables"]["vectors"]["place"]
+    again.releases.at(place).limit(1).write.mode("append").parquet(f"{again.releases.folder}/{place}")
+    assert "vectors_differ" in again.status(verify=True)["errors"]
