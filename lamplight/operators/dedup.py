@@ -158,13 +158,17 @@ def title_grams(titles: DataFrame) -> DataFrame:
 
 
 def similar_titles(rows: DataFrame, id_col: str, title_col: str, least: float = 0.88) -> DataFrame:
-    """(left_id, right_id, similarity) of titles alike by difflib's ratio; none is missed.
+    """(left_id, right_id, similarity) of titles alike by difflib's ratio; no link between different titles is missed.
+
+    Rows of one title are linked to its first row only, with similarity 1, and different
+    titles by their first rows, so the result grows with the rows and not with their pairs.
 
     A ratio of r needs M >= r (m + n) / 2 matched characters of lengths m and n, so lengths
     within a factor (2 - r) / r.  Each of the m + n - 2 M others breaks at most one pair of
     neighbours, so 3 M - 1 - (m + n) two-letter pieces are common.  Titles meet by so many of
-    their rarest pieces that two with that much in common can't miss each other.  Distinct
-    titles are compared once in each order, as the ratio depends on it.
+    their rarest pieces that two with that much in common can't miss each other.  The ratio
+    depends on which title comes first: of the orders in which rows of two titles occur,
+    the better one counts.
     """
     from lamplight.sources.tables import written
 
@@ -183,19 +187,25 @@ def similar_titles(rows: DataFrame, id_col: str, title_col: str, least: float =
     both = pairs.join(sets.select(F.col("title").alias("a"), "m", F.col("grams").alias("x")), "a").join(sets.select(F.col("title").alias("b"), F.col("m").alias("n"), F.col("grams").alias("y")), "b")
     kept = both.where(F.size(F.array_intersect("x", "y")) >= shared(F.col("m"), F.col("n"))).select("a", "b")
     alike = kept.withColumn("similarity", similarity_ratio("a", "b")).where(F.col("similarity") >= least)
-    same = low.select("title").distinct().select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(1.0).alias("similarity"))
-    left, right = low.select(F.col("id").alias("left_id"), F.col("title").alias("a")), low.select(F.col("id").alias("right_id"), F.col("title").alias("b"))
-    found = alike.unionByName(same).join(left, "a").join(right, "b").where("left_id < right_id")
-    return found.select("left_id", "right_id", F.round("similarity", 3).alias("similarity"))
+    spans = written(low.groupBy("title").agg(F.min("id").alias("first"), F.max("id").alias("last")), "title-spans")
+    left, right = spans.select(F.col("title").alias("a"), F.col("first").alias("_a")), spans.select(F.col("title").alias("b"), F.col("first").alias("_b"), F.col("last").alias("_last"))
+    occur = alike.join(left, "a").join(right, "b").where(F.col("_a") < F.col("_last"))
+    linked = occur.groupBy(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id")).agg(F.max("similarity").alias("similarity"))
+    members = low.join(spans, "title").where(F.col("id") != F.col("first")).select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"))
+    return linked.unionByName(members).select("left_id", "right_id", F.round("similarity", 3).alias("similarity"))
 
 
 def token_jaccard(rows: DataFrame, id_col: str, tokens_col: str, least: float = 0.9) -> DataFrame:
     """(left_id, right_id, jaccard) of token sets alike by at least `least`.
 
+    Rows of one set are linked to its first row only, different sets by their first rows.
     Only the first tokens by frequency, as many as a pair of that similarity can't all
     miss, are joined on.
     """
-    sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(tokens_col).alias("t")).where(F.size("t") > 0)
+    from lamplight.sources.tables import written
+
+    every = rows.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens_col)).alias("t")).where(F.size("t") > 0)
+    sets = written(every.groupBy("t").agg(F.min("id").alias("id")), "token-sets")
     each = sets.select("id", F.explode("t").alias("w"))
     counts = each.groupBy("w").agg(F.count("*").alias("n"))
     ordered = each.join(counts, "w").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("n", "w")))
@@ -204,7 +214,9 @@ def token_jaccard(rows: DataFrame, id_col: str, tokens_col: str, least: float =
     pairs = a.join(b, "w").where("left_id < right_id").select("left_id", "right_id").distinct()
     both = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("t").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("t").alias("y")), "right_id")
     j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.select("left_id", "right_id", j.alias("jaccard")).where(F.col("jaccard") >= least)
+    alike = both.select("left_id", "right_id", j.alias("jaccard")).where(F.col("jaccard") >= least)
+    members = every.join(sets.withColumnRenamed("id", "left_id"), "t").where(F.col("id") != F.col("left_id"))
+    return alike.unionByName(members.select("left_id", F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard")))
 
 
 def catalogue_accepted(rows: DataFrame, order: str, url: Column, content: Column, title: Column, least: float = 0.9) -> DataFrame:

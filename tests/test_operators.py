@@ -246,7 +246,9 @@ def test_similar_titles_against_all_pairs(spark):
         titles += [base, "".join(edited)]
     titles = [" ".join(t.split()) for t in titles]
     df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
-    want = {(i, j) for j, b in enumerate(titles) for i, a in enumerate(titles[:j]) if a and b and SequenceMatcher(None, a, b).ratio() >= 0.88}
+    first = {t: i for i, t in reversed(list(enumerate(titles)))}
+    alike = [(i, j) for j, b in enumerate(titles) for i, a in enumerate(titles[:j]) if a and b and a != b and SequenceMatcher(None, a, b).ratio() >= 0.88]
+    want = {tuple(sorted((first[titles[i]], first[titles[j]]))) for i, j in alike} | {(first[t], i) for i, t in enumerate(titles) if t and first[t] < i}
     got = [(r.left_id, r.right_id) for r in dedup.similar_titles(df, "id", "title").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -258,6 +260,14 @@ def test_similar_titles_and_tokens(spark):
     assert [(r.left_id, r.right_id, r.jaccard) for r in dedup.token_jaccard(sets, "id", "t").collect()] == [(1, 2, 1.0)]
 
 
+def test_many_equal_titles_give_as_many_links(spark):
+    same = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "a title of the town").otherwise("A title of the towns").alias("title"))
+    got = dedup.similar_titles(same, "id", "title")
+    assert got.count() == 20_000 - 1 and got.where("left_id = 0 and right_id = 1").count() == 1
+    sets = dedup.token_jaccard(same.select("id", F.split("title", " ").alias("t")), "id", "t")
+    assert sets.count() == 20_000 - 2
+
+
 GOOD = dict(
     document_id="d", title="t", source_type="web", publisher="p", local_path="l", language="ko", source_url="https://h/x", published_date="2024-01-02", accessed_date="", period_start=1, period_end=2, review_status="reviewed",
     reviewed_by="k", reviewed_at="2024-01-02", verification_notes="n", copyright_status="public_domain", allowed_for_rag=True, allowed_for_training=False, attribution_required=False, attribution_text="", source_reliability="A",
