@@ -85,14 +85,23 @@ def candidate_scores(rows: DataFrame, profile: X.Profile, corroboration: Column
     return out.withColumn("total_score", total)
 
 
-def hard_rejections(profile: X.Profile, body: Column | None = None) -> Column:
-    """Codes that no score outweighs; needs the columns of content_quality, candidate_scores and dup_method."""
+def about(profile: X.Profile, body: Column) -> dict[str, Column]:
+    """Whether a text names the first place, and terms of history; body is the text without repeated white space."""
+    return {"about_place": X.any_of(F.concat_ws(" ", "title", "text"), profile.places[:1]), "about_history": X.any_of(body, profile.history_terms)}
+
+
+def hard_rejections(profile: X.Profile, body: Column | None = None, known: dict[str, Column] | None = None) -> Column:
+    """Codes that no score outweighs; needs the columns of content_quality, candidate_scores and dup_method.
+
+    known: the columns of about(), if the rows have them already.
+    """
     c, body = F.col, X.collapse(F.col("text")) if body is None else body
+    known = known or about(profile, body)
     own = X.reasons(
         (X.blank(c("canonical_url")), "no_provenance"),
         (X.blank(c("publisher")) | X.blank(c("publisher_family")), "no_publisher"),
-        (~X.any_of(F.concat_ws(" ", "title", "text"), profile.places[:1]) & X.blank(c("location")), "not_place_relevant"),
-        (~X.any_of(body, profile.history_terms) & X.blank(c("historical_period")), "no_historical_body"),
+        (~known["about_place"] & X.blank(c("location")), "not_place_relevant"),
+        (~known["about_history"] & X.blank(c("historical_period")), "no_historical_body"),
         (c("title_only"), "title_only"),
         (c("metadata_only") & (c("body_length") < 120), "no_historical_body"),
         (c("document_type").isin("search_result", "navigation"), "search_result_only"),
