@@ -581,3 +581,27 @@ def test_a_task_keeps_the_best_of_equal_scores_by_id(spark):
     found = search.vector_search(vectors, asked, 4)
     assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in found.collect()} == {(q, k + 1): (k, 1.0) for q in (5, 6) for k in range(4)} | {(42, 1): (42, 1.0), (42, 2): (0, 0.0), (42, 3): (1, 0.0), (42, 4): (2, 0.0)}
     assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_shared_tokens_of_many_queries_are_scored_pair_by_pair(spark):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(3)
+    chunks = {c: sorted({f"w{draw.randrange(400)}" for _ in range(6)}) for c in range(300)}
+    asked = {q: sorted({f"w{draw.randrange(400)}" for _ in range(2)}) for q in range(900)}
+    weight = {f"w{i}": 1 + i % 7 for i in range(400)}
+    rows = spark.createDataFrame([(c, t, 1.0 + c % 2) for c, t in chunks.items()], "chunk_id long, tokens array<string>, factor double").coalesce(1)
+    wanted = spark.createDataFrame([(q, w, float(weight[w])) for q, ws in asked.items() for w in ws], "query_id long, token string, weight double")
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in search.scored_by_tokens(rows, wanted, 3).collect()}
+    expected = {}
+    for q, ws in asked.items():
+        scores = sorted((-(1.0 + c % 2) * sum(weight[w] for w in ws if w in t), c) for c, t in chunks.items())
+        expected |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(scores[:3]) if s < 0}
+    assert got == expected
+    kept = search.Best(4, 2, above=0.0)
+    for chunk in (5, 3, 4):
+        kept.add_pairs(np.array([0, 3]), np.array([0.5, 0.0]), np.array([chunk, chunk]))
+    kept.prune()
+    assert kept.chunk.tolist() == [3, 4] and kept.query.tolist() == [0, 0]
