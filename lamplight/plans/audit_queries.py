@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamplight.functions import text as X
 from lamplight.operators import collection, dedup, evaluation, lifecycle, policy
-from lamplight.plans.corpus_queries import BM25, bm25_results, expected_documents
+from lamplight.plans.corpus_queries import BM25, bm25_results, expected_documents, passage_tokens
 from lamplight.plans.registry import query
 from lamplight.plans.views import sql_collapse
 from lamplight.sources.tables import table
@@ -38,7 +38,8 @@ def _share(test: str, among: str) -> str:
 def evaluate_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of passages and of their sources, and refusals, of all cases, by locale and by topic."""
     sources = table(spark, folder, "documents").select("doc_id", F.col("source").alias("source_id"))
-    found = expected_documents(spark, folder).join(sources, F.col("d") == F.col("doc_id")).select("item_id", F.array("d").alias("expected"), F.array("source_id").alias("expected_sources"))
+    tokens = passage_tokens(spark, folder)
+    found = expected_documents(spark, folder, tokens).join(sources, F.col("d") == F.col("doc_id")).select("item_id", F.array("d").alias("expected"), F.array("source_id").alias("expected_sources"))
     cases = table(spark, folder, "benchmark").select("item_id").join(found, "item_id", "left").select(
         F.col("item_id").alias("case_id"),
         F.when(F.col("item_id") % 3 == 0, "ko").otherwise("zh-CN").alias("locale"),
@@ -48,7 +49,7 @@ def evaluate_breakdown(spark: SparkSession, folder: str) -> DataFrame:
         F.col("expected").isNotNull().alias("should_answer"),
         F.col("expected").isNull().alias("should_refuse"),
     )
-    results = bm25_results(spark, folder, 12).join(sources.withColumnRenamed("doc_id", "chunk_id"), "chunk_id").select(F.col("query_id").alias("case_id"), "chunk_id", "source_id", "rank")
+    results = bm25_results(spark, folder, 12, tokens).join(sources.withColumnRenamed("doc_id", "chunk_id"), "chunk_id").select(F.col("query_id").alias("case_id"), "chunk_id", "source_id", "rank")
     return evaluation.retrieval_breakdown(cases, results)
 
 

@@ -605,3 +605,12 @@ def test_few_shared_tokens_of_many_queries_are_scored_pair_by_pair(spark):
         kept.add_pairs(np.array([0, 3]), np.array([0.5, 0.0]), np.array([chunk, chunk]))
     kept.prune()
     assert kept.chunk.tolist() == [3, 4] and kept.query.tolist() == [0, 0]
+
+
+def test_passages_are_found_wherever_they_begin_and_end(spark):
+    texts = spark.createDataFrame([(1, "Undergoing Major repairs, they said"), (2, "going major repair"), (3, "a b c"), (4, None), (5, "x\n\nGOING  Major repair")], "chunk_id long, text string")
+    passages = spark.createDataFrame([(10, "going Major repair"), (11, "b"), (12, "absent major thing"), (13, None), (14, "going major"), (15, ", ")], "query_id long, text string")
+    of = lambda df, i: df.select(i, X.tokenize(F.col("text")).alias("tokens"))
+    tokens = search.asked_tokens(of(texts, "chunk_id"), of(passages, "query_id"))
+    found = sorted((r.query_id, r.chunk_id) for r in search.containing(tokens, texts, passages).collect())
+    assert found == [(10, 1), (11, 3), (14, 2), (15, 1)]
