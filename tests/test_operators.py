@@ -614,3 +614,15 @@ def test_passages_are_found_wherever_they_begin_and_end(spark):
     tokens = search.asked_tokens(of(texts, "chunk_id"), of(passages, "query_id"))
     found = sorted((r.query_id, r.chunk_id) for r in search.containing(tokens, texts, passages).collect())
     assert found == [(10, 1), (11, 3), (14, 2), (15, 1)]
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from lamplight.operators import candidates
+
+    pages = ["<title>t</title><p>a</p><a href='x'>b</a>", None, ""] * 100
+    parts = list(candidates.visible_page.func(iter([pa.array(pages), pa.array(pages[:1])])))
+    assert sum(map(len, parts)) == 301 and max(map(len, parts)) <= candidates.PAGES_AT_ONCE
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "i long, h string").coalesce(1).select("i", candidates.visible_page("h").alias("p")).orderBy("i").collect()
+    assert [(r.p.title, r.p.text, len(r.p.links)) for r in rows] == [("t", "t\na\nb", 1), ("", "", 0), ("", "", 0)] * 100
