@@ -2,8 +2,9 @@
 
 Four kinds of pages: biographies (a profile, then activities that end where the years
 jump, at awards and at transitions), heritage records, a chronology with fixed headings,
-and all others.  Lines are rows with their place; sections are sessions over them, found
-by lag and running sums, so a page of any length is read in one ordered pass.
+and all others.  A page is a row with an array of its lines.  Where sections begin is found
+by comparing each line with the one before it, and a section is a slice of the array, so
+the work grows with a page's length, no text is shuffled, and a task holds one page.
 
 Cases: null and empty texts have no sections; rows of one id are told apart by their
 texts, and equal rows are one; a kind that isn't known is generic.
@@ -14,9 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamplight.operators.search import small
+from lamplight.sources.tables import written
 
 
 def named_year(line: Column) -> Column:
@@ -86,15 +89,140 @@ SAMPLE = Markers(
     titles=tuple("abcdefgklmno"),
     body="body", profile="profile", record="record", active="active", year_mark="",
 )
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
 
-def page_lines(docs: DataFrame, id_col: str, text_col: str, kind: Column) -> DataFrame:
-    """(id, _h, kind, n, line): the lines of a text that aren't blank, runs of blanks one."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once, however often it is read, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first(lines: Column, pattern: str, since: Column | None = None) -> Column:
+    """Place of the first line that matches, at `since` or later; null for none."""
+    hits = F.transform(lines, (lambda x: x.rlike(pattern)) if since is None else (lambda x, i: (i >= since) & x.rlike(pattern)))
+    return (F.nullif(F.array_position(hits, True), F.lit(0)) - 1).cast("int")
+
+
+def before(values: Column) -> Column:
+    """For each value the one before it; for the first itself."""
+    return F.slice(F.concat(F.slice(values, F.lit(1), F.lit(1)), values), F.lit(1), F.size(values))
+
+
+def after(places: Column, end: Column) -> Column:
+    """For each place the one after it; for the last the end."""
+    return F.slice(F.concat(places, F.array(end)), F.lit(2), F.size(places))
+
+
+def part(lines: Column, start: Column, end: Column) -> Column:
+    return F.slice(lines, start + 1, end - start)
+
+
+def section(title: Column, lines: Column, metadata: Column | None = None) -> Column:
+    return F.struct(title.alias("title"), lines.alias("lines"), (F.array().cast("array<string>") if metadata is None else metadata).alias("metadata"))
+
+
+def single(value: Column, test: Column) -> Column:
+    """An array of the value if the test holds, else an empty one."""
+    return F.filter(F.array(value), lambda _: test)
+
+
+def distinct_pages(docs: DataFrame, id_col: str, text_col: str, kind: Column) -> DataFrame:
+    """(id, kind, text): of equal rows one; only rows that have equal ones are shuffled with their texts."""
     text = F.coalesce(text_col, F.lit(""))
-    tidy = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", "")), lambda x: x != "")
     known = F.when(kind.isin("biography", "heritage", "chronology"), kind).otherwise("generic")
-    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("_h"), known.alias("kind"), tidy.alias("_lines")).dropDuplicates([id_col, "_h", "kind"])
-    return rows.select(id_col, "_h", "kind", F.posexplode_outer("_lines").alias("n", "line")).where("line is not null")
+    rows = docs.select(F.col(id_col), known.alias("kind"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    keys = [id_col, "_h", "kind"]
+    again = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_i"), F.col("_h").alias("_g"), F.col("kind").alias("_k")), "equal-pages")
+    if again.isEmpty():
+        return rows
+    again = small(again)
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")) & (F.col("kind") == F.col("_k"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(keys))
+
+
+def page_lines(text: Column) -> Column:
+    """The lines of a text that aren't blank, runs of blanks one."""
+    return F.filter(F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def story_lines(lines: Column, kind: Column, start: Column, m: Markers) -> Column:
+    """The lines without those of the page around them."""
+
+    def told(ui: str) -> Column:
+        return let(first(lines, m.reference), lambda ref: F.filter(lines, lambda x, i: (ref.isNull() | (i < ref)) & ~x.rlike(ui)))
+
+    heritage = let(F.coalesce(first(lines, m.heritage_start), F.lit(0)), lambda record: F.filter(lines, lambda x, i: (i >= record) & ~x.rlike(m.heritage_ui)))
+    chronology = let(F.coalesce(first(lines, m.chronology["end"], start), F.size(lines)), lambda end: part(lines, start, end))
+    return F.when(kind == "heritage", heritage).when(kind == "chronology", chronology).when(kind == "biography", told(m.biography_ui)).otherwise(told(m.ui))
+
+
+def activities(lines: Column, subject: Column, m: Markers) -> Column:
+    """Sections of a biography's narrative: awards and transitions end an activity in any case, and so do years two or more apart between these."""
+    marks = F.zip_with(lines, before(lines), lambda x, b: F.struct((x.rlike(m.award) | x.rlike(m.transition) | b.rlike(m.award)).alias("hard"), m.year(x).alias("year")))
+
+    def cut(marked: Column) -> Column:
+        placed = F.transform(marked, lambda x, i: F.struct(i.alias("n"), ((i == 0) | x["hard"]).alias("hard"), x["year"].alias("year")))
+        jumps = lambda x, b: x["hard"] | F.coalesce(F.abs(x["year"] - b["year"]) >= 2, F.lit(False))
+        begun = let(F.filter(placed, lambda x: x["hard"] | x["year"].isNotNull()), lambda e: F.zip_with(e, before(e), lambda x, b: F.struct(x["n"].alias("n"), jumps(x, b).alias("begins"))))
+        starts = F.transform(F.filter(begun, lambda x: x["begins"]), lambda x: x["n"])
+
+        def told(a: Column, z: Column) -> Column:
+            year = F.get(F.filter(part(marked, a, z), lambda x: x["year"].isNotNull()), F.lit(0))["year"]
+            return section(F.concat(subject, F.lit(" "), F.coalesce(F.concat(year.cast("string"), F.lit(f"{m.year_mark} ")), F.lit("")), F.lit(m.active)), part(lines, a, z))
+
+        return let(starts, lambda p: F.zip_with(p, after(p, F.size(lines)), told))
+
+    return let(marks, cut)
+
+
+def biography(lines: Column, m: Markers) -> Column:
+    """The profile, with what it is filed under as metadata, and the activities."""
+
+    def parts(basic: Column) -> Column:
+        end = let(first(lines, m.award_field, basic), lambda award: F.when(award.isNotNull(), F.least(F.size(lines), award + 2)).otherwise(basic))
+        return let(F.struct(F.greatest(F.lit(0), basic - 2).alias("start"), end.alias("end")), split)
+
+    def split(at: Column) -> Column:
+        start, end = at["start"], at["end"]
+        subject = F.get(lines, start)
+        filed = let(first(part(lines, start, end), m.activity), lambda f: F.coalesce(start + f, end))
+        profile = let(filed, lambda f: section(F.concat(subject, F.lit(f" {m.profile}")), part(lines, start, f), part(lines, f, end)))
+        return F.concat(single(profile, end > start), let(part(lines, end, F.size(lines)), lambda told: activities(told, subject, m)))
+
+    return let(first(lines, m.basic), lambda basic: F.when(basic.isNull(), whole(lines, m.body)).otherwise(parts(basic)))
+
+
+def chronology(lines: Column, m: Markers) -> Column:
+    """The parts between the headings of a chronology and of its summary."""
+    patterns, titles = m.chronology, F.array(*map(F.lit, m.titles))
+
+    def numbered(h: Column) -> Column:
+        bare = h["summary_modern"].isNull() | h["summary_post"].isNull()
+
+        def number(n: Column) -> Column:
+            summary = F.when(bare, 11).when((n >= h["summary_modern"]) & (n >= h["summary_post"]), 9).when(n >= h["summary_modern"], 8).otherwise(7)
+            story = F.when(n >= h["liberation"], 6).when(n >= h["occupation"] + 2, 5).when(n >= h["occupation"], 4).when(n >= h["opening"] + 2, 3)
+            return F.when(n >= h["sum"], summary).otherwise(story.when(n == h["opening"] + 1, 2).when(n == h["opening"], 1).otherwise(0))
+
+        numbers = F.transform(lines, lambda _, i: number(i))
+        changes = let(numbers, lambda k: F.transform(F.zip_with(k, before(k), lambda a, b: F.struct(a.alias("k"), (a != b).alias("new"))), lambda x, i: F.struct(i.alias("n"), x["k"].alias("k"), (x["new"] | (i == 0)).alias("new"))))
+        begun = F.filter(changes, lambda x: x["new"])
+        cut = let(begun, lambda p: F.zip_with(p, after(F.transform(p, lambda x: x["n"]), F.size(lines)), lambda a, z: section(F.get(titles, a["k"]), part(lines, a["n"], z))))
+        return F.when(h["opening"].isNull() | h["occupation"].isNull() | h["liberation"].isNull(), whole(lines, m.titles[10])).otherwise(cut)
+
+    def heads(at: Column) -> Column:
+        told = part(lines, F.lit(0), at)
+        return F.struct(
+            at.alias("sum"),
+            *[first(told, patterns[h]).alias(h) for h in ("opening", "occupation", "liberation")],
+            *[first(lines, patterns[h], at).alias(h) for h in ("summary_modern", "summary_post")],
+        )
+
+    return let(F.coalesce(first(lines, patterns["summary"]), F.size(lines)), lambda at: let(heads(at), numbered))
+
+
+def whole(lines: Column, title: str) -> Column:
+    return single(section(F.lit(title), lines), F.size(lines) > 0)
 
 
 def sections(docs: DataFrame, kind: Column, m: Markers = KOREAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,80 +230,15 @@ def sections(docs: DataFrame, kind: Column, m: Markers = KOREAN, id_col: str = "
 
     metadata holds the lines of a biography's profile that say what it is filed under.
     """
-    page = [id_col, "_h"]
-    whole, order = Window.partitionBy(*page), Window.partitionBy(*page).orderBy("n")
-    first = lambda test, over=whole: F.min(F.when(test, F.col("n"))).over(over)
-    is_ = lambda p: F.col("line").rlike(p)
-    kind_is = lambda k: F.col("kind") == k
-
-    rows = page_lines(docs, id_col, text_col, kind)
-    rows = rows.withColumns({"_ref": first(is_(m.reference)), "_record": first(is_(m.heritage_start)), "_start": first(is_(m.chronology["start"]))})
-    rows = rows.withColumn("kind", F.when(kind_is("chronology") & F.col("_start").isNull(), "generic").otherwise(F.col("kind")))
-    rows = rows.withColumn("_end", first(is_(m.chronology["end"]) & (F.col("n") >= F.col("_start"))))
-    before_ref = F.col("_ref").isNull() | (F.col("n") < F.col("_ref"))
-    kept = (
-        F.when(kind_is("heritage"), ~is_(m.heritage_ui) & (F.col("n") >= F.coalesce("_record", F.lit(0))))
-        .when(kind_is("chronology"), (F.col("n") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("n") < F.col("_end"))))
-        .when(kind_is("biography"), ~is_(m.biography_ui) & before_ref)
-        .otherwise(~is_(m.ui) & before_ref)
-    )
-    rows = rows.where(kept).withColumn("n", F.row_number().over(order) - 1).drop("_ref", "_record", "_start", "_end")
-
-    # Biographies: where the profile and the narrative begin, and what the profile is filed under.
-    rows = rows.withColumns({"_basic": first(is_(m.basic)), "_all": F.count("*").over(whole)})
-    rows = rows.withColumns({"_from": F.greatest(F.lit(0), F.col("_basic") - 2), "_award": first(is_(m.award_field) & (F.col("n") >= F.col("_basic")))})
-    rows = rows.withColumn("_told", F.when(F.col("_award").isNotNull(), F.least("_all", F.col("_award") + 2)).otherwise(F.col("_basic")))
-    profile = (F.col("n") >= F.col("_from")) & (F.col("n") < F.col("_told"))
-    rows = rows.withColumns({"_filed": first(is_(m.activity) & profile), "_subject": F.max(F.when(F.col("n") == F.col("_from"), F.col("line"))).over(whole)})
-    told = kind_is("biography") & (F.col("n") >= F.col("_told"))
-    # Awards and transitions end an activity in any case; years are compared within what lies between these.
-    award, prior = told & is_(m.award), Window.partitionBy(*page, "_hard").orderBy("n")
-    hard = told & (award | is_(m.transition) | F.coalesce(F.lag(award).over(order), F.lit(False)))
-    rows = rows.withColumns({"_year": F.when(told, m.year(F.col("line"))), "_hard": F.sum(hard.cast("int")).over(order)})
-    last_year = F.last("_year", True).over(prior.rowsBetween(Window.unboundedPreceding, -1))
-    jump = F.coalesce(F.abs(F.col("_year") - last_year) >= 2, F.lit(False))
-    begins = told & ((F.col("n") == F.col("_told")) | jump | (F.col("_hard") != F.coalesce(F.lag("_hard").over(order), F.lit(0))))
-    rows = rows.withColumn("_begins", begins).withColumn("_activity", F.sum(F.col("_begins").cast("int")).over(order))
-
-    # Chronologies: the places of its headings.
-    rows = rows.withColumn("_sum", first(is_(m.chronology["summary"])))
-    told_in = F.col("_sum").isNull() | (F.col("n") < F.col("_sum"))
-    heads = {f"_{h}": first(is_(m.chronology[h]) & (~told_in if h.startswith("summary") else told_in)) for h in ("opening", "occupation", "liberation", "summary_modern", "summary_post")}
-    rows = rows.withColumns(heads)
-    n, t = F.col("n"), m.titles
-    whole_story = F.col("_opening").isNull() | F.col("_occupation").isNull() | F.col("_liberation").isNull()
-    bare_summary = F.col("_summary_modern").isNull() | F.col("_summary_post").isNull()
-    number = (
-        F.when(whole_story, 10)
-        .when(~told_in & bare_summary, 11)
-        .when(~told_in & (n >= F.col("_summary_modern")) & (n >= F.col("_summary_post")), 9)
-        .when(~told_in & (n >= F.col("_summary_modern")), 8)
-        .when(~told_in, 7)
-        .when(n >= F.col("_liberation"), 6)
-        .when(n >= F.col("_occupation") + 2, 5)
-        .when(n >= F.col("_occupation"), 4)
-        .when(n >= F.col("_opening") + 2, 3)
-        .when(n == F.col("_opening") + 1, 2)
-        .when(n == F.col("_opening"), 1)
-        .otherwise(0)
-    )
-    biography = kind_is("biography") & F.col("_basic").isNotNull()
-    rows = rows.where(~biography | (n >= F.col("_from")))
-    rows = rows.withColumn("_section", F.when(kind_is("chronology"), number).when(biography, F.when(told, F.col("_activity")).otherwise(0)).otherwise(0))
-    gathered = rows.groupBy(id_col, "_h", "kind", "_section").agg(
-        F.sort_array(F.collect_list(F.when(~biography | told | F.col("_filed").isNull() | (n < F.col("_filed")), F.struct("n", "line")))).alias("lines"),
-        F.sort_array(F.collect_list(F.when(biography & ~told & (n >= F.col("_filed")), F.struct("n", "line")))).alias("metadata"),
-        F.min_by("_year", F.when(F.col("_year").isNotNull(), n)).alias("_year"),
-        F.first("_subject").alias("_subject"),
-        F.bool_or(biography).alias("_biography"),
-    )
-    activity = F.concat(F.col("_subject"), F.lit(" "), F.when(F.col("_year").isNotNull(), F.concat(F.col("_year").cast("string"), F.lit(f"{m.year_mark} "))).otherwise(""), F.lit(m.active))
-    title = (
-        F.when(kind_is("chronology"), F.get(F.array(*map(F.lit, t)), F.col("_section")))
-        .when(F.col("_biography"), F.when(F.col("_section") == 0, F.concat(F.col("_subject"), F.lit(f" {m.profile}"))).otherwise(activity))
-        .when(kind_is("heritage"), m.record)
-        .otherwise(m.body)
-    )
-    told_order = Window.partitionBy(*page, "kind").orderBy("_section")
-    plain = lambda c: F.transform(c, lambda x: x["line"])
-    return gathered.select(id_col, (F.row_number().over(told_order) - 1).alias("section"), title.alias("title"), plain(F.col("lines")).alias("lines"), plain(F.col("metadata")).alias("metadata"))
+
+    def cleaned(lines: Column) -> Column:
+        start = F.when(F.col("kind") == "chronology", first(lines, m.chronology["start"]))
+        return let(start, lambda at: let(F.when((F.col("kind") == "chronology") & at.isNull(), "generic").otherwise(F.col("kind")), lambda k: F.struct(k.alias("kind"), story_lines(lines, k, at, m).alias("lines"))))
+
+    def parted(page: Column) -> Column:
+        lines, of = page["lines"], page["kind"]
+        return F.when(of == "biography", biography(lines, m)).when(of == "chronology", chronology(lines, m)).when(of == "heritage", whole(lines, m.record)).otherwise(whole(lines, m.body))
+
+    pages = distinct_pages(docs, id_col, text_col, kind)
+    found = pages.select(id_col, let(let(page_lines(F.col("text")), cleaned), parted).alias("_sections"))
+    return found.select(id_col, F.posexplode_outer("_sections").alias("section", "_s")).where("_s is not null").select(id_col, "section", "_s.title", "_s.lines", "_s.metadata")

@@ -83,3 +83,19 @@ def test_activities_like_a_loop(spark):
 
 def test_nothing(spark):
     assert found(spark, []) == {}
+
+
+def test_pages_stay_in_their_row(spark):
+    long = "이름\n한자\n기본정보\n" + "".join(f"{1900 + i % 2 * 5}년 일 {i}\n" for i in range(20_000))
+    heads = CHRONOLOGY.replace("오늘", "\n".join(f"오늘 {i}" for i in range(20_000)))
+    rows = [(1, "biography", long), (2, "chronology", heads), (None, "generic", "줄 하나"), (None, "generic", "줄 하나"), (3, "heritage", HERITAGE), (3, "generic", HERITAGE), (3, "generic", "줄")]
+    df = spark.createDataFrame(rows, "doc_id long, k string, text string")
+    frame = sections.sections(df, F.col("k"))
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.title, len(r.lines)))
+    assert len(got[1]) == 20_001 and got[1][:2] == [(0, "이름 기본정보", 2), (1, "이름 1900년 활동", 2)] and got[1][-1] == (20_000, "이름 1905년 활동", 1)
+    assert [n for _, _, n in got[2]][6] == 20_001 and got[None] == [(0, "본문", 1)]
+    assert sorted(got[3]) == [(0, "기본 정보", 2), (0, "본문", 1), (0, "본문", 6)]
+    plan = sections.sections(df.where("doc_id < 3"), F.col("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
