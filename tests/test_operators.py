@@ -626,3 +626,12 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     assert sum(map(len, parts)) == 301 and max(map(len, parts)) <= candidates.PAGES_AT_ONCE
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "i long, h string").coalesce(1).select("i", candidates.visible_page("h").alias("p")).orderBy("i").collect()
     assert [(r.p.title, r.p.text, len(r.p.links)) for r in rows] == [("t", "t\na\nb", 1), ("", "", 0), ("", "", 0)] * 100
+
+
+def test_keyword_search_shuffles_only_results(spark):
+    chunks = spark.createDataFrame([(i, f"word{i % 7} common text") for i in range(5000)], "chunk_id long, text string").select("chunk_id", X.tokenize(F.col("text")).alias("tokens")).coalesce(1)
+    queries = spark.createDataFrame([(1, ["common", "word3"]), (2, ["absent"])], "query_id long, tokens array<string>")
+    found = search.keyword_search(chunks, queries, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "HashAggregate" not in plan  # no row per word of a text
+    assert [(r.query_id, r.rank, r.chunk_id, r.score) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1, 3, 1.0), (1, 2, 10, 1.0), (1, 3, 17, 1.0)]
