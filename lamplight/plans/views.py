@@ -13,7 +13,8 @@ from lamplight.sources.tables import table
 
 
 def _pick(values: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+    # Not element_at, which Spark takes for never null over such an array, also with a null number.
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
 
 
 def _sql_pick(values: list[str], number: str) -> str:

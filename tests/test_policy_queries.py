@@ -21,7 +21,7 @@ def odd_documents(spark, tmp_path_factory):
     return str(home)
 
 
-@pytest.mark.parametrize("name", ["policy_document"])
+@pytest.mark.parametrize("name", ["policy_document", "policy_eligibility"])
 def test_blank_columns_give_the_rows_of_sql(name, spark, odd_documents):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd_documents}/documents.parquet/*.parquet')")
