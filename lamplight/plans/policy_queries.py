@@ -15,9 +15,9 @@ from lamplight.sources.tables import table
 
 @query()
 def page_visible_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Title, visible text and links of pages."""
-    page = cand.visible_page("html")
-    return table(spark, folder, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", F.length("p.text").alias("n_chars"), F.size("p.links").alias("n_links"))
+    """Titles, visible texts and links of pages, whole, in the four readings."""
+    pages = table(spark, folder, "pages").select("page_id", cand.visible_page("html").alias("p"))
+    return pages.select("page_id", "p.title", F.length("p.text").alias("n_chars"), F.size("p.links").alias("n_links"), "p.text", "p.links", "p.collected", "p.metadata", "p.batch")
 
 
 @query()
